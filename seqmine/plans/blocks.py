@@ -62,11 +62,11 @@ def by_position(df: DataFrame, keys: Sequence[str], pos: str = "pos",
     return out, Run(tuple(keys), (pos,))
 
 
-def _upto(window: WindowSpec) -> WindowSpec:
+def upto(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _before(window: WindowSpec) -> WindowSpec:
+def before(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
@@ -81,8 +81,8 @@ def running(df: DataFrame, run: Run, *, sums: dict[str, Column] | None = None,
     """
     sums, maxes, mins, lasts = sums or {}, maxes or {}, mins or {}, lasts or {}
     rows = run.rows(reverse)
-    frame = _before(rows) if exclusive else _upto(rows)
-    earlier = _before(run.blocks(reverse))
+    frame = before(rows) if exclusive else upto(rows)
+    earlier = before(run.blocks(reverse))
     place = run.place()
     pick = F.min_by if reverse else F.max_by
 
@@ -133,41 +133,56 @@ def shifted(df: DataFrame, run: Run, fields: Sequence[str], name: str = "prev",
 
 
 def last_where(df: DataFrame, run: Run, fields: Sequence[str],
-               marks: dict[str, tuple[Condition, bool]], keep_prev: bool = False) -> DataFrame:
+               marks: dict[str, tuple[Condition, bool | Callable[[Getter], Column]]],
+               carry_fields: Sequence[str] = (), keep_prev: bool = False) -> DataFrame:
     """For each mark, the place of the latest row (this one included) where it held.
 
-    A mark is ``(condition, value_at_start)``; the condition compares the previous
-    row with the current one through getters over ``fields``.  This is the common
-    form of all segmentation: the place of the latest break names the segment.
+    A mark is ``(condition, at_start)``: the condition compares the previous row with
+    the current one through getters over ``fields``; ``at_start`` decides for the
+    first row of a run.  This is the common form of all segmentation: the place of
+    the latest break names the segment.  ``carry_fields`` of the marked row come along as
+    ``<mark>_<field>``.
     """
+    fields = list(dict.fromkeys([*fields, *carry_fields]))
     row = F.struct(*[F.col(c) for c in fields])
     place = run.place()
+    value = (F.struct(place.alias("p"), *[F.col(c).alias(c) for c in carry_fields])
+             if carry_fields else place)
     prev: Getter = lambda c: F.col("_prev")[c]
 
     local = df.withColumn("_prev", F.lag(row).over(run.rows()))
-    for name, (cond, _) in marks.items():
-        hit = F.col("_prev").isNotNull() & F.coalesce(cond(prev, F.col), F.lit(False))
-        local = local.withColumn(name, F.max(F.when(hit, place)).over(_upto(run.rows())))
+    hits = {n: F.col("_prev").isNotNull() & F.coalesce(cond(prev, F.col), F.lit(False))
+            for n, (cond, _) in marks.items()}
+    local = local.select("*", *[F.max(F.when(hit, value)).over(upto(run.rows())).alias(n)
+                                for n, hit in hits.items()])
 
     head: Getter = lambda c: F.col("_head")[c]
     tail: Getter = lambda c: F.col("_tail")[c]
     blocks = run.blocks()
     carry = (local.groupBy(*run.cell)
              .agg(F.min_by(row, place).alias("_head"), F.max_by(row, place).alias("_edge"),
-                  F.min(place).alias("_place"),
+                  F.min(value).alias("_place"),
                   *[F.max(name).alias(f"_l_{name}") for name in marks])
              .withColumn("_tail", F.lag("_edge").over(blocks)))
     for name, (cond, at_start) in marks.items():
-        hit = (F.when(F.col("_tail").isNull(), F.lit(at_start))
+        opening = at_start(head) if callable(at_start) else F.lit(at_start)
+        hit = (F.when(F.col("_tail").isNull(), opening)
                .otherwise(F.coalesce(cond(tail, head), F.lit(False))))
         carry = carry.withColumn(f"_h_{name}", F.when(hit, F.col("_place")))
     carry = carry.select(
         *run.cell, "_tail",
         *[F.coalesce(F.col(f"_h_{name}"),
                      F.last(F.coalesce(f"_l_{name}", f"_h_{name}"), ignorenulls=True)
-                     .over(_before(blocks))).alias(f"_c_{name}") for name in marks])
-
-    out = [F.coalesce(F.col(n), F.col(f"_c_{n}")).alias(n) for n in marks]
+                     .over(before(blocks))).alias(f"_c_{name}") for name in marks])
+
+    out = []
+    for n in marks:
+        latest = F.coalesce(F.col(n), F.col(f"_c_{n}"))
+        if carry_fields:
+            out.append(latest["p"].alias(n))
+            out += [latest[c].alias(f"{n}_{c}") for c in carry_fields]
+        else:
+            out.append(latest.alias(n))
     if keep_prev:
         out.append(F.coalesce(F.col("_prev"), F.col("_tail")).alias("prev"))
     return local.join(carry, run.cell).select(*df.columns, *out)
@@ -189,18 +204,18 @@ def catch_up(df: DataFrame, run: Run, target: Column, length: Column,
     """
     rows = run.rows()
     local = (df.withColumn("_t", target).withColumn("_n", length)
-             .withColumn("_s", F.coalesce(F.sum("_n").over(_before(rows)), F.lit(0)))
+             .withColumn("_s", F.coalesce(F.sum("_n").over(before(rows)), F.lit(0)))
              .withColumn("_d", F.col("_t") - F.col("_s"))
-             .withColumn("_m", F.max("_d").over(_upto(rows)))
-             .withColumn("_p", F.max("_d").over(_before(rows))))
-    earlier = _before(run.blocks())
+             .withColumn("_m", F.max("_d").over(upto(rows)))
+             .withColumn("_p", F.max("_d").over(before(rows))))
+    earlier = before(run.blocks())
     carry = (local.groupBy(*run.cell).agg(F.sum("_n").alias("_bn"), F.max("_d").alias("_bd"))
              .withColumn("_cs", F.coalesce(F.sum("_bn").over(earlier), F.lit(0)))
              .withColumn("_cm", F.max(F.col("_bd") - F.col("_cs")).over(earlier))
              .select(*run.cell, "_cs", "_cm"))
     zero = F.lit(0).cast("bigint")
     now = F.greatest(zero, F.col("_m") - F.col("_cs"), F.col("_cm"))
-    before = F.greatest(zero, F.col("_p") - F.col("_cs"), F.col("_cm"))
-    written = F.col("_cs") + F.col("_s") + before
+    last = F.greatest(zero, F.col("_p") - F.col("_cs"), F.col("_cm"))
+    written = F.col("_cs") + F.col("_s") + last
     return (local.join(carry, run.cell)
-            .select(*df.columns, (now - before).alias(name), written.alias("written")))
+            .select(*df.columns, (now - last).alias(name), written.alias("written")))

@@ -1,4 +1,4 @@
-"""Following next-pointers in logarithmically many joins."""
+"""Next-pointers: finding them with one sort, following them in few joins."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, running
 from seqmine.session import cut
 
 
@@ -28,3 +29,19 @@ def reachable(nodes: DataFrame, keys: Sequence[str], node: str = "node", nxt: st
         found = cut(found.union(step))
         far = jump.select(*keys, F.col(node).alias(nxt), F.col(nxt).alias("_far"))
         jump = cut(jump.join(far, [*keys, nxt]).select(*keys, node, F.col("_far").alias(nxt)))
+
+
+def first_after(points: DataFrame, queries: DataFrame, keys: Sequence[str], *, point: str = "point",
+                at: str = "at", width: int = BLOCK_WIDTH) -> DataFrame:
+    """For each distinct query value, the smallest point strictly greater in the same keys.
+
+    Points and queries are put on one line and walked backwards, so the cost is a
+    sort and no pairs are formed.  Returns ``keys``, ``at`` and ``next``.
+    """
+    keys = list(keys)
+    line = (points.select(*keys, F.col(point).alias("_at"), F.lit(0).alias("_kind")).distinct()
+            .unionByName(queries.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind")).distinct()))
+    cells, _ = by_position(line, keys, "_at", width)
+    found = running(cells, Run(tuple(keys), ("_at", "_kind")), reverse=True,
+                    lasts={"next": F.when(F.col("_kind") == 0, F.col("_at"))})
+    return found.where(F.col("_kind") == 1).select(*keys, F.col("_at").alias(at), "next")

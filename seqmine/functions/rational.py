@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def _gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.gcd(a.to_numpy(np.int64), b.to_numpy(np.int64)))
 

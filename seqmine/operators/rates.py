@@ -12,6 +12,7 @@ from seqmine.functions.rational import rational, whole_div
 from seqmine.plans.blocks import Run, dense_index, shifted
 
 WORD = 62
+EARLY = 4
 
 
 @dataclass(frozen=True)
@@ -67,37 +68,47 @@ def infer_interval(frames: DataFrame, run: Run) -> DataFrame:
     fits before frame 3; it holds if every later gap contains p plus a multiple of n.
     If none holds the interval is 1; runs of fewer than three frames give nothing.
 
-    Hypotheses are packed ``WORD`` to a row, each gap yields one bit mask per row,
-    and the masks are combined with a map-side ``bit_and``: gaps and hypotheses never
-    form single pairs.
+    An interval no longer than the shortest later gap always holds, so only longer
+    ones are tried, and most of those fall to the first ``EARLY`` gaps, which are kept
+    beside the hypothesis.  The rest are packed ``WORD`` to a row; each gap yields one
+    bit mask per row and the masks are combined by a map-side ``bit_and``.
     """
     keys = list(run.keys)
     gaps = frame_gaps(frames, run)
-    early = gaps.where(F.col("n") <= 2).groupBy(*keys).agg(
-        F.max(F.when(F.col("n") == 1, F.col("lo"))).alias("p_lo"),
-        F.max(F.when(F.col("n") == 1, F.col("hi"))).alias("p_hi"),
-        F.max(F.when(F.col("n") == 2, F.col("hi"))).alias("third")).where("third is not null")
-    # Per start p the intervals 2..third-p, numbered in one sequence and cut into words.
-    per_p = (early.withColumn("p", F.explode(F.sequence("p_lo", "p_hi")))
-             .withColumn("_most", F.col("third") - F.col("p")).where("_most >= 2")
-             .withColumn("n_lo", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_most"),
-                                                      F.lit(WORD).cast("bigint"))))
-             .withColumn("n_hi", F.least(F.col("n_lo") + WORD - 1, F.col("_most")))
-             .select(*keys, "p", "n_lo", "n_hi"))
-    later = gaps.where(F.col("n") >= 2).select(*keys, "lo", "hi")
-    pairs = later.join(per_p, keys)
-    a, b = F.col("lo") - F.col("p"), F.col("hi") - F.col("p")
-    bit = lambda n: F.when(whole_div(b, n) * n >= a,
-                           F.expr("1L")).otherwise(F.expr("0L"))
-    mask = F.aggregate(F.sequence("n_lo", "n_hi"), F.expr("0L"),
-                       lambda acc, n: acc * 2 + bit(n))
-    alive = pairs.withColumn("_m", mask).groupBy(*keys, "p", "n_lo", "n_hi").agg(F.bit_and("_m").alias("_m"))
-    # The lowest set bit belongs to the largest interval of the word.
+    at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
+    later = F.col("n") >= 2
+    early = gaps.groupBy(*keys).agg(
+        at(1, "lo").alias("p_lo"), at(1, "hi").alias("p_hi"), at(2, "hi").alias("third"),
+        F.min(F.when(later, F.col("hi") - F.col("lo") + 1)).alias("sure"),
+        *[at(n, c).alias(f"{c}{n}") for n in range(2, 2 + EARLY) for c in ("lo", "hi")],
+    ).where("third is not null")
+
+    tried = (early.withColumn("p", F.explode(F.sequence("p_lo", "p_hi")))
+             .where(F.col("third") - F.col("p") > F.greatest("sure", F.lit(1)))
+             .withColumn("n", F.explode(F.sequence(F.greatest(F.col("sure") + 1, F.lit(2).cast("bigint")),
+                                                   F.col("third") - F.col("p")))))
+    holds = lambda p, n, lo, hi: whole_div(hi - p, n) * n >= lo - p
+    for i in range(2, 2 + EARLY):
+        tried = tried.where(F.col(f"lo{i}").isNull()
+                            | holds(F.col("p"), F.col("n"), F.col(f"lo{i}"), F.col(f"hi{i}")))
+    # All intervals of one start p; their number is bounded by the width of two gaps.
+    words = (tried.groupBy(*keys, "p").agg(F.sort_array(F.collect_list("n")).alias("_ns"))
+             .withColumn("_from", F.explode(F.sequence(F.lit(1), F.size("_ns"), F.lit(WORD))))
+             .withColumn("ns", F.slice("_ns", F.col("_from"), WORD))
+             .select(*keys, "p", "_from", "ns"))
+    rest = gaps.where(F.col("n") >= 2 + EARLY).select(*keys, "lo", "hi")
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    mask = F.aggregate("ns", zero, lambda acc, n: acc * 2 + F.when(
+        F.col("lo").isNull() | holds(F.col("p"), n, F.col("lo"), F.col("hi")), one).otherwise(zero))
+    # The lowest set bit belongs to the last, largest interval of the word.
     low = F.col("_m").bitwiseAND(-F.col("_m"))
-    best = F.when(F.col("_m") != 0, F.col("n_hi") - F.round(F.log2(low.cast("double"))).cast("bigint"))
-    found = alive.groupBy(*keys).agg(F.max(best).alias("_n"))
-    return (early.select(*keys).join(found, keys, "left")
-            .select(*keys, F.coalesce(F.col("_n"), F.lit(1).cast("bigint")).alias("interval")))
+    last = F.size("ns") - F.length(F.bin(low)) + 1
+    found = (words.join(rest, keys, "left").withColumn("_m", mask)
+             .groupBy(*keys, "p", "_from").agg(F.bit_and("_m").alias("_m"), F.first("ns").alias("ns"))
+             .where("_m <> 0").groupBy(*keys).agg(F.max(F.element_at("ns", last)).alias("_n")))
+    sure = F.least(F.col("sure"), F.col("third") - F.col("p_lo"))
+    return (early.select(*keys, sure.alias("sure")).join(found, keys, "left")
+            .select(*keys, F.greatest(F.col("_n"), F.col("sure"), one).alias("interval")))
 
 
 def choose_rate(frames: DataFrame, run: Run, templates: Sequence[Template] = ()) -> DataFrame:

@@ -219,3 +219,23 @@ def catch_up(df: DataFrame, run: Run, target: Column, length: Column,
     written = F.col("_cs") + F.col("_s") + last
     return (local.join(carry, run.cell)
             .select(*df.columns, (now - last).alias(name), written.alias("written")))
+
+
+def by_density(df: DataFrame, keys: Sequence[str], coarse: str, fine: str,
+               rows: int = BLOCK_WIDTH) -> tuple[DataFrame, tuple[str, str]]:
+    """Blocks of about ``rows`` rows for runs without dense positions.
+
+    ``coarse`` and ``fine`` are integer columns that lead the order of the run.  One
+    map-side count finds the fullest ``(keys, coarse)`` value; blocks span several
+    coarse values where data is thin and parts of one, cut by ``fine``, where it is
+    thick.  Returns the frame and the names of its block columns.
+    """
+    full = (df.groupBy(*keys, coarse)
+            .agg(F.count(F.lit(1)).alias("n"), (F.max(fine) - F.min(fine) + 1).alias("w"))
+            .agg(F.max("n").alias("n"), F.max_by("w", "n").alias("w")).first())
+    most, spread = full["n"] or 1, full["w"] or 1
+    span = max(1, rows // most)
+    part = max(1, spread * rows // most) if most > rows else None
+    sub = F.floor(F.col(fine) / F.lit(part)) if part else F.lit(0).cast("bigint")
+    return (df.withColumn("blk", F.floor(F.col(coarse) / F.lit(span))).withColumn("sub", sub),
+            ("blk", "sub"))

@@ -13,49 +13,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BASE = 16
-FACTOR = 8
-LEVELS = 15
+# A bucket of level l spans 2 ** (BASE_BITS + STEP_BITS * l) positions.
+BASE_BITS = 4
+STEP_BITS = 3
 
 
-def _width(level: int) -> int:
-    return BASE * FACTOR ** level
+def level_of(length: Column) -> Column:
+    """Smallest level whose buckets are at least ``length`` wide."""
+    bits = F.length(F.bin(length - 1))
+    return F.greatest(F.ceil((bits - BASE_BITS) / STEP_BITS), F.lit(0)).cast("int")
 
 
-def level_of(length: Column) -> Column:
-    out = F.lit(LEVELS - 1)
-    for level in range(LEVELS - 2, -1, -1):
-        out = F.when(length <= F.lit(_width(level)), F.lit(level)).otherwise(out)
-    return out
+def bucket_of(position: Column, level: Column) -> Column:
+    return F.call_function("shiftright", position, F.lit(BASE_BITS) + F.lit(STEP_BITS) * level)
 
 
 def _levels(df: DataFrame, start: str, end: str) -> list[int]:
-    """Bucket sizes in use; at most ``LEVELS`` values reach the driver."""
+    """Bucket sizes in use; there are at most 20, whatever the data."""
     level = level_of(F.col(end) - F.col(start) + 1).alias("l")
     return sorted(r["l"] for r in df.select(level).distinct().collect())
 
 
 def _spread(df: DataFrame, start: str, end: str, own_tag: str, other_tag: str,
             other_levels: list[int], include_equal: bool) -> DataFrame:
-    own = level_of(F.col(end) - F.col(start) + 1)
-    lo, hi = F.col(start), F.col(end)
-
-    def cells(level: int, tag: str) -> Column:
-        width = F.lit(_width(level))
-        first, last = F.floor(lo / width), F.floor(hi / width)
-        cell = lambda b: F.struct(F.lit(level).alias("l"), b.alias("b"), F.lit(tag).alias("t"))
-        return F.when(first == last, F.array(cell(first))).otherwise(
-            F.array(cell(first), cell(last)))
-
-    none = F.array().cast("array<struct<l:int,b:bigint,t:string>>")
-    parts = [F.when(own == level, cells(level, own_tag)).otherwise(none)
-             for level in range(LEVELS)]
-    for level in other_levels:
-        reach = own <= level if include_equal else own < level
-        parts.append(F.when(reach, cells(level, other_tag)).otherwise(none))
-    return (df.withColumn("_cell", F.explode(F.concat(*parts)))
-            .withColumn("_l", F.col("_cell.l")).withColumn("_b", F.col("_cell.b"))
-            .withColumn("_t", F.col("_cell.t")).drop("_cell"))
+    rows = df.withColumn("_own", level_of(F.col(end) - F.col(start) + 1))
+
+    def cells(level: Column, tag: str) -> Column:
+        first, last = bucket_of(F.col(start), level), bucket_of(F.col(end), level)
+        cell = lambda b: F.struct(level.alias("l"), b.alias("b"), F.lit(tag).alias("t"))
+        return F.array_distinct(F.array(cell(first), cell(last)))
+
+    reach = (lambda l: F.col("_own") <= l) if include_equal else (lambda l: F.col("_own") < l)
+    levels = F.filter(F.array(*[F.lit(l) for l in other_levels]).cast("array<int>"), reach)
+    probes = F.flatten(F.transform(levels, lambda l: cells(l, other_tag)))
+    return (rows.withColumn("_cell", F.explode(F.concat(cells(F.col("_own"), own_tag), probes)))
+            .select(*df.columns, F.col("_cell.l").alias("_l"), F.col("_cell.b").alias("_b"),
+                    F.col("_cell.t").alias("_t")))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[str, str],
@@ -70,8 +63,7 @@ def overlap_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[s
     left = _spread(a, *a_span, "a", "b", b_levels, include_equal=False)
     right = _spread(b, *b_span, "b", "a", a_levels, include_equal=True)
     meet = F.greatest(F.col(a_span[0]), F.col(b_span[0]))
-    width = F.lit(BASE) * F.pow(F.lit(FACTOR), F.col("_l"))
     return (left.join(right, [*on, "_l", "_b", "_t"])
             .where((F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1])))
-            .where(F.floor(meet / width) == F.col("_b"))
+            .where(bucket_of(meet, F.col("_l")) == F.col("_b"))
             .drop("_l", "_b", "_t"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqmine.demo import relations, segments
+from seqmine.demo import records, relations, segments, streams
 
-MODULES = (segments, relations)
+MODULES = (segments, relations, records, streams)
 
 
 def queries() -> dict:

@@ -38,22 +38,26 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
             .drop("_parts", "_keys", "_kind"))
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Items and bad lines of the index files at ``path``, each with its file as ``src``.
+def read_index(spark: SparkSession, path: str, src: str = "src") -> tuple[DataFrame, DataFrame]:
+    """Items and bad lines of the indexes below ``path``.
 
-    Every file must hold the header line and exactly one source line.
+    ``write_index`` keeps each source in a folder ``src=...``; where there is no such
+    folder the file name stands for the source.  Every source must hold the header
+    line once and exactly one source line.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("src"), F.col("value").alias("line"))
+    text = spark.read.text(path)
+    name = F.col(src).cast("string") if src in text.columns else F.input_file_name()
+    lines = text.select(name.alias(src), F.col("value").alias("line"))
     parsed = parse_lines(lines.where(F.col("line") != HEADER))
-    heads = lines.groupBy("src").agg(F.count_if(F.col("line") == HEADER).alias("headers"),
-                                     F.count_if(F.col("line").startswith(SOURCE_START)).alias("sources"))
-    valid = heads.where("headers = 1 and sources = 1").select("src")
+    heads = lines.groupBy(src).agg(F.count_if(F.col("line") == HEADER).alias("headers"),
+                                   F.count_if(F.col("line").startswith(SOURCE_START)).alias("sources"))
+    valid = heads.where("headers = 1 and sources = 1").select(src)
     faulty = heads.where("headers <> 1 or sources <> 1").select(
-        "src", F.lit(None).cast("string").alias("line"),
+        src, F.lit(None).cast("string").alias("line"),
         F.when(F.col("headers") != 1, "no header").when(F.col("sources") == 0, "no source")
         .otherwise("several sources").alias("reason"))
-    items = parsed.where("kind = 'item'").join(valid, "src", "left_semi").select("src", "line", "fields")
-    bad = parsed.where("kind = 'bad'").select("src", "line", "reason").unionByName(faulty)
+    items = parsed.where("kind = 'item'").join(valid, src, "left_semi").select(src, "line", "fields")
+    bad = parsed.where("kind = 'bad'").select(src, "line", "reason").unionByName(faulty)
     return items, bad
 
 
@@ -113,12 +117,16 @@ def render_items(items: DataFrame, fields: Sequence[tuple[str, Column]]) -> Data
 
 
 def write_index(rendered: DataFrame, path: str, src: str = "src", number: str = "number") -> None:
-    """One folder per source, with the header and source line first and lines in order."""
+    """One folder per source; its part files in order hold header, source line and items.
+
+    Lines are spread by range of ``(src, number)``, so a large source fills several
+    part files instead of one task.
+    """
     body = rendered.where(F.col("line").isNotNull()).select(src, F.col(number).alias("_n"), "line")
-    heads = body.select(src).distinct().select(src, F.explode(F.array(
-        F.struct(F.lit(-2).cast("bigint").alias("_n"), F.lit(HEADER).alias("line")),
-        F.struct(F.lit(-1).cast("bigint").alias("_n"),
-                 F.concat(F.lit(SOURCE_START), F.col(src).cast("string")).alias("line")))).alias("_h")).select(
-        src, "_h._n", "_h.line")
-    (body.unionByName(heads).repartition(src).sortWithinPartitions(src, "_n")
+    head = lambda n, line: F.struct(F.lit(n).cast("bigint").alias("_n"), line.alias("line"))
+    heads = (body.select(src).distinct()
+             .select(src, F.explode(F.array(
+                 head(-2, F.lit(HEADER)), head(-1, F.concat(F.lit(SOURCE_START), F.col(src).cast("string"))))).alias("_h"))
+             .select(src, "_h._n", "_h.line"))
+    (body.unionByName(heads).repartitionByRange(src, "_n").sortWithinPartitions(src, "_n")
      .select(src, F.col("line").alias("value")).write.partitionBy(src).text(path))

@@ -48,27 +48,12 @@ class RecordRange(InputPartition):
 
 
 class RecordReader(DataSourceReader):
+    """Plans byte ranges and reads them as Arrow batches."""
+
     def __init__(self, path: str, width: int, offset: int, split_bytes: int):
         self.path, self.width, self.offset, self.split_bytes = path, width, offset, split_bytes
         self.low, self.high = 0, None
 
-    def pushFilters(self, filters: list[Filter]):
-        """Position bounds decide which byte ranges are read at all."""
-        for f in filters:
-            column = getattr(f, "attribute", None)
-            if column == ("pos",):
-                if isinstance(f, GreaterThanOrEqual):
-                    self.low = max(self.low, f.value)
-                    continue
-                if isinstance(f, GreaterThan):
-                    self.low = max(self.low, f.value + 1)
-                    continue
-                if isinstance(f, (LessThanOrEqual, LessThan)):
-                    high = f.value if isinstance(f, LessThanOrEqual) else f.value - 1
-                    self.high = high if self.high is None else min(self.high, high)
-                    continue
-            yield f
-
     def partitions(self) -> list[RecordRange]:
         step = max(1, self.split_bytes // self.width)
         out = []
@@ -95,6 +80,27 @@ class RecordReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([src, pos, raw], names=["src", "pos", "raw"])
 
 
+class BoundedRecordReader(RecordReader):
+    """The same with bounds on ``pos`` applied to the byte ranges."""
+
+    def pushFilters(self, filters: list[Filter]):
+        """Position bounds decide which byte ranges are read at all."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("pos",):
+                if isinstance(f, GreaterThanOrEqual):
+                    self.low = max(self.low, f.value)
+                    continue
+                if isinstance(f, GreaterThan):
+                    self.low = max(self.low, f.value + 1)
+                    continue
+                if isinstance(f, (LessThanOrEqual, LessThan)):
+                    high = f.value if isinstance(f, LessThanOrEqual) else f.value - 1
+                    self.high = high if self.high is None else min(self.high, high)
+                    continue
+            yield f
+
+
 class FixedRecords(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -104,17 +110,21 @@ class FixedRecords(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RecordReader:
-        return RecordReader(self.options["path"], int(self.options["width"]),
-                            int(self.options.get("offset", 0)),
-                            int(self.options.get("split_bytes", SPLIT_BYTES)))
+        pushdown = self.options.get("pushdown", "false").lower() == "true"
+        kind = BoundedRecordReader if pushdown else RecordReader
+        return kind(self.options["path"], int(self.options["width"]), int(self.options.get("offset", 0)),
+                    int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
 def read_records(spark: SparkSession, path: str, width: int, offset: int = 0,
                  split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Records of all files at or below ``path``; record n starts at byte ``n*width + offset``."""
+    """Records of all files at or below ``path``; record n starts at byte ``n*width + offset``.
+
+    With ``spark.sql.python.filterPushdown.enabled`` bounds on ``pos`` limit what is read.
+    """
     spark.dataSource.register(FixedRecords)
     return (spark.read.format("fixed_records").option("width", width).option("offset", offset)
-            .option("split_bytes", split_bytes).load(path))
+            .option("split_bytes", split_bytes).option("pushdown", spark.conf.get(PUSHDOWN, "false")).load(path))
 
 
 def write_records(df: DataFrame, raw: str, path: str, partition_by: str | None = None) -> None:

@@ -64,7 +64,7 @@ def main(argv):
             else:
                 out = f"no sql, {queries[name](spark, d).count()} rows"
         except Exception as exc:
-            out = f"ERROR {type(exc).__name__}: {str(exc)[:1500]}"
+            out = f"ERROR {type(exc).__name__}: {str(exc)[:4500]}"
         n = con.cursor().execute(f"SELECT count(*) FROM ({oracles[name]})").fetchone()[0] if name in oracles and not out else ""
         bad += bool(out) and not out.startswith("no sql")
         print(f"{name:32s} {time.time() - start:6.1f}s {n} {'ok' if out is None else out}", flush=True)

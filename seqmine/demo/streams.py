@@ -15,7 +15,7 @@ from seqmine.streaming import counts, segments as ss
 
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 DAY_MS = 86_400_000
-FAR = 100_000
+FAR = 50_000
 # Day 0 of the conventions is 2024-01-01; positions must lie after the initial watermark.
 DAY_ZERO = 19_723
 

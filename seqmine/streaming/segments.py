@@ -53,11 +53,12 @@ class _Ordered(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        # Everything up to the watermark has arrived, so one timer handles all of it.
+        now = timerValues.getCurrentWatermarkInMs()
         rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(tuple(r) for r in rows if r[0] < now)
+        due = sorted(tuple(r) for r in rows if r[0] <= now)
         if due:
-            rest = [tuple(r) for r in rows if r[0] >= now]
+            rest = [tuple(r) for r in rows if r[0] > now]
             if rest:
                 self.waiting.put(rest)
             else:

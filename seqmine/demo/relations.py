@@ -8,6 +8,7 @@ from seqmine.demo import conventions as c
 from seqmine.demo import segments
 from seqmine.operators import classify, intervals as iv, items as it, patch, rates, segment as seg
 from seqmine.plans.blocks import Run, by_position
+from seqmine.session import cut
 
 SOURCE_DAYS = 2400
 TEMPLATES = (
@@ -18,14 +19,20 @@ TEMPLATES = (
 )
 
 
-def _kind(spark, d, kind):
-    return c.order_items_table(spark, d).where(F.col("kind") == kind)
+def _items(spark, d):
+    """The order items, written once because every relation reads them several times."""
+    return cut(c.order_items_table(spark, d))
+
+
+def _kind(items, kind):
+    return items.where(F.col("kind") == kind)
 
 
 def overlaps(spark, d):
-    a = _kind(spark, d, "video").select("src", F.col("id").alias("a_id"), F.col("start").alias("a_start"),
+    items = _items(spark, d)
+    a = _kind(items, "video").select("src", F.col("id").alias("a_id"), F.col("start").alias("a_start"),
                                         F.col("end").alias("a_end"))
-    b = _kind(spark, d, "audio").select("src", F.col("id").alias("b_id"), F.col("start").alias("b_start"),
+    b = _kind(items, "audio").select("src", F.col("id").alias("b_id"), F.col("start").alias("b_start"),
                                         F.col("end").alias("b_end"))
     return iv.overlap_join(a, b, ["src"], ("a_start", "a_end"), ("b_start", "b_end"))
 
@@ -41,11 +48,13 @@ ORDERED = """ordered AS (
 
 
 def parented(spark, d):
-    items = ordered(spark, d)
+    return _parented(cut(ordered(spark, d)))
+
+
+def _parented(items):
     children = items.select("src", F.col("id").alias("c_id"), F.col("start").alias("c_start"),
                             F.col("end").alias("c_end"), F.col("kind").alias("c_kind")).where("c_kind = 'audio'")
-    parents = _parents(items)
-    return iv.assign_parent(children, parents)
+    return iv.assign_parent(children, _parents(items))
 
 
 def _parents(items):
@@ -71,27 +80,30 @@ parented AS (
 
 
 def selected(spark, d):
-    held = parented(spark, d)
-    parents = _parents(ordered(spark, d)).where("p_kind = 'video'")
+    items = cut(ordered(spark, d))
+    held = _parented(items)
+    parents = _parents(items).where("p_kind = 'video'")
     in_video = held.join(parents.select("src", F.col("p_id").alias("parent_id")), ["src", "parent_id"])
-    return classify.select_items(c.order_items_table(spark, d), kind="audio",
+    return classify.select_items(items.drop("number"), kind="audio",
                                  parents=in_video.select("src", F.col("c_id").alias("id")))
 
 
 def content(spark, d):
-    return iv.flag_content(c.order_items_table(spark, d), c.customer_lines(spark, d),
+    return iv.flag_content(_items(spark, d), c.customer_lines(spark, d),
                            {"has_open": F.col("l_linestatus") == "O", "has_full": F.col("l_quantity") == 50},
                            width=c.POSITIONS_PER_BLOCK)
 
 
 def violations(spark, d):
     sources = c.table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.lit(SOURCE_DAYS).alias("records"))
-    return iv.boundary_violations(parented(spark, d), _parents(ordered(spark, d)), sources)
+    items = cut(ordered(spark, d))
+    return iv.boundary_violations(cut(_parented(items)), _parents(items), sources)
 
 
 def splits(spark, d):
-    audio = _kind(spark, d, "audio").withColumn("stride", 1 + F.col("id") % 7)
-    return iv.split_intervals(audio, _kind(spark, d, "video"))
+    items = _items(spark, d)
+    audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
+    return iv.split_intervals(audio, _kind(items, "video"))
 
 
 SPLITS = """pieces AS (
@@ -181,12 +193,12 @@ def lanes(spark, d):
 
 
 def single(spark, d):
-    return iv.require_single(_kind(spark, d, "video"), ["src"])
+    return iv.require_single(_kind(_items(spark, d), "video"), ["src"])
 
 
 def sliced(spark, d):
     lines = c.customer_lines(spark, d).select("src", "pos", "l_orderkey", "l_linenumber")
-    found = classify.slice_items(lines, _kind(spark, d, "file").select("src", "id", "start", "end"), ["src"])
+    found = classify.slice_items(lines, _kind(_items(spark, d), "file").select("src", "id", "start", "end"), ["src"])
     return found.groupBy("src", "id").agg(F.count(F.lit(1)).alias("records"), F.min("pos").alias("first"),
                                           F.max("pos").alias("last"), F.sum("l_orderkey").alias("key_sum"))
 
@@ -327,7 +339,8 @@ def refused(spark, d):
 
 
 def _zip(spark, d):
-    side = lambda kind: by_position(_kind(spark, d, kind).select("src", "start", "id", F.lit(1).alias("rate")),
+    items = _items(spark, d)
+    side = lambda kind: by_position(_kind(items, kind).select("src", "start", "id", F.lit(1).alias("rate")),
                                     ["src"], "start", c.POSITIONS_PER_BLOCK)[0]
     run = Run(("src",), ("start", "id"))
     return patch.zip_positional(side("video"), side("audio"), run, run, same=["rate"])

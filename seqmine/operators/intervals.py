@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -343,7 +344,8 @@ def assign_lanes(items: DataFrame, *, src: str = "src", order: Sequence[str] = (
         batch = rows.where(F.col("_b") == b)
         if held is not None:
             batch = batch.unionByName(held)
-        placed = batch.groupBy(src, "_stretch").applyInPandas(_place, schema)
+        placed = (batch.repartition(src, "_stretch").sortWithinPartitions(src, "_stretch", "_i")
+                  .mapInPandas(lambda batches: _place(batches, src), schema))
         if last == 0:
             return placed.select(src, "id", "start", "end", "lane")
         placed = cut(placed)
@@ -359,31 +361,37 @@ def assign_lanes(items: DataFrame, *, src: str = "src", order: Sequence[str] = (
     return out.select(src, "id", "start", "end", "lane")
 
 
-def _place(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lanes for one block; rows with ``_b`` -1 are open intervals of the block before."""
-    import heapq
-    pdf = pdf.sort_values("_i", kind="stable")
-    lanes = pdf["lane"].to_numpy(copy=True)
-    starts, ends, block = pdf["start"].to_numpy(), pdf["end"].to_numpy(), pdf["_b"].to_numpy()
-    busy = [(int(ends[i]), int(lanes[i])) for i in range(len(pdf)) if block[i] < 0]
-    heapq.heapify(busy)
-    taken = {lane for _, lane in busy}
-    used = max(taken, default=-1) + 1
-    free = [lane for lane in range(used) if lane not in taken]
-    heapq.heapify(free)
-    for i in range(len(pdf)):
-        if block[i] < 0:
-            continue
-        while busy and busy[0][0] < starts[i]:
-            heapq.heappush(free, heapq.heappop(busy)[1])
-        if free:
-            lane = heapq.heappop(free)
-        else:
-            lane, used = used, used + 1
-        lanes[i] = lane
-        heapq.heappush(busy, (int(ends[i]), lane))
-    pdf["lane"] = lanes
-    return pdf
+def _place(batches: Iterator[pd.DataFrame], src: str) -> Iterator[pd.DataFrame]:
+    """Lanes for rows sorted by stretch and number; only the open intervals are kept.
+
+    Rows that already have a lane are the open intervals of the block before.
+    """
+    current, busy, free, used = None, [], [], 0
+    for pdf in batches:
+        lanes = pdf["lane"].to_numpy(copy=True)
+        rows = zip(pdf[src], pdf["_stretch"], pdf["start"], pdf["end"], pdf["lane"])
+        for i, (source, stretch, start, end, lane) in enumerate(rows):
+            if (source, stretch) != current:
+                current, busy, free, used = (source, stretch), [], [], 0
+            if lane >= 0:
+                # Lanes below this one that no open interval holds are free.
+                heapq.heappush(busy, (end, lane))
+                for unheld in range(used, lane):
+                    heapq.heappush(free, unheld)
+                if lane < used:
+                    free.remove(lane)
+                    heapq.heapify(free)
+                used = max(used, lane + 1)
+                continue
+            while busy and busy[0][0] < start:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            if free:
+                lane = heapq.heappop(free)
+            else:
+                lane, used = used, used + 1
+            lanes[i] = lane
+            heapq.heappush(busy, (end, lane))
+        yield pdf.assign(lane=lanes)
 
 
 def require_single(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, by_position,
-                                  last_where, running, segment, shifted, upto)
+                                  last_where, running, segment, segment_groups,
+                                  shifted, upto)
 
 CHUNK_REACH = 50
 GROUP_GAP = 100
@@ -25,7 +26,7 @@ def _count() -> Column:
 
 def assemble_groups(df: DataFrame, run: Run, *, frame: str = "frame", chunk: str = "chunk",
                     expected: str = "expected", pos: str = "pos", same: Sequence[str] = (),
-                    reach: int = CHUNK_REACH, aggs: Sequence[Column] = ()) -> DataFrame:
+                    reach: int = CHUNK_REACH) -> DataFrame:
     """Chunks to frames: one row per frame with its extent and chunk statistics."""
     fields = list(dict.fromkeys([frame, chunk, expected, pos, *same]))
 
@@ -37,15 +38,12 @@ def assemble_groups(df: DataFrame, run: Run, *, frame: str = "frame", chunk: str
             out = out | ~cur(c).eqNullSafe(prev(c))
         return out
 
-    seg = segment(df, run, fields, breaks, "seg")
-    return (seg.groupBy(*run.keys, "seg")
-            .agg(F.min(pos).alias("start"), F.max(pos).alias("end"),
-                 F.min(frame).alias(frame), F.min(expected).alias(expected),
-                 _count().alias("chunks"), F.min(chunk).alias("first_chunk"),
-                 F.max(chunk).alias("last_chunk"),
-                 *[F.min(c).alias(c) for c in same], *aggs)
-            .withColumn("corrupt", F.col("first_chunk") >= F.col(expected))
-            .drop("seg"))
+    out = segment_groups(
+        df, run, fields, breaks, sums={"chunks": F.lit(1).cast("bigint")},
+        mins={"start": F.col(pos), frame: F.col(frame), expected: F.col(expected),
+              "first_chunk": F.col(chunk), **{c: F.col(c) for c in same}},
+        maxes={"end": F.col(pos), "last_chunk": F.col(chunk)})
+    return out.withColumn("corrupt", F.col("first_chunk") >= F.col(expected)).drop("seg")
 
 
 def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "channel"),
@@ -190,15 +188,14 @@ def segment_by_gap(df: DataFrame, run: Run, *, pos: str = "pos", end: str | None
 def segment_by_succession(df: DataFrame, run: Run, *, number: str = "number", pos: str = "pos",
                           wanted: str = "wanted", size: str = "size", start: int = 0) -> DataFrame:
     """Runs of consecutive numbers from ``start`` with payload of one constant size."""
-    seg = segment(df, run, [number], lambda prev, cur: cur(number) != prev(number) + 1)
     payload = F.when(F.col(wanted), F.col(size))
-    return (seg.groupBy(*run.keys, "seg")
-            .agg(F.min(pos).alias("start"), F.max(pos).alias("end"), _count().alias("records"),
-                 F.min(number).alias("first_number"), F.max(number).alias("last_number"),
-                 F.count(payload).alias("payloads"), F.min(payload).alias("size"),
-                 F.max(payload).alias("_max"))
-            .where((F.col("first_number") == start) & (F.col("payloads") > 0)
-                   & (F.col("size") == F.col("_max")))
+    out = segment_groups(
+        df, run, [number], lambda prev, cur: cur(number) != prev(number) + 1,
+        sums={"records": F.lit(1).cast("bigint"), "payloads": F.when(payload.isNotNull(), 1).otherwise(0)},
+        mins={"start": F.col(pos), "first_number": F.col(number), "size": payload},
+        maxes={"end": F.col(pos), "last_number": F.col(number), "_max": payload})
+    return (out.where((F.col("first_number") == start) & (F.col("payloads") > 0)
+                      & (F.col("size") == F.col("_max")))
             .drop("seg", "_max"))
 
 
@@ -233,14 +230,12 @@ def pair_adjacent(df: DataFrame, run: Run, *, side: str = "side", pos: str = "po
             out = out & cur(c).eqNullSafe(prev(c))
         return out
 
-    rows = segment(df.where(F.col(side).isin("left", "right")), run, fields,
-                   lambda prev, cur: ~joined(prev, cur))
-    pick = lambda s, c: F.max(F.when(F.col(side) == s, F.col(c)))
-    return (rows.groupBy(*run.keys, "seg")
-            .agg(pick("left", pos).alias("left_pos"), pick("right", pos).alias("right_pos"),
-                 pick("left", value).alias("left_value"), pick("right", value).alias("right_value"),
-                 *[F.min(c).alias(c) for c in same])
-            .drop("seg"))
+    pick = lambda s, c: F.when(F.col(side) == s, F.col(c))
+    return segment_groups(
+        df.where(F.col(side).isin("left", "right")), run, fields, lambda prev, cur: ~joined(prev, cur),
+        maxes={"left_pos": pick("left", pos), "right_pos": pick("right", pos),
+               "left_value": pick("left", value), "right_value": pick("right", value),
+               **{c: F.col(c) for c in same}}).drop("seg")
 
 
 def segment_increasing(df: DataFrame, run: Run, *, number: str = "number", rate: str = "rate",
@@ -258,13 +253,12 @@ def segment_increasing(df: DataFrame, run: Run, *, number: str = "number", rate:
             .drop("seg"))
 
 
-def islands(df: DataFrame, run: Run, claimed: str, pos: str = "pos",
-            aggs: Sequence[Column] = ()) -> DataFrame:
+def islands(df: DataFrame, run: Run, claimed: str, pos: str = "pos") -> DataFrame:
     """Maximal runs of rows for which ``claimed`` is false."""
-    rows = segment(df, run, [claimed], lambda prev, cur: prev(claimed) != cur(claimed))
-    return (rows.where(~F.col(claimed)).groupBy(*run.keys, "seg")
-            .agg(F.min(pos).alias("start"), F.max(pos).alias("end"), _count().alias("records"), *aggs)
-            .drop("seg"))
+    out = segment_groups(df, run, [claimed], lambda prev, cur: prev(claimed) != cur(claimed),
+                         sums={"records": F.lit(1).cast("bigint")}, mins={"start": F.col(pos)},
+                         maxes={"end": F.col(pos), "_claimed": F.col(claimed)})
+    return out.where(~F.col("_claimed")).drop("seg", "_claimed")
 
 
 def carve(df: DataFrame, run: Run, *, text: str, pattern: str, reach: int, step: int = 4,
@@ -314,12 +308,12 @@ def validated_runs(df: DataFrame, *, keys: Sequence[str] = ("src",), pos: str =
     def breaks(prev, cur):
         return (~prev(valid) | ~cur(valid) | prev(last) | (cur(pos) != prev(pos) + phases))
 
-    seg = segment(rows, run, [valid, last, pos], breaks)
-    return (seg.where(F.col(valid)).groupBy(*run.keys, "seg")
-            .agg(F.min(pos).alias("start"), F.max(pos).alias("end"), _count().alias("units"),
-                 F.bool_or(last).alias("_ended"), F.bool_and(zero).alias("_zero"))
-            .where(F.col("_ended") & ~F.col("_zero") & (F.col("units") >= min_len))
-            .drop("seg", "_ended", "_zero"))
+    out = segment_groups(rows, run, [valid, last, pos], breaks,
+                         sums={"units": F.lit(1).cast("bigint")},
+                         mins={"start": F.col(pos), "_zero": F.col(zero), "_valid": F.col(valid)},
+                         maxes={"end": F.col(pos), "_ended": F.col(last)})
+    return (out.where(F.col("_valid") & F.col("_ended") & ~F.col("_zero") & (F.col("units") >= min_len))
+            .drop("seg", "_zero", "_valid", "_ended"))
 
 
 def missing_members(df: DataFrame, group: Sequence[str], *, chunk: str = "chunk",

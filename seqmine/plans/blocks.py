@@ -22,7 +22,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from seqmine.session import cut
+
 BLOCK_WIDTH = 1 << 20
+SIZING_SAMPLE = 1024
 
 Getter = Callable[[str], Column]
 Condition = Callable[[Getter, Getter], Column]
@@ -132,6 +135,18 @@ def shifted(df: DataFrame, run: Run, fields: Sequence[str], name: str = "prev",
             .withColumn(name, F.coalesce(F.col(name), F.col("_c_edge"))).drop("_c_edge"))
 
 
+def _lagged(field: str) -> Column:
+    return F.col(f"_p_{field}")
+
+
+def _with_lags(df: DataFrame, run: Run, fields: Sequence[str]) -> DataFrame:
+    """The previous row's fields inside the block, and whether rows come before and after."""
+    rows = run.rows()
+    return df.select("*", F.lag(F.lit(True), 1, False).over(rows).alias("_seen"),
+                     F.lead(F.lit(True), 1, False).over(rows).alias("_more"),
+                     *[F.lag(c).over(rows).alias(f"_p_{c}") for c in fields])
+
+
 def last_where(df: DataFrame, run: Run, fields: Sequence[str],
                marks: dict[str, tuple[Condition, bool | Callable[[Getter], Column]]],
                carry_fields: Sequence[str] = (), keep_prev: bool = False) -> DataFrame:
@@ -144,23 +159,22 @@ def last_where(df: DataFrame, run: Run, fields: Sequence[str],
     ``<mark>_<field>``.
     """
     fields = list(dict.fromkeys([*fields, *carry_fields]))
-    row = F.struct(*[F.col(c) for c in fields])
     place = run.place()
     value = (F.struct(place.alias("p"), *[F.col(c).alias(c) for c in carry_fields])
              if carry_fields else place)
-    prev: Getter = lambda c: F.col("_prev")[c]
-
-    local = df.withColumn("_prev", F.lag(row).over(run.rows()))
-    hits = {n: F.col("_prev").isNotNull() & F.coalesce(cond(prev, F.col), F.lit(False))
-            for n, (cond, _) in marks.items()}
+    local = _with_lags(df, run, fields)
+    prev = _lagged
+    hits = {n: F.col("_seen") & F.coalesce(cond(prev, F.col), F.lit(False)) for n, (cond, _) in marks.items()}
     local = local.select("*", *[F.max(F.when(hit, value)).over(upto(run.rows())).alias(n)
                                 for n, hit in hits.items()])
 
     head: Getter = lambda c: F.col("_head")[c]
     tail: Getter = lambda c: F.col("_tail")[c]
     blocks = run.blocks()
+    row = F.struct(*[F.col(c) for c in fields])
     carry = (local.groupBy(*run.cell)
-             .agg(F.min_by(row, place).alias("_head"), F.max_by(row, place).alias("_edge"),
+             .agg(F.max(F.when(~F.col("_seen"), row)).alias("_head"),
+                  F.max(F.when(~F.col("_more"), row)).alias("_edge"),
                   F.min(value).alias("_place"),
                   *[F.max(name).alias(f"_l_{name}") for name in marks])
              .withColumn("_tail", F.lag("_edge").over(blocks)))
@@ -184,7 +198,8 @@ def last_where(df: DataFrame, run: Run, fields: Sequence[str],
         else:
             out.append(latest.alias(n))
     if keep_prev:
-        out.append(F.coalesce(F.col("_prev"), F.col("_tail")).alias("prev"))
+        before_here = F.when(F.col("_seen"), F.struct(*[_lagged(c).alias(c) for c in fields]))
+        out.append(F.coalesce(before_here, F.col("_tail")).alias("prev"))
     return local.join(carry, run.cell).select(*df.columns, *out)
 
 
@@ -194,6 +209,50 @@ def segment(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condition,
     return last_where(df, run, fields, {name: (breaks, True)})
 
 
+def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condition,
+                   sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None,
+                   maxes: dict[str, Column] | None = None) -> DataFrame:
+    """One row per segment with its sums, minima and maxima, and ``seg``, its first place.
+
+    Rows are read, shuffled and sorted once: each block is reduced to its parts of
+    segments, and only the first part of a block can continue an earlier one.  The
+    parts are written to the shared folder, the open ones are linked along the run
+    and parts of one segment are merged.
+    """
+    sums, mins, maxes = sums or {}, mins or {}, maxes or {}
+    fields = list(dict.fromkeys(fields))
+    place = run.place()
+    local = _with_lags(df, run, fields)
+    hit = F.col("_seen") & F.coalesce(breaks(_lagged, F.col), F.lit(False))
+    local = local.withColumn("_cut", F.max(F.when(hit, place)).over(upto(run.rows())))
+    # First and last row of the block field by field: plain maxima keep this a hash aggregation.
+    parts = local.groupBy(*run.cell, "_cut").agg(
+        F.min(place).alias("_from"),
+        *[F.max(F.when(~F.col("_seen"), F.col(c))).alias(f"_h_{c}") for c in fields],
+        *[F.max(F.when(~F.col("_more"), F.col(c))).alias(f"_t_{c}") for c in fields],
+        *[F.sum(c).alias(n) for n, c in sums.items()], *[F.min(c).alias(n) for n, c in mins.items()],
+        *[F.max(c).alias(n) for n, c in maxes.items()])
+    parts = cut(parts)
+
+    blocks = run.blocks()
+    head: Getter = lambda c: F.col(f"_h_{c}")
+    tail: Getter = lambda c: F.col("_tail")[c]
+    links = (parts.groupBy(*run.cell)
+             .agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in fields],
+                  *[F.max(f"_t_{c}").alias(f"_t_{c}") for c in fields],
+                  F.min("_from").alias("_from"), F.max("_cut").alias("_cut"))
+             .withColumn("_tail", F.lag(F.struct(*[F.col(f"_t_{c}").alias(c) for c in fields])).over(blocks)))
+    opens = F.when(F.col("_tail").isNull() | F.coalesce(breaks(tail, head), F.lit(False)), F.col("_from"))
+    links = (links.withColumn("_opens", opens)
+             .withColumn("_root", F.coalesce("_opens", F.last(F.coalesce("_cut", "_opens"), ignorenulls=True)
+                                             .over(before(blocks))))
+             .select(*run.cell, "_root"))
+    return (parts.join(links, run.cell).withColumn("seg", F.coalesce("_cut", "_root"))
+            .groupBy(*run.keys, "seg")
+            .agg(*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins],
+                 *[F.max(n).alias(n) for n in maxes]))
+
+
 def catch_up(df: DataFrame, run: Run, target: Column, length: Column,
              name: str = "filler") -> DataFrame:
     """Units to insert before each row so that the total reaches ``target``.
@@ -225,15 +284,17 @@ def by_density(df: DataFrame, keys: Sequence[str], coarse: str, fine: str,
                rows: int = BLOCK_WIDTH) -> tuple[DataFrame, tuple[str, str]]:
     """Blocks of about ``rows`` rows for runs without dense positions.
 
-    ``coarse`` and ``fine`` are integer columns that lead the order of the run.  One
-    map-side count finds the fullest ``(keys, coarse)`` value; blocks span several
+    ``coarse`` and ``fine`` are integer columns that lead the order of the run.  A count
+    over a sample finds the fullest ``(keys, coarse)`` value; blocks span several
     coarse values where data is thin and parts of one, cut by ``fine``, where it is
-    thick.  Returns the frame and the names of its block columns.
+    thick.  The estimate sets only the block size, any size gives the same result.
+    Returns the frame and the names of its block columns.
     """
-    full = (df.groupBy(*keys, coarse)
+    share = min(1.0, SIZING_SAMPLE / rows)
+    full = (df.sample(share, seed=1).groupBy(*keys, coarse)
             .agg(F.count(F.lit(1)).alias("n"), (F.max(fine) - F.min(fine) + 1).alias("w"))
             .agg(F.max("n").alias("n"), F.max_by("w", "n").alias("w")).first())
-    most, spread = full["n"] or 1, full["w"] or 1
+    most, spread = max(1, round((full["n"] or 1) / share)), full["w"] or 1
     span = max(1, rows // most)
     part = max(1, spread * rows // most) if most > rows else None
     sub = F.floor(F.col(fine) / F.lit(part)) if part else F.lit(0).cast("bigint")

@@ -34,21 +34,30 @@ def _levels(df: DataFrame, start: str, end: str) -> list[int]:
     return sorted(r["l"] for r in df.select(level).distinct().collect())
 
 
-def _spread(df: DataFrame, start: str, end: str, own_tag: str, other_tag: str,
-            other_levels: list[int], include_equal: bool) -> DataFrame:
-    rows = df.withColumn("_own", level_of(F.col(end) - F.col(start) + 1))
+def _cell(level: Column, position: Column, tag: int) -> Column:
+    """Bucket, level and tag in one number, so that the join compares a single BIGINT."""
+    return bucket_of(position, level) * 64 + (level * 2 + tag)
 
-    def cells(level: Column, tag: str) -> Column:
-        first, last = bucket_of(F.col(start), level), bucket_of(F.col(end), level)
-        cell = lambda b: F.struct(level.alias("l"), b.alias("b"), F.lit(tag).alias("t"))
-        return F.array_distinct(F.array(cell(first), cell(last)))
 
-    reach = (lambda l: F.col("_own") <= l) if include_equal else (lambda l: F.col("_own") < l)
-    levels = F.filter(F.array(*[F.lit(l) for l in other_levels]).cast("array<int>"), reach)
-    probes = F.flatten(F.transform(levels, lambda l: cells(l, other_tag)))
-    return (rows.withColumn("_cell", F.explode(F.concat(cells(F.col("_own"), own_tag), probes)))
-            .select(*df.columns, F.col("_cell.l").alias("_l"), F.col("_cell.b").alias("_b"),
-                    F.col("_cell.t").alias("_t")))
+def _spread(df: DataFrame, start: str, end: str, own_tag: int, other_levels: list[int],
+            include_equal: bool, points: bool) -> DataFrame:
+    """One row per cell: the own ones and those of the other side's larger levels.
+
+    The levels are known, so the cells are plain expressions inside generated code.
+    """
+    lo, hi = F.col(start), F.col(end)
+    own = F.lit(0) if points else level_of(hi - lo + 1)
+    rows = df.withColumn("_own", own)
+    own = F.col("_own")
+    cells = []
+    for level, tag, test in [(own, own_tag, None)] + [
+            (F.lit(l), 1 - own_tag, own <= l if include_equal else own < l) for l in other_levels]:
+        first, last = _cell(level, lo, tag), _cell(level, hi, tag)
+        cells.append(first if test is None else F.when(test, first))
+        if not points:
+            cells.append(F.when(first != last if test is None else test & (first != last), last))
+    return (rows.select(*df.columns, F.explode(F.array(*cells)).alias("_cell"))
+            .where(F.col("_cell").isNotNull()))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[str, str],
@@ -60,10 +69,12 @@ def overlap_pairs(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[s
     """
     a_levels = [0] if a_points else _levels(a, *a_span)
     b_levels = [0] if b_points else _levels(b, *b_span)
-    left = _spread(a, *a_span, "a", "b", b_levels, include_equal=False)
-    right = _spread(b, *b_span, "b", "a", a_levels, include_equal=True)
+    left = _spread(a, *a_span, 0, b_levels, False, a_points)
+    right = _spread(b, *b_span, 1, a_levels, True, b_points)
     meet = F.greatest(F.col(a_span[0]), F.col(b_span[0]))
-    return (left.join(right, [*on, "_l", "_b", "_t"])
+    level = F.floor(F.pmod("_cell", F.lit(64)) / 2).cast("int")
+    # A pair shares up to two cells; it counts in the one where the overlap begins.
+    return (left.join(right, [*on, "_cell"])
             .where((F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1])))
-            .where(bucket_of(meet, F.col("_l")) == F.col("_b"))
-            .drop("_l", "_b", "_t"))
+            .where(bucket_of(meet, level) == F.call_function("shiftright", F.col("_cell"), F.lit(6)))
+            .drop("_cell"))

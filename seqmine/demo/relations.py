@@ -145,7 +145,7 @@ def tree_ids(spark, d):
     big = lambda *cols: F.array(*[F.col(x).cast("bigint") for x in cols])
     items = (region.where("r_name <> 'ASIA'").select(big("r_regionkey").alias("tree"))
              .unionByName(nation.select(big("n_regionkey", "n_nationkey").alias("tree")))
-             .unionByName(cust.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+             .unionByName(cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                           .select(big("n_regionkey", "n_nationkey", "c_custkey").alias("tree"))))
     out = iv.resolve_parents_by_id(items.withColumn("path", F.lit("world")))
     text = lambda x: F.array_join(F.col(x).cast("array<string>"), ".")
@@ -189,7 +189,7 @@ def open_steps(spark, d):
 
 
 def lanes(spark, d):
-    return iv.assign_lanes(c.order_items_table(spark, d), width=c.POSITIONS_PER_BLOCK)
+    return iv.assign_lanes(_items(spark, d), width=c.POSITIONS_PER_BLOCK)
 
 
 def single(spark, d):
@@ -270,7 +270,7 @@ def ids(spark, d):
     videos = nation.select(F.col("n_regionkey").cast("bigint").alias("src"), (F.col("n_nationkey") + 1000).cast("bigint").alias("id"),
                            F.lit("video").alias("kind"), F.lit(None).cast("string").alias("path"),
                            F.col("n_regionkey").cast("bigint").alias("parent_id"))
-    audio = sup.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    audio = sup.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.col("n_regionkey").cast("bigint").alias("src"), (F.col("s_suppkey") + 100000).alias("id"),
         F.lit("audio").alias("kind"), F.lit(None).cast("string").alias("path"),
         F.when(F.col("s_acctbal") > 1000, F.col("s_nationkey").cast("bigint") + 1000).alias("parent_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import whole_div
-from seqmine.plans.blocks import (BLOCK_WIDTH, Run, by_position, dense_index, last_where, running)
+from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, running
 from seqmine.plans.chains import first_after, reachable
 from seqmine.plans.ranges import overlap_pairs
 from seqmine.session import cut
@@ -328,10 +328,9 @@ def assign_lanes(items: DataFrame, *, src: str = "src", order: Sequence[str] = (
     """
     cells, _ = by_position(items.select(src, "id", "start", "end"), [src], "start", width)
     run = Run((src,), tuple(order))
-    rows = dense_index(cells, run, "_i")
-    rows = running(rows, run, maxes={"_reach": F.col("end")}, exclusive=True)
+    rows = running(cells, run, sums={"_i": F.lit(1).cast("bigint")}, maxes={"_reach": F.col("end")}, exclusive=True)
     opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach"))
-    rows = cut(running(rows, run, maxes={"_stretch": F.when(opens, F.col("_i"))}))
+    rows = running(rows, run, maxes={"_stretch": F.when(opens, F.col("_i"))})
     rows = cut(rows.select(src, "id", "start", "end", "_stretch", "_i",
                            whole_div(F.col("_i") - F.col("_stretch"), F.lit(block).cast("bigint")).alias("_b"),
                            F.lit(-1).cast("bigint").alias("lane")))

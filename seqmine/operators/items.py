@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, dense_index, running
+from seqmine.session import cut
 
 # Item order of kinds that start at the same position; others come last.
 KIND_LEVELS = {"file": 1, "video": 2, "audio": 3}
@@ -48,7 +49,7 @@ def assign_ids(items: DataFrame, *, src: str = "src", width: int = BLOCK_WIDTH)
     others = dense_index(roots.where(F.col("kind") != "file"), Run((src,), ("number",)), "_own")
     below = dense_index(numbered.where(F.col("parent_id").isNotNull()),
                         Run((src, "parent_id"), ("number",)), "_own")
-    named = files.unionByName(others).unionByName(below)
+    named = cut(files.unionByName(others).unionByName(below))
     up = named.select(src, F.col("id").alias("parent_id"), F.col("parent_id").alias("_grand"),
                       F.col("_own").alias("_up_own"), F.col("path").alias("_up_path"))
     top = named.select(src, F.col("id").alias("_grand"), F.col("_own").alias("_top_own"),

@@ -31,8 +31,8 @@ def match_template(frames: DataFrame, templates: Sequence[Template], *,
     """Templates that every frame after the first fits; the smallest numerator wins.
 
     ``start`` and ``end`` count from the start of the run's first frame.  A frame
-    fits if it starts where a slot starts and ends inside it.  The slots are small
-    caller-given data and are broadcast; the frames are not shuffled for the join.
+    fits if it starts where a slot starts and ends inside it.  The slots are a local
+    table whose size the planner knows; it broadcasts them when they are small.
     """
     spark = frames.sparkSession
     slots = spark.createDataFrame(
@@ -45,7 +45,7 @@ def match_template(frames: DataFrame, templates: Sequence[Template], *,
             .withColumn("template", F.col("_t.template"))
             .withColumn("phase", F.when(F.col("_t.loop").isNull(), F.col("start"))
                         .otherwise(F.pmod(F.col("start"), F.col("_t.loop")))))
-    joined = rows.join(F.broadcast(slots), ["template", "phase"], "left")
+    joined = rows.join(slots, ["template", "phase"], "left")
     fits = F.coalesce(F.col("end") - F.col("start") + F.col("phase") <= F.col("slot_end"), F.lit(False))
     ok = (joined.groupBy(*keys, "template").agg(F.bool_and(fits).alias("_ok"),
                                                 F.min("_t.num").alias("num"), F.min("_t.den").alias("den"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, by_position,
                                   last_where, running, segment, segment_groups,
                                   shifted, upto)
+from seqmine.session import cut
 
 CHUNK_REACH = 50
 GROUP_GAP = 100
@@ -98,11 +99,19 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
         brk = F.coalesce(known, (F.lit(bit) + F.col("_n")) % 2) == 1
         rows = rows.withColumn(f"_s{bit}", F.max(F.when(brk, F.col(pos))).over(upto(w)))
 
+    # Rows of a block with the same pair of possible starts form one part of a stream.
+    after = lambda bit: F.max(F.when(~F.col(pos).eqNullSafe(F.col(f"_s{bit}")), F.col("_gap")))
+    parts = cut(rows.groupBy(*run.cell, "_s0", "_s1").agg(
+        F.max(pos).alias("end"), _count().alias("records"), F.min(fmt).alias(fmt),
+        F.sum(F.when(F.col(silent), 0).otherwise(1)).alias("sounding"),
+        after(0).alias("_g0"), after(1).alias("_g1"),
+        F.max("_n").alias("_n"), F.max("_an").alias("_an"), F.max_by("_av", "_n").alias("_av")))
+
     blocks = run.blocks()
     earlier = before(blocks)
-    carry = (rows.groupBy(*run.cell)
+    carry = (parts.groupBy(*run.cell)
              .agg(F.max("_n").alias("_cnt"), F.max("_an").alias("_an"),
-                  F.max_by("_av", pos).alias("_av"),
+                  F.max_by("_av", "_n").alias("_av"),
                   F.max("_s0").alias("_s0"), F.max("_s1").alias("_s1"))
              .withColumn("_end", (F.col("_av") + F.col("_cnt") - F.col("_an")) % 2)
              .withColumn("_total", F.sum("_cnt").over(upto(blocks)))
@@ -110,16 +119,14 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
     carry = carry.withColumn("_from", F.last("_at", ignorenulls=True).over(earlier))
     carry = carry.withColumn("_bit", F.coalesce(
         (F.col("_from._end") + F.col("_total") - F.col("_cnt") - F.col("_from._total")) % 2, F.lit(0)))
-    chosen = F.when(F.col("_bit") == 0, F.col("_s0")).otherwise(F.col("_s1"))
-    carry = (carry.withColumn("_start", F.last(chosen, ignorenulls=True).over(earlier))
+    chosen = lambda c: F.when(F.col("_bit") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
+    carry = (carry.withColumn("_start", F.last(chosen("_s"), ignorenulls=True).over(earlier))
              .select(*run.cell, "_bit", "_start"))
-    start = F.coalesce(chosen, F.col("_start"))
-    return (rows.join(carry, run.cell).withColumn("start", start)
+    return (parts.join(carry, run.cell)
+            .withColumn("start", F.coalesce(chosen("_s"), F.col("_start"))).withColumn("_gap", chosen("_g"))
             .groupBy(*keys, "start")
-            .agg(F.max(pos).alias("end"), _count().alias("records"),
-                 F.max(F.when(F.col(pos) != F.col("start"), F.col("_gap"))).alias("stride"),
-                 F.min(fmt).alias(fmt),
-                 F.sum(F.when(F.col(silent), 0).otherwise(1)).alias("sounding"))
+            .agg(F.max("end").alias("end"), F.sum("records").alias("records"), F.max("_gap").alias("stride"),
+                 F.min(fmt).alias(fmt), F.sum("sounding").alias("sounding"))
             .where((F.col("records") > 1) | (F.col("sounding") > 0)))
 
 
@@ -318,13 +325,18 @@ def validated_runs(df: DataFrame, *, keys: Sequence[str] = ("src",), pos: str =
 
 def missing_members(df: DataFrame, group: Sequence[str], *, chunk: str = "chunk",
                     expected: str = "expected") -> DataFrame:
-    """Chunk numbers absent from ``0..expected-1``, one row per missing number."""
-    present = df.groupBy(*group, chunk).agg(F.max(expected).alias(expected))
-    wanted = (present.groupBy(*group).agg(F.max(expected).alias("_n")).where("_n > 0")
-              .select(*group, F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                   F.col("_n").cast("bigint") - 1)).alias("missing")))
-    have = present.select(*group, F.col(chunk).cast("bigint").alias("missing"))
-    return wanted.join(have, [*group, "missing"], "left_anti")
+    """Chunk numbers absent from ``0..expected-1``, one row per missing number.
+
+    Only numbers below ``expected`` are kept while counting, so a group's set is no
+    larger than the group should be, however many rows repeat its numbers.
+    """
+    inside = F.col(chunk).between(F.lit(0), F.col(expected) - 1)
+    seen = df.groupBy(*group).agg(
+        F.collect_set(F.when(inside, F.col(chunk).cast("bigint"))).alias("_have"),
+        F.max(expected).cast("bigint").alias("_n"))
+    wanted = F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)
+    return (seen.where("_n > 0")
+            .select(*group, F.explode(F.array_except(wanted, F.col("_have"))).alias("missing")))
 
 
 def piece_offsets(pieces: DataFrame, run: Run, *, length: Column) -> DataFrame:
@@ -353,14 +365,15 @@ def concat_payload(pieces: DataFrame, run: Run, *, payload: str = "payload", pos
                .withColumn(payload, F.substring(F.col(payload), front + 1,
                                                 F.greatest(size - front - back, F.lit(0)))))
     placed = piece_offsets(trimmed, run, length=F.length(payload))
+    # Empty pieces take no room, so a part could hold any number of them.
+    piece = F.when(F.length(payload) > 0, F.struct(F.col(pos).alias("p"), F.col(payload).alias("t")))
     return (placed.withColumn("part", F.floor(F.col("offset") / part_size))
             .groupBy(*run.keys, "part")
             .agg(F.min(pos).alias("start"), F.max(pos).alias("end"),
                  F.sum(F.length(payload)).cast("bigint").alias("size"),
                  F.bool_and("_legal").alias("legal"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"),
-                                                                               F.col(payload).alias("t")))),
-                                          lambda x: x["t"]), "").alias(payload)))
+                 F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "")
+                 .alias(payload)))
 
 
 def locate_offset(pieces: DataFrame, queries: DataFrame, keys: Sequence[str], *, length: str = "len",

@@ -122,7 +122,7 @@ split AS (
 
 def silent_pieces(spark, d):
     sounding = c.customer_lines(spark, d).where("l_quantity < 40").select("src", F.col("l_orderkey").alias("id"), "pos")
-    return iv.mark_silent_pieces(splits(spark, d), sounding, width=c.POSITIONS_PER_BLOCK)
+    return iv.mark_silent_pieces(cut(splits(spark, d)), sounding, width=c.POSITIONS_PER_BLOCK)
 
 
 def orphans(spark, d):

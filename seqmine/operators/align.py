@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import floor_div
-from seqmine.plans.blocks import Run, catch_up, dense_index, last_where, running, shifted
+from seqmine.plans.blocks import Run, catch_up, dense_index, last_where, run_totals, running, shifted
 
 
 def number_frames(df: DataFrame, run: Run, *, header: str = "frame", start: str = "start") -> DataFrame:
@@ -72,8 +72,8 @@ def minority_kind(df: DataFrame, run: Run, *, minor: Column, major: Column) -> D
 
 def with_first(df: DataFrame, run: Run, col: str, name: str = "first") -> DataFrame:
     """The value of ``col`` in the first row of each run, on every row."""
-    return last_where(df, run, [col], {"_run": (lambda prev, cur: F.lit(False), True)},
-                      carry_fields=[col]).withColumnRenamed(f"_run_{col}", name).drop("_run")
+    rows = run_totals(df, run, mins={"_at": F.struct(run.place().alias("p"), F.col(col).alias("v"))})
+    return rows.withColumn(name, F.col("_at.v")).drop("_at")
 
 
 def fill_audio(df: DataFrame, run: Run, *, presentation: str = "pos", samples: str = "samples",

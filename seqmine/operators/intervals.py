@@ -64,17 +64,24 @@ def flag_content(items: DataFrame, records: DataFrame, flags: dict[str, Column],
     """For each item and flag, whether a flagged record lies inside the item.
 
     An item holds one exactly if the first flagged record at or after its start is
-    not past its end, so records and items are never paired.
+    not past its end.  Flagged positions and item starts are put on one line and
+    walked backwards once for all flags, so records and items are never paired.
     """
-    out = items
-    starts = items.select(*keys, (F.col("start") - 1).alias("at")).distinct()
-    for name, test in flags.items():
-        hits = records.where(test).select(*keys, F.col(pos).alias("point"))
-        nxt = first_after(hits, starts, keys, width=width).select(
-            *keys, (F.col("at") + 1).alias("start"), F.col("next").alias("_next"))
-        out = (out.join(nxt, [*keys, "start"], "left")
-               .withColumn(name, F.coalesce(F.col("_next") <= F.col("end"), F.lit(False))).drop("_next"))
-    return out
+    keys = list(keys)
+    wanted = None
+    for test in flags.values():
+        wanted = test if wanted is None else wanted | test
+    points = records.where(wanted).groupBy(*keys, F.col(pos).alias("_at")).agg(
+        *[F.bool_or(test).alias(name) for name, test in flags.items()])
+    line = (points.withColumn("_kind", F.lit(1))
+            .unionByName(items.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind")).distinct(),
+                         allowMissingColumns=True))
+    cells, _ = by_position(line, keys, "_at", width)
+    found = running(cells, Run(tuple(keys), ("_at", "_kind")), reverse=True,
+                    lasts={f"_next_{name}": F.when(F.col(name), F.col("_at")) for name in flags})
+    nearest = found.where("_kind = 0").select(*keys, F.col("_at").alias("start"), *[f"_next_{n}" for n in flags])
+    return items.join(nearest, [*keys, "start"]).select(
+        *items.columns, *[F.coalesce(F.col(f"_next_{n}") <= F.col("end"), F.lit(False)).alias(n) for n in flags])
 
 
 def boundary_violations(children: DataFrame, parents: DataFrame, sources: DataFrame, *,

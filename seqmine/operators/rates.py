@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqmine.functions.rational import rational, whole_div
 from seqmine.plans.blocks import Run, dense_index, shifted
+from seqmine.session import cut
 
 WORD = 62
 EARLY = 4
@@ -74,7 +75,7 @@ def infer_interval(frames: DataFrame, run: Run) -> DataFrame:
     bit mask per row and the masks are combined by a map-side ``bit_and``.
     """
     keys = list(run.keys)
-    gaps = frame_gaps(frames, run)
+    gaps = cut(frame_gaps(frames, run))
     at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
     later = F.col("n") >= 2
     early = gaps.groupBy(*keys).agg(

@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, by_position,
-                                  last_where, running, segment, segment_groups,
-                                  shifted, upto)
+from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, by_position, last_where,
+                                  run_totals, running, segment, segment_groups, shifted, upto)
 from seqmine.session import cut
 
 CHUNK_REACH = 50
@@ -354,13 +353,10 @@ def concat_payload(pieces: DataFrame, run: Run, *, payload: str = "payload", pos
     one continues in further parts, so no cell or task holds an unbounded group.
     """
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
-    ends = pieces.groupBy(*run.cell).agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-    over = Window.partitionBy(*run.keys)
-    ends = ends.select(*run.cell, F.min("_lo").over(over).alias("_lo"), F.max("_hi").over(over).alias("_hi"))
     front = F.when(F.col(pos) == F.col("_lo"), as_col(first_trim)).otherwise(0)
     back = F.when(F.col(pos) == F.col("_hi"), as_col(last_trim)).otherwise(0)
     size = F.length(payload)
-    trimmed = (pieces.join(ends, run.cell)
+    trimmed = (run_totals(pieces, run, mins={"_lo": F.col(pos)}, maxes={"_hi": F.col(pos)})
                .withColumn("_legal", (front >= 0) & (back >= 0) & (front + back <= size))
                .withColumn(payload, F.substring(F.col(payload), front + 1,
                                                 F.greatest(size - front - back, F.lit(0)))))

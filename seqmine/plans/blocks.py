@@ -123,6 +123,20 @@ def dense_index(df: DataFrame, run: Run, name: str = "idx", start: int = 0) -> D
     return out.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
+def run_totals(df: DataFrame, run: Run, *, mins: dict[str, Column] | None = None,
+               maxes: dict[str, Column] | None = None) -> DataFrame:
+    """Minimum and maximum over the whole run on every row.
+
+    Only block summaries are gathered per run; rows keep their block partitioning.
+    """
+    mins, maxes = mins or {}, maxes or {}
+    agg = ([F.min(c).alias(n) for n, c in mins.items()] + [F.max(c).alias(n) for n, c in maxes.items()])
+    over = Window.partitionBy(*run.keys)
+    totals = df.groupBy(*run.cell).agg(*agg).select(
+        *run.cell, *[F.min(n).over(over).alias(n) for n in mins], *[F.max(n).over(over).alias(n) for n in maxes])
+    return df.join(totals, run.cell)
+
+
 def shifted(df: DataFrame, run: Run, fields: Sequence[str], name: str = "prev",
             reverse: bool = False) -> DataFrame:
     """Struct of the previous row's ``fields`` (the next row's if ``reverse``)."""

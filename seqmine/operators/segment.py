@@ -98,13 +98,20 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
         brk = F.coalesce(known, (F.lit(bit) + F.col("_n")) % 2) == 1
         rows = rows.withColumn(f"_s{bit}", F.max(F.when(brk, F.col(pos))).over(upto(w)))
 
+    rows = rows.withColumn("_more", F.lead(F.lit(True), 1, False).over(w))
     # Rows of a block with the same pair of possible starts form one part of a stream.
     after = lambda bit: F.max(F.when(~F.col(pos).eqNullSafe(F.col(f"_s{bit}")), F.col("_gap")))
     parts = cut(rows.groupBy(*run.cell, "_s0", "_s1").agg(
         F.max(pos).alias("end"), _count().alias("records"), F.min(fmt).alias(fmt),
         F.sum(F.when(F.col(silent), 0).otherwise(1)).alias("sounding"),
         after(0).alias("_g0"), after(1).alias("_g1"),
-        F.max("_n").alias("_n"), F.max("_an").alias("_an"), F.max_by("_av", "_n").alias("_av")))
+        F.max("_n").alias("_n"), F.max("_an").alias("_an"), F.max_by("_av", "_n").alias("_av"),
+        F.max(~F.col("_more")).alias("_at_end")))
+    # Parts with one certain start that end before the block does are complete.
+    edge = ~F.coalesce(F.col("_s0") == F.col("_s1"), F.lit(False)) | F.col("_at_end")
+    inner = parts.where(~edge).select(*keys, F.col("_s0").alias("start"), "end", "records",
+                                      F.col("_g0").alias("stride"), fmt, "sounding")
+    parts = parts.where(edge)
 
     blocks = run.blocks()
     earlier = before(blocks)
@@ -121,12 +128,12 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
     chosen = lambda c: F.when(F.col("_bit") == 0, F.col(f"{c}0")).otherwise(F.col(f"{c}1"))
     carry = (carry.withColumn("_start", F.last(chosen("_s"), ignorenulls=True).over(earlier))
              .select(*run.cell, "_bit", "_start"))
-    return (parts.join(carry, run.cell)
-            .withColumn("start", F.coalesce(chosen("_s"), F.col("_start"))).withColumn("_gap", chosen("_g"))
-            .groupBy(*keys, "start")
-            .agg(F.max("end").alias("end"), F.sum("records").alias("records"), F.max("_gap").alias("stride"),
-                 F.min(fmt).alias(fmt), F.sum("sounding").alias("sounding"))
-            .where((F.col("records") > 1) | (F.col("sounding") > 0)))
+    merged = (parts.join(carry, run.cell)
+              .withColumn("start", F.coalesce(chosen("_s"), F.col("_start"))).withColumn("_gap", chosen("_g"))
+              .groupBy(*keys, "start")
+              .agg(F.max("end").alias("end"), F.sum("records").alias("records"), F.max("_gap").alias("stride"),
+                   F.min(fmt).alias(fmt), F.sum("sounding").alias("sounding")))
+    return merged.unionByName(inner).where((F.col("records") > 1) | (F.col("sounding") > 0))
 
 
 def stitch_groups(frames: DataFrame, run: Run, *, start: str = "start", end: str = "end",

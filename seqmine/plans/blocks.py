@@ -229,9 +229,9 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     """One row per segment with its sums, minima and maxima, and ``seg``, its first place.
 
     Rows are read, shuffled and sorted once: each block is reduced to its parts of
-    segments, and only the first part of a block can continue an earlier one.  The
-    parts are written to the shared folder, the open ones are linked along the run
-    and parts of one segment are merged.
+    segments, and only its first and last part can belong to a longer segment.  The
+    parts are written to the shared folder; those at block edges are linked along the
+    run and merged, all others are complete and are neither shuffled nor joined again.
     """
     sums, mins, maxes = sums or {}, mins or {}, maxes or {}
     fields = list(dict.fromkeys(fields))
@@ -241,7 +241,7 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     local = local.withColumn("_cut", F.max(F.when(hit, place)).over(upto(run.rows())))
     # First and last row of the block field by field: plain maxima keep this a hash aggregation.
     parts = local.groupBy(*run.cell, "_cut").agg(
-        F.min(place).alias("_from"),
+        F.min(place).alias("_from"), F.max(~F.col("_more")).alias("_at_end"),
         *[F.max(F.when(~F.col("_seen"), F.col(c))).alias(f"_h_{c}") for c in fields],
         *[F.max(F.when(~F.col("_more"), F.col(c))).alias(f"_t_{c}") for c in fields],
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.min(c).alias(n) for n, c in mins.items()],
@@ -251,7 +251,11 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     blocks = run.blocks()
     head: Getter = lambda c: F.col(f"_h_{c}")
     tail: Getter = lambda c: F.col("_tail")[c]
-    links = (parts.groupBy(*run.cell)
+    edge = F.col("_cut").isNull() | F.col("_at_end")
+    values = [*sums, *mins, *maxes]
+    inner = parts.where(~edge).select(*run.keys, F.col("_cut").alias("seg"), *values)
+    edges = parts.where(edge)
+    links = (edges.groupBy(*run.cell)
              .agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in fields],
                   *[F.max(f"_t_{c}").alias(f"_t_{c}") for c in fields],
                   F.min("_from").alias("_from"), F.max("_cut").alias("_cut"))
@@ -261,10 +265,11 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
              .withColumn("_root", F.coalesce("_opens", F.last(F.coalesce("_cut", "_opens"), ignorenulls=True)
                                              .over(before(blocks))))
              .select(*run.cell, "_root"))
-    return (parts.join(links, run.cell).withColumn("seg", F.coalesce("_cut", "_root"))
-            .groupBy(*run.keys, "seg")
-            .agg(*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins],
-                 *[F.max(n).alias(n) for n in maxes]))
+    merged = (edges.join(links, run.cell).withColumn("seg", F.coalesce("_cut", "_root"))
+              .groupBy(*run.keys, "seg")
+              .agg(*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins],
+                   *[F.max(n).alias(n) for n in maxes]))
+    return merged.unionByName(inner)
 
 
 def catch_up(df: DataFrame, run: Run, target: Column, length: Column,

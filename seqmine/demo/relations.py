@@ -120,6 +120,28 @@ split AS (
   SELECT src, id, stride, s AS "start", coalesce(following - stride, e) AS "end" FROM cuts)"""
 
 
+def channel_splits(spark, d):
+    """The other rule: same channel only, any end past the video's start, cut one before it."""
+    items = _items(spark, d).withColumn("channel", F.col("id") % 2)
+    audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
+    on_grid = F.col("end") - F.pmod(F.col("end") - F.col("start"), F.col("stride"))
+    return iv.split_intervals(audio.withColumn("end", on_grid), _kind(items, "video"), on=("src", "channel"), tail=0, offset=1)
+
+
+CHANNEL_SPLITS = """pieces AS (
+  SELECT src, id, 1 + id % 7 AS stride, "start" AS s, "end" - ("end" - "start") % (1 + id % 7) AS e, 0 AS n
+  FROM order_items WHERE kind = 'audio'
+  UNION ALL
+  SELECT p.src, p.id, p.stride, v - 1 + p.stride - 1 - (v - 1 - p.s - 1) % p.stride, p.e, p.n + 1
+  FROM (SELECT p.src, p.id, p.stride, p.s, p.e, p.n, min(o."start") AS v
+        FROM pieces p JOIN order_items o ON o.src = p.src AND o.id % 2 = p.id % 2 AND o.kind = 'video'
+             AND p.s < o."start" - 32 AND p.e >= o."start"
+        GROUP BY ALL) p),
+cuts AS (
+  SELECT src, id, stride, s, e, n, lead(s) OVER (PARTITION BY src, id ORDER BY n) AS following FROM pieces)
+SELECT src, id, id % 2 AS channel, stride, s AS "start", coalesce(following - stride, e) AS "end" FROM cuts"""
+
+
 def silent_pieces(spark, d):
     sounding = c.customer_lines(spark, d).where("l_quantity < 40").select("src", F.col("l_orderkey").alias("id"), "pos")
     return iv.mark_silent_pieces(cut(splits(spark, d)), sounding, width=c.POSITIONS_PER_BLOCK)
@@ -392,6 +414,7 @@ QUERIES = {
     "flag_content": content,
     "boundary_violations": violations,
     "split_intervals": splits,
+    "split_intervals_by_channel": channel_splits,
     "mark_silent_pieces": silent_pieces,
     "drop_silent_orphans": orphans,
     "resolve_tree": tree,
@@ -440,6 +463,7 @@ SELECT o.*, EXISTS (SELECT 1 FROM customer_lines l WHERE l.src = o.src AND l.pos
 FROM order_items o""",
     "boundary_violations": c.with_(c.ORDER_ITEMS, ORDERED, PARENTED, _VIOLATIONS) + "SELECT * FROM violations",
     "split_intervals": c.with_(c.ORDER_ITEMS, SPLITS, recursive=True) + "SELECT * FROM split",
+    "split_intervals_by_channel": c.with_(c.ORDER_ITEMS, CHANNEL_SPLITS, recursive=True),
     "mark_silent_pieces": c.with_(c.ORDER_ITEMS, c.CUSTOMER_LINES, SPLITS, recursive=True) + """
 SELECT s.*, NOT EXISTS (SELECT 1 FROM customer_lines l WHERE l.src = s.src AND l.l_orderkey = s.id
                         AND l.l_quantity < 40 AND l.pos BETWEEN s."start" AND s."end") AS silent FROM split s""",

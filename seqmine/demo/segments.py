@@ -112,6 +112,14 @@ SELECT src, min("start") AS "start", max("end") AS "end", min(number) AS first_n
 FROM walk GROUP BY src, seg"""
 
 
+def video_summaries(spark, d):
+    """Frames of two chunks and more, joined over small gaps and summarised."""
+    f = frames(spark, d).where("chunks > 1")
+    df, run = by_position(f, ["src"], "start", c.POSITIONS_PER_BLOCK)
+    rows = seg.segment_by_gap(df, run, pos="start", end="end", gap=2)
+    return seg.summarise_segments(rows, ["src", "seg"], pos="start", end="end", number="frame", total="chunks").drop("seg")
+
+
 def countdown(spark, d):
     rows, run = c.disc_lines(spark, d)
     keyed = rows.withColumn("channel", F.col("l_returnflag")).withColumn("number", 8 - F.col("l_linenumber").cast("bigint"))
@@ -242,6 +250,7 @@ QUERIES = {
     "derive_durations": durations,
     "segment_by_gap": gap_segments,
     "summarise_segments": summaries,
+    "summarise_frames": video_summaries,
     "islands": unclaimed_islands,
     "check_continuity": continuity,
     "minority_kind": minority,
@@ -289,6 +298,14 @@ FROM (SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY pos) AS seg
       FROM (SELECT *, CASE WHEN pos > lag(pos) OVER w + 24 OR (value < 50) <> lag(value < 50) OVER w THEN 1 ELSE 0 END AS brk
             FROM hour_events WINDOW w AS (PARTITION BY src ORDER BY pos)))
 GROUP BY src, seg""",
+    "summarise_frames": c.with_(c.DISC_LINES, FRAMES) + """
+, g AS (SELECT *, CASE WHEN "start" > lag("end") OVER (PARTITION BY src ORDER BY "start") + 2 THEN 1 ELSE 0 END AS brk
+        FROM frames WHERE chunks > 1),
+n AS (SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY "start") AS video FROM g)
+SELECT src, min("start") AS "start", max("end") AS "end", count(*) AS records,
+       arg_min("end", "start") - min("start") AS first_offset, min(frame) AS first_number, max(frame) AS last_number,
+       CAST(sum(chunks) AS BIGINT) AS total, max("end") - min("start") + 1 AS length
+FROM n GROUP BY src, video""",
     "islands": c.with_(c.HOUR_EVENTS) + """
 SELECT src, min(pos) AS "start", max(pos) AS "end", count(*) AS records
 FROM (SELECT src, pos, event_type, count(*) FILTER (event_type = 'view') OVER (PARTITION BY src ORDER BY pos) AS grp

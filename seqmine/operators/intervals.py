@@ -108,25 +108,27 @@ def _first_end(start: Column, stride: Column, at: Column) -> Column:
     return at - F.pmod(at - start - 1, stride) - 1
 
 
-def split_intervals(audio: DataFrame, video: DataFrame, *, src: str = "src",
-                    threshold: int = SPLIT_THRESHOLD, offset: int = 0,
+def split_intervals(audio: DataFrame, video: DataFrame, *, on: Sequence[str] = ("src",),
+                    threshold: int = SPLIT_THRESHOLD, tail: int | None = None, offset: int = 0,
                     fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Cuts audio items at the starts of videos, in order of the starts.
 
-    Audio has ``src, id, start, end, stride``; a piece is cut at ``start of video -
-    offset`` if it begins more than ``threshold`` before the video and ends at least
-    ``threshold`` after its start.  Cut points snap to the stride.  Items with up to
-    ``fold_limit`` candidate cuts are folded as one array; longer ones follow
+    Audio has the ``on`` columns and ``id, start, end, stride`` with its end on the
+    stride.  A piece is cut at ``start of video - offset`` if it begins more than
+    ``threshold`` before the video and ends at least ``tail`` (by default the
+    threshold) after the video's start.  Cut points snap to the stride.  Items with up
+    to ``fold_limit`` candidate cuts are folded as one array; longer ones follow
     next-cut pointers over distributed rows.
     """
-    cuts = video.select(src, F.col("start").alias("cut_at")).distinct()
-    item = audio.select(src, "id", "start", "end", "stride")
-    inner = item.select(src, "id", (F.col("start") + threshold + 1).alias("_lo"),
-                        (F.col("end") - threshold).alias("_hi"), "start", "end", "stride").where("_lo <= _hi")
-    pairs = overlap_pairs(cuts, inner, [src], ("cut_at", "cut_at"), ("_lo", "_hi"), a_points=True)
-    counts = pairs.groupBy(src, "id").agg(F.count(F.lit(1)).alias("_n"))
-    counts = cut(counts)
-    small = pairs.join(counts.where(F.col("_n") <= fold_limit).select(src, "id"), [src, "id"])
+    on, tail = list(on), threshold if tail is None else tail
+    cuts = video.select(*on, F.col("start").alias("cut_at")).distinct()
+    item = audio.select(*on, "id", "start", "end", "stride")
+    inner = item.select("*", (F.col("start") + threshold + 1).alias("_lo"),
+                        (F.col("end") - tail).alias("_hi")).where("_lo <= _hi")
+    pairs = overlap_pairs(cuts, inner, on, ("cut_at", "cut_at"), ("_lo", "_hi"), a_points=True)
+    key = [*on, "id"]
+    counts = cut(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
+    small = pairs.join(counts.where(F.col("_n") <= fold_limit).select(*key), key)
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     fold = F.aggregate(
         F.array_sort("_cuts"), F.struct(F.col("start").alias("s"), empty.alias("done")),
@@ -137,46 +139,37 @@ def split_intervals(audio: DataFrame, video: DataFrame, *, src: str = "src",
                          acc["s"].alias("start"),
                          _first_end(acc["s"], F.col("stride"), at - offset).alias("end"))).alias("done")))
         .otherwise(acc))
-    folded = (small.groupBy(src, "id", "start", "end", "stride").agg(F.collect_list("cut_at").alias("_cuts"))
+    folded = (small.groupBy(*key, "start", "end", "stride").agg(F.collect_list("cut_at").alias("_cuts"))
               .withColumn("_f", fold)
               .withColumn("_piece", F.explode(F.array_append(
                   F.col("_f.done"), F.struct(F.col("_f.s").alias("start"), F.col("end").alias("end")))))
-              .select(src, "id", "stride", F.col("_piece.start").alias("start"),
-                      F.col("_piece.end").alias("end")))
-    whole = item.join(counts.select(src, "id"), [src, "id"], "left_anti").select(
-        src, "id", "stride", "start", "end")
+              .select(*key, "stride", F.col("_piece.start").alias("start"), F.col("_piece.end").alias("end")))
+    whole = item.join(counts.select(*key), key, "left_anti").select(*key, "stride", "start", "end")
     out = whole.unionByName(folded)
     large = counts.where(F.col("_n") > fold_limit)
     if not large.isEmpty():
-        out = out.unionByName(_split_by_pointers(pairs.join(large.select(src, "id"), [src, "id"]),
-                                                 src, threshold, offset))
+        out = out.unionByName(_split_by_pointers(pairs.join(large.select(*key), key), key, threshold, offset))
     return out
 
 
-def _split_by_pointers(pairs: DataFrame, src: str, threshold: int, offset: int) -> DataFrame:
+def _split_by_pointers(pairs: DataFrame, key: list[str], threshold: int, offset: int) -> DataFrame:
     """The same cuts for items with very many candidates."""
-    keys = [src, "id"]
     node = cut(pairs.withColumn("_next_start", _second_start(F.col("start"), F.col("stride"),
                                                              F.col("cut_at") - offset))
                .withColumn("at", F.col("_next_start") + threshold))
-    follow = first_after(node.select(*keys, F.col("cut_at").alias("point")), node, keys)
-    first = node.groupBy(*keys).agg(F.min("cut_at").alias("_first"))
-    graph = (node.join(follow, [*keys, "at"], "left").join(first, keys)
-             .select(*keys, F.col("cut_at").alias("node"), "next", (F.col("cut_at") == F.col("_first")).alias("root")))
-    used = reachable(graph, keys).withColumnRenamed("node", "cut_at")
-    chosen = node.join(used, [*keys, "cut_at"])
-    cells, run = by_position(chosen, keys, "cut_at")
+    follow = first_after(node.select(*key, F.col("cut_at").alias("point")), node, key)
+    first = node.groupBy(*key).agg(F.min("cut_at").alias("_first"))
+    graph = (node.join(follow, [*key, "at"], "left").join(first, key)
+             .select(*key, F.col("cut_at").alias("node"), "next", (F.col("cut_at") == F.col("_first")).alias("root")))
+    used = reachable(graph, key).withColumnRenamed("node", "cut_at")
+    chosen = cut(node.join(used, [*key, "cut_at"]))
+    cells, run = by_position(chosen, key, "cut_at")
     rows = running(cells, run, lasts={"_begin": F.col("_next_start")}, exclusive=True)
-    rows = running(rows, run, sums={"_after": F.lit(1)}, reverse=True, exclusive=True)
     begin = F.coalesce(F.col("_begin"), F.col("start"))
-    pieces = rows.withColumn("_b", begin).withColumn("_pieces", F.array(F.struct(
-        F.col("_b").alias("start"),
-        _first_end(F.col("_b"), F.col("stride"), F.col("cut_at") - offset).alias("end"))))
-    tail = F.struct(F.col("_next_start").alias("start"), F.col("end").alias("end"))
-    return (pieces.withColumn("_pieces", F.when(F.col("_after") == 0, F.array_append("_pieces", tail))
-                              .otherwise(F.col("_pieces")))
-            .withColumn("_p", F.explode("_pieces"))
-            .select(src, "id", "stride", F.col("_p.start").alias("start"), F.col("_p.end").alias("end")))
+    before = rows.select(*key, "stride", begin.alias("start"),
+                         _first_end(begin, F.col("stride"), F.col("cut_at") - offset).alias("end"))
+    rest = chosen.groupBy(*key, "stride", "end").agg(F.max("_next_start").alias("start"))
+    return before.unionByName(rest.select(*key, "stride", "start", "end"))
 
 
 def mark_silent_pieces(pieces: DataFrame, sounding: DataFrame, *, src: str = "src",

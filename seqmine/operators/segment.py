@@ -403,10 +403,18 @@ def locate_offset(pieces: DataFrame, queries: DataFrame, keys: Sequence[str], *,
                     (F.col("_at") - F.col("_hit.offset")).alias("inner")))
 
 
-def summarise_segments(df: DataFrame, group: Sequence[str], *, pos: str = "pos",
+def summarise_segments(df: DataFrame, group: Sequence[str], *, pos: str = "pos", end: str | None = None,
                        number: str | None = None, total: str | None = None) -> DataFrame:
-    """Start, end, length, count and average spacing per segment, with map-side aggregation."""
-    aggs = [F.min(pos).alias("start"), F.max(pos).alias("end"), _count().alias("records")]
+    """Start, end, length and count per segment, with map-side aggregation.
+
+    ``end`` names the end of a row that spans positions and adds ``first_offset``, from
+    the start of the segment to the end of its first row; ``number`` and ``total``
+    add the number range and a sum.
+    """
+    last = end or pos
+    aggs = [F.min(pos).alias("start"), F.max(last).alias("end"), _count().alias("records")]
+    if end:
+        aggs.append((F.min_by(last, pos) - F.min(pos)).alias("first_offset"))
     if number:
         aggs += [F.min(number).alias("first_number"), F.max(number).alias("last_number")]
     if total:

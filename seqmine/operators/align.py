@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import floor_div
-from seqmine.plans.blocks import Run, catch_up, dense_index, last_where, run_totals, running, shifted
+from seqmine.plans.blocks import Run, catch_up, last_where, run_totals, running, shifted
 
 
 def number_frames(df: DataFrame, run: Run, *, header: str = "frame", start: str = "start") -> DataFrame:
@@ -17,10 +17,9 @@ def number_frames(df: DataFrame, run: Run, *, header: str = "frame", start: str
     ``header_dup`` counts within consecutive equal header numbers, ``start_dup``
     within consecutive equal start positions.
     """
-    rows = dense_index(df, run, "index")
-    rows = last_where(rows, run, [header, start], {
+    rows = last_where(df, run, [header, start], {
         "_h": (lambda prev, cur: cur(header) != prev(header), True),
-        "_s": (lambda prev, cur: cur(start) != prev(start), True)}, carry_fields=["index"])
+        "_s": (lambda prev, cur: cur(start) != prev(start), True)}, index="index")
     return (rows.withColumn("header_dup", F.col("index") - F.col("_h_index"))
             .withColumn("start_dup", F.col("index") - F.col("_s_index"))
             .drop("_h", "_s", "_h_index", "_s_index"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import rational, whole_div
-from seqmine.plans.blocks import Run, dense_index, shifted
+from seqmine.plans.blocks import Run, last_where
 from seqmine.session import cut
 
 WORD = 62
@@ -57,9 +57,9 @@ def match_template(frames: DataFrame, templates: Sequence[Template], *,
 
 def frame_gaps(frames: DataFrame, run: Run) -> DataFrame:
     """Where each frame after the first may have begun: ``lo`` to ``hi``, and its number."""
-    rows = shifted(dense_index(frames, run, "n"), run, ["end"], "_prev")
+    rows = last_where(frames, run, ["end"], {}, index="n", keep_prev=True)
     return (rows.where(F.col("n") > 0)
-            .select(*run.keys, "n", (F.col("_prev.end") + 1).alias("lo"), F.col("start").alias("hi")))
+            .select(*run.keys, "n", (F.col("prev.end") + 1).alias("lo"), F.col("start").alias("hi")))
 
 
 def infer_interval(frames: DataFrame, run: Run) -> DataFrame:

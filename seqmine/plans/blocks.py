@@ -163,25 +163,39 @@ def _with_lags(df: DataFrame, run: Run, fields: Sequence[str]) -> DataFrame:
 
 def last_where(df: DataFrame, run: Run, fields: Sequence[str],
                marks: dict[str, tuple[Condition, bool | Callable[[Getter], Column]]],
-               carry_fields: Sequence[str] = (), keep_prev: bool = False) -> DataFrame:
+               carry_fields: Sequence[str] = (), index: str | None = None,
+               keep_prev: bool = False) -> DataFrame:
     """For each mark, the place of the latest row (this one included) where it held.
 
     A mark is ``(condition, at_start)``: the condition compares the previous row with
     the current one through getters over ``fields``; ``at_start`` decides for the
     first row of a run.  This is the common form of all segmentation: the place of
     the latest break names the segment.  ``carry_fields`` of the marked row come along as
-    ``<mark>_<field>``.
+    ``<mark>_<field>``.  ``index`` adds the row's number in its run, from 0, and that of
+    the marked row as ``<mark>_<index>``.
     """
     fields = list(dict.fromkeys([*fields, *carry_fields]))
     place = run.place()
-    value = (F.struct(place.alias("p"), *[F.col(c).alias(c) for c in carry_fields])
-             if carry_fields else place)
+
     local = _with_lags(df, run, fields)
-    prev = _lagged
-    hits = {n: F.col("_seen") & F.coalesce(cond(prev, F.col), F.lit(False)) for n, (cond, _) in marks.items()}
-    local = local.select("*", *[F.max(F.when(hit, value)).over(upto(run.rows())).alias(n)
+    if index:
+        local = local.withColumn("_k", F.row_number().over(run.rows()).cast("bigint") - 1)
+    packed = bool(index or carry_fields)
+    here = place
+    if packed:
+        here = F.struct(place.alias("p"), *([F.col("_k").alias("k")] if index else []),
+                        *[F.col(c).alias(c) for c in carry_fields])
+    hits = {n: F.col("_seen") & F.coalesce(cond(_lagged, F.col), F.lit(False)) for n, (cond, _) in marks.items()}
+    local = local.select("*", *[F.max(F.when(hit, here)).over(upto(run.rows())).alias(n)
                                 for n, hit in hits.items()])
 
+    def moved(col: Column, offset: Column) -> Column:
+        """A mark of one block with its row number counted from the start of the run."""
+        if not index:
+            return col
+        return F.when(col.isNotNull(), F.struct(col["p"].alias("p"), (col["k"] + offset).alias("k"),
+                                                *[col[c].alias(c) for c in carry_fields]))
+
     head: Getter = lambda c: F.col("_head")[c]
     tail: Getter = lambda c: F.col("_tail")[c]
     blocks = run.blocks()
@@ -189,28 +203,30 @@ def last_where(df: DataFrame, run: Run, fields: Sequence[str],
     carry = (local.groupBy(*run.cell)
              .agg(F.max(F.when(~F.col("_seen"), row)).alias("_head"),
                   F.max(F.when(~F.col("_more"), row)).alias("_edge"),
-                  F.min(value).alias("_place"),
+                  F.min(here).alias("_place"), F.count(F.lit(1)).alias("_size"),
                   *[F.max(name).alias(f"_l_{name}") for name in marks])
-             .withColumn("_tail", F.lag("_edge").over(blocks)))
+             .withColumn("_tail", F.lag("_edge").over(blocks))
+             .withColumn("_off", F.coalesce(F.sum("_size").over(before(blocks)), F.lit(0))))
+    offset = F.col("_off")
     for name, (cond, at_start) in marks.items():
         opening = at_start(head) if callable(at_start) else F.lit(at_start)
         hit = (F.when(F.col("_tail").isNull(), opening)
                .otherwise(F.coalesce(cond(tail, head), F.lit(False))))
-        carry = carry.withColumn(f"_h_{name}", F.when(hit, F.col("_place")))
+        carry = (carry.withColumn(f"_h_{name}", F.when(hit, moved(F.col("_place"), offset)))
+                 .withColumn(f"_l_{name}", moved(F.col(f"_l_{name}"), offset)))
     carry = carry.select(
-        *run.cell, "_tail",
+        *run.cell, "_tail", "_off",
         *[F.coalesce(F.col(f"_h_{name}"),
                      F.last(F.coalesce(f"_l_{name}", f"_h_{name}"), ignorenulls=True)
                      .over(before(blocks))).alias(f"_c_{name}") for name in marks])
 
-    out = []
+    out = [(F.col("_k") + offset).alias(index)] if index else []
     for n in marks:
-        latest = F.coalesce(F.col(n), F.col(f"_c_{n}"))
-        if carry_fields:
-            out.append(latest["p"].alias(n))
-            out += [latest[c].alias(f"{n}_{c}") for c in carry_fields]
-        else:
-            out.append(latest.alias(n))
+        latest = F.coalesce(moved(F.col(n), offset), F.col(f"_c_{n}"))
+        out.append((latest["p"] if packed else latest).alias(n))
+        out += [latest[c].alias(f"{n}_{c}") for c in carry_fields]
+        if index:
+            out.append(latest["k"].alias(f"{n}_{index}"))
     if keep_prev:
         before_here = F.when(F.col("_seen"), F.struct(*[_lagged(c).alias(c) for c in fields]))
         out.append(F.coalesce(before_here, F.col("_tail")).alias("prev"))

@@ -54,7 +54,7 @@ def parented(spark, d):
 def _parented(items):
     children = items.select("src", F.col("id").alias("c_id"), F.col("start").alias("c_start"),
                             F.col("end").alias("c_end"), F.col("kind").alias("c_kind")).where("c_kind = 'audio'")
-    return iv.assign_parent(children, _parents(items))
+    return iv.assign_parent(children, _parents(items), width=c.POSITIONS_PER_BLOCK)
 
 
 def _parents(items):

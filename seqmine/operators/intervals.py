@@ -28,7 +28,8 @@ def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[st
 
 
 def assign_parent(children: DataFrame, parents: DataFrame, *, src: str = "src",
-                  video: str = "video", audio: str = "audio", file: str = "file") -> DataFrame:
+                  video: str = "video", audio: str = "audio", file: str = "file",
+                  width: int = BLOCK_WIDTH) -> DataFrame:
     """Best parent of each child, or none.
 
     Children have ``src, c_id, c_start, c_end, c_kind``; parents ``src, p_id, p_order,
@@ -37,11 +38,10 @@ def assign_parent(children: DataFrame, parents: DataFrame, *, src: str = "src",
     zero wins, the smallest ``p_order`` on ties.  A file never holds a file, and a
     video holds audio only.
 
-    Equal intervals are joined once: of parents with the same extent only the first
-    can win, and children with the same extent share their parent.
+    A parent inside an earlier one of its kind can never win and is not joined, and
+    children with the same extent are rated once.
     """
-    first = (parents.groupBy(src, "p_start", "p_end", "p_kind")
-             .agg(F.min(F.struct("p_order", "p_id")).alias("_p")))
+    first = _outer_parents(parents, src, width).withColumn("_p", F.struct("p_order", "p_id")).drop("p_order", "p_id")
     spans = children.select(src, "c_start", "c_end", "c_kind").distinct()
     pairs = overlap_join(spans, first, [src], ("c_start", "c_end"), ("p_start", "p_end"))
     percent = whole_div(F.col("overlap") * 100, F.col("c_end") - F.col("c_start") + 1)
@@ -59,6 +59,20 @@ def assign_parent(children: DataFrame, parents: DataFrame, *, src: str = "src",
             .drop("_best"))
 
 
+def _outer_parents(parents: DataFrame, src: str, width: int) -> DataFrame:
+    """Parents without those that lie inside a parent of the same kind and smaller ``p_order``.
+
+    The larger one overlaps any child at least as much and wins ties.  Only the
+    furthest-reaching parent so far is compared, which keeps a few that might go.
+    """
+    cells, _ = by_position(parents.select(src, "p_id", "p_order", "p_start", "p_end", "p_kind"),
+                           [src, "p_kind"], "p_start", width)
+    reach = F.struct(F.col("p_end").alias("end"), (-F.col("p_order")).alias("o"))
+    rows = running(cells, Run((src, "p_kind"), ("p_start", "p_order")), maxes={"_reach": reach}, exclusive=True)
+    inside = (F.col("_reach.end") >= F.col("p_end")) & (-F.col("_reach.o") < F.col("p_order"))
+    return rows.where(~F.coalesce(inside, F.lit(False))).drop("_reach", "blk")
+
+
 def flag_content(items: DataFrame, records: DataFrame, flags: dict[str, Column], *,
                  keys: Sequence[str] = ("src",), pos: str = "pos", width: int = BLOCK_WIDTH) -> DataFrame:
     """For each item and flag, whether a flagged record lies inside the item.

@@ -60,11 +60,11 @@ def apply_patches(records: DataFrame, patches: DataFrame, *, key: Sequence[str]
 
     Refuses everything before any output if a patch is faulty; ``checked=True``
     says the caller has run ``check_patches``.  Legal patches of one record do not
-    overlap, so their list is never larger than the record itself.
+    overlap and empty ones are left out, so a list is never larger than its record.
     """
     if not checked and not check_patches(records, patches, key=key, data=data, offset=offset, new=new).isEmpty():
         raise PatchRefused("patches overlap or do not fit; see check_patches")
-    lists = patches.groupBy(*key).agg(F.array_sort(F.collect_list(
+    lists = patches.where(F.length(new) > 0).groupBy(*key).agg(F.array_sort(F.collect_list(
         F.struct(F.col(offset).cast("int").alias("o"), F.col(new).alias("n")))).alias("_p"))
     patched = F.aggregate("_p", F.col(data), lambda acc, p: F.overlay(acc, p["n"], p["o"] + 1))
     return (records.join(lists, list(key), "left")

@@ -48,8 +48,7 @@ class _Ordered(StatefulProcessor):
             new = [tuple(r) for r in pdf[columns].itertuples(index=False)]
             if new:
                 self.waiting.appendList(new)
-                for at in {r[0] for r in new}:
-                    self.handle.registerTimer(int(at) + 1)
+                self.handle.registerTimer(int(min(r[0] for r in new)) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -61,6 +60,7 @@ class _Ordered(StatefulProcessor):
             rest = [tuple(r) for r in rows if r[0] > now]
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(int(min(r[0] for r in rest)) + 1)
             else:
                 self.waiting.clear()
         state = tuple(self.open.get()) if self.open.exists() else None
@@ -81,7 +81,7 @@ class _Ordered(StatefulProcessor):
             yield self.frame(out)
 
     def close(self) -> None:
-        pass
+        """Nothing is held outside the state store."""
 
 
 class StrideProcessor(_Ordered):

@@ -119,3 +119,26 @@ def test_patches_are_refused_before_output(spark):
     for rows in ([(0, b"XY"), (1, b"Z")], [(5, b"!!")], [(-1, b"x")]):
         with pytest.raises(patch.PatchRefused):
             patch.apply_patches(docs, make(*rows))
+
+
+def test_parents_against_all_pairs(spark):
+    rng = random.Random(21)
+    parents = [(rng.randint(0, 2), i, s := rng.randint(0, 300), s + rng.randint(0, 80), rng.choice(["file", "video"]))
+               for i in range(150)]
+    parents = [(src, i, rng.randint(0, 40) * 1000 + i, s, e, k) for src, i, s, e, k in parents]
+    children = [(rng.randint(0, 2), i, s := rng.randint(0, 350), s + rng.randint(0, 40), rng.choice(["audio", "file", "image"]))
+                for i in range(200)]
+    want = {}
+    for src, c, s, e, kind in children:
+        best = (0, 0, None)
+        for psrc, p, order, ps, pe, pkind in parents:
+            if psrc != src or (pkind == "file" and kind == "file") or (pkind == "video" and kind != "audio"):
+                continue
+            pct = max(0, min(e, pe) - max(s, ps) + 1) * 100 // (e - s + 1)
+            if pct > 0:
+                best = max(best, (pct + 100 * (pkind == "video"), -order, p))
+        want[c] = (best[2], best[0])
+    a = spark.createDataFrame(children, "src long, c_id long, c_start long, c_end long, c_kind string")
+    b = spark.createDataFrame(parents, "src long, p_id long, p_order long, p_start long, p_end long, p_kind string")
+    got = {r.c_id: (r.parent_id, r.rating) for r in iv.assign_parent(a, b, width=40).collect()}
+    assert got == want

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqmine.demo import conventions as c
 from seqmine.demo import segments
-from seqmine.operators import classify, intervals as iv, items as it, patch, rates, segment as seg
+from seqmine.operators import classify, intervals as iv, items as it, patch, rates
 from seqmine.plans.blocks import Run, by_position
 from seqmine.session import cut
 

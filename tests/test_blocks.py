@@ -5,8 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from seqmine.operators.segment import segment_constant_stride
-from seqmine.plans.blocks import (Run, by_position, catch_up, dense_index, last_where, running,
-                                  segment, shifted)
+from seqmine.plans.blocks import (by_position, catch_up, dense_index, last_where, run_totals,
+                                  running, segment_groups, shifted)
 from seqmine.plans.chains import reachable
 from seqmine.plans.ranges import overlap_pairs
 
@@ -53,19 +53,41 @@ def test_running_and_shift(spark):
             prev = pos
 
 
+def test_totals_and_groups(spark):
+    rows = runs(7, step=5)
+    base = spark.createDataFrame(rows, "src long, pos long, v long, f boolean")
+    for width in (4, 1000):
+        df, run = by_position(base, ["src"], width=width)
+        totals = {(r.src, r.lo, r.hi) for r in run_totals(df, run, mins={"lo": F.col("v")}, maxes={"hi": F.col("pos")}).collect()}
+        groups = segment_groups(df, run, ["pos", "f"], lambda prev, cur: (cur("pos") - prev("pos") > 3) | (cur("f") != prev("f")),
+                                sums={"n": F.lit(1), "s": F.col("v")}, mins={"a": F.col("pos")}, maxes={"b": F.col("pos")})
+        got = sorted((r.src, r.seg, r.n, r.s, r.a, r.b) for r in groups.collect())
+        want, edges = [], set()
+        for src, rs in by_src(rows).items():
+            edges.add((src, min(r[2] for r in rs), rs[-1][1]))
+            part = []
+            for r in rs + [None]:
+                if part and (r is None or r[1] - part[-1][1] > 3 or r[3] != part[-1][3]):
+                    want.append((src, part[0][1], len(part), sum(x[2] for x in part), part[0][1], part[-1][1]))
+                    part = []
+                part.append(r)
+        assert got == sorted(want) and totals == edges
+
+
 def test_segment_by_gap_and_carry(spark):
     rows = runs(2, step=5)
     df, run = by_position(spark.createDataFrame(rows, "src long, pos long, v long, f boolean"),
                           ["src"], width=6)
     rule = lambda prev, cur: (cur("pos") - prev("pos") > 3) | (cur("f") != prev("f"))
-    out = last_where(df, run, ["pos", "f", "v"], {"seg": (rule, True)}, carry_fields=["v"], keep_prev=True)
-    got = {(r.src, r.pos): (r.seg, r.seg_v, r.prev and r.prev.pos) for r in out.collect()}
+    out = last_where(df, run, ["pos", "f", "v"], {"seg": (rule, True)}, carry_fields=["v"], index="i",
+                     keep_prev=True)
+    got = {(r.src, r.pos): (r.seg, r.seg_v, r.prev and r.prev.pos, r.i, r.seg_i) for r in out.collect()}
     for src, rs in by_src(rows).items():
         seg = prev = None
-        for r in rs:
+        for i, r in enumerate(rs):
             if prev is None or r[1] - prev[1] > 3 or r[3] != prev[3]:
-                seg = r
-            assert got[src, r[1]] == (seg[1], seg[2], prev and prev[1])
+                seg, at = r, i
+            assert got[src, r[1]] == (seg[1], seg[2], prev and prev[1], i, at)
             prev = r
 
 

@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from seqmine.operators import intervals as iv, patch, rates
 from seqmine.plans.blocks import Run, by_position
 

@@ -155,7 +155,7 @@ def test_catch_up(spark):
 
 def test_overlap_pairs(spark):
     rng = random.Random(9)
-    make = lambda n: [(i, rng.randint(0, 2), s := rng.randint(0, 5000), s + int(rng.expovariate(1 / rng.choice([1, 20, 900]))))
+    make = lambda n: [(i, rng.randint(0, 2), s := rng.randint(-2500, 2500), s + int(rng.expovariate(1 / rng.choice([1, 20, 900]))))
                       for i in range(n)]
     a, b = make(150), make(150)
     da = spark.createDataFrame(a, "a long, src long, a0 long, a1 long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmine.llm import bpe, packing, token_files
+from seqmine.llm import bpe, html_text, packing, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, d: str) -> DataFrame:
+    found = warc.write_and_read(table(spark, d, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, d, "documents")))
     return coded.select("doc_id", *digests())
@@ -33,6 +38,10 @@ def op5_token_files(spark: SparkSession, d: str) -> DataFrame:
                         F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(table(spark, d, "pages"))
+
+
 def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     return pieces(packing.pack(table(spark, d, "documents")))
 
@@ -43,8 +52,23 @@ def pieces(packed: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_bpe": op4_bpe, "op5_token_files": op5_token_files, "op8_packing": op8_packing}
+    found = (op3_warc, op4_bpe, op5_token_files, op6_html_text, op8_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL expresses over whole tables; the others are tested against brute force."""
+    return {"op3_warc": OP3}
+
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""

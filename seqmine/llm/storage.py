@@ -52,7 +52,7 @@ class AttemptFile:
         name = f"part-{partition:06d}-{uuid.uuid4().hex}{suffix}"
         self.path = posixpath.join(folder, name)
         self.size = 0
-        self._out = fs.open_output_stream(posixpath.join(base, name))
+        self._out = fs.open_output_stream(posixpath.join(base, name), compression=None)
 
     def write(self, data: bytes) -> int:
         """Appends ``data`` and returns where it starts."""

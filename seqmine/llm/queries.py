@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmine.llm import bpe, html_text, packing, token_files, warc
+from seqmine.llm import bpe, html_text, minhash, packing, token_files, vector_dups, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op2_vector_dups(spark: SparkSession, d: str) -> DataFrame:
+    return vector_dups.near_duplicates(table(spark, d, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, d: str) -> DataFrame:
     found = warc.write_and_read(table(spark, d, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -42,6 +46,10 @@ def op6_html_text(spark: SparkSession, d: str) -> DataFrame:
     return html_text.extract(table(spark, d, "pages"))
 
 
+def op7_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, d, "documents"), words=4)
+
+
 def op8_packing(spark: SparkSession, d: str) -> DataFrame:
     return pieces(packing.pack(table(spark, d, "documents")))
 
@@ -52,7 +60,7 @@ def pieces(packed: DataFrame) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op3_warc, op4_bpe, op5_token_files, op6_html_text, op8_packing)
+    found = (op2_vector_dups, op3_warc, op4_bpe, op5_token_files, op6_html_text, op7_minhash, op8_packing)
     return {f.__name__: f for f in found}
 
 

@@ -7,8 +7,9 @@ same for all documents.  Groups of bins are bands, and documents that agree in a
 Documents with equal sets form classes first, each stands in buckets once.  A bucket of m classes gives m - 1 candidate edges,
 from its centre to the others, never all pairs.  The centre is the member first in a random order, the same for all
 buckets of a round, so members of one group meet the same centre in most of their buckets and are compared with it
-once.  Candidates are confirmed on the full sets of shingles.  Further rounds take new orders and only buckets whose members lie
-in more than one component, until a round finds no new link.
+once.  Candidates are confirmed on the full sets of shingles.  Further rounds take only buckets whose members lie in more than
+one component, and a fixed number of new centres in each, so that buckets up to that size are compared in full; they end
+when a round finds no new link.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.llm.components import components
-from seqmine.llm.storage import written
+from seqmine.llm.storage import small_side, written
 
 WORDS = 5
 SIMILARITY = 80  # per cent
 BINS = 128
 #: Bins per band.  Sets with similarity s share a given band with chance s**4: of 32 bands, 0.8 meets in 13, and none with chance 5e-8.
 ROWS = 4
+#: Centres of a bucket in each round after the first.
+CENTRES = 16
 WORD_TABLE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -126,9 +129,8 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bins: int, rows:
     return rows_.mapInArrow(run, schema)
 
 
-def _confirmed(edges: DataFrame, docs: DataFrame, key: str, text: str, words: int, similarity: int) -> DataFrame:
-    """The candidate edges (``a``, ``b``) whose full sets are similar enough."""
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null")
+def _confirmed(edges: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """The candidate edges (``a``, ``b``) whose full sets are similar enough; ``texts`` has ``k`` and ``t``."""
     pairs = (edges.join(texts, F.col("b") == F.col("k")).select("a", "b", F.col("t").alias("tb"))
              .join(texts, F.col("a") == F.col("k")).select("a", F.col("t").alias("ta"), "b", "tb"))
 
@@ -138,7 +140,7 @@ def _confirmed(edges: DataFrame, docs: DataFrame, key: str, text: str, words: in
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             good = []
             for k in range(len(a)):
-                if ta[k] is not last:  # edges come sorted by their centre
+                if ta[k] is not last:  # edges of one centre mostly follow each other
                     if ta[k] != last:
                         centre = shingler.shingles(ta[k])
                     last = ta[k]
@@ -172,38 +174,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = written(banded.join(shared, "bucket"), "buckets")
 
+    inside = small_side(written(members.select("k").distinct(), "members"))
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    texts = written(texts.join(inside, "k", "left_semi"), "texts")
+
     # Copies that carry keys of their own, and keys that stand in several classes, are links as well.
-    links = [classes.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()]
-    tested, groups = None, None
-    for turn in range(64):
-        now = members.withColumn("o", F.xxhash64("k", F.lit(turn)))
-        if groups is not None:
-            now = now.join(groups, F.col("k") == F.col("node"), "left").withColumn("c", F.coalesce("root", "k")).drop("node", "root")
-        else:
-            now = now.withColumn("c", F.col("k"))
-        centres = (now.groupBy("bucket").agg(F.min(F.struct("o", "k", "n_shingles", "c")).alias("z"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-                   .where("lo != hi").select("bucket", F.col("z.k").alias("a"), F.col("z.n_shingles").alias("na"), F.col("z.c").alias("ca")))
-        edges = (now.join(centres, "bucket").where("c != ca and k != a")
+    copies = classes.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()
+    groups, tested, turn = written(components(copies), "components"), None, 0
+    while True:
+        orders = [0] if not turn else range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES)
+        now = (members.join(groups, F.col("k") == F.col("node"), "left")
+               .select("bucket", "k", "n_shingles", F.coalesce("root", "k").alias("c")))
+        mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
+        now = now.join(mixed, "bucket")
+        turns = now.select("*", F.explode(F.array(*map(F.lit, orders))).alias("turn"))
+        centres = (turns.groupBy("bucket", "turn").agg(F.min(F.struct(F.xxhash64("k", "turn"), "k", "n_shingles", "c")).alias("z"))
+                   .select("bucket", F.col("z.k").alias("a"), F.col("z.n_shingles").alias("na"), F.col("z.c").alias("ca")).distinct())
+        edges = (now.join(centres, "bucket").where("c != ca")
                  # Sets whose sizes differ too much cannot be similar enough.
                  .where(F.least("na", "n_shingles") * 100 >= F.greatest("na", "n_shingles") * similarity)
-                 .select("a", F.col("k").alias("b")).distinct())
+                 .select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct())
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "candidates")
-        if edges.isEmpty():
-            break
-        good = written(_confirmed(edges, docs, key, text, words, similarity), "links")
-        if good.isEmpty() and turn:
-            break
+        good = written(_confirmed(edges, texts, words, similarity), "links")
+        if good.isEmpty():
+            if turn or edges.isEmpty():
+                break
+        else:
+            stars = groups.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            groups = written(components(good.unionByName(stars)), "components")
         tested = edges if tested is None else tested.unionByName(edges)
-        tested = tested.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        links.append(good)
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        groups = written(components(every), "components")
-    if groups is None:
-        groups = components(links[0])
+        turn += 1
     ids = sketch.select(F.col("k").alias(key), "n_shingles")
     out = ids.join(groups, (F.col(key) == F.col("node")), "left")
     component = F.coalesce(F.col("root"), F.col(key))

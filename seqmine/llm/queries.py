@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmine.llm import bpe, html_text, minhash, packing, token_files, vector_dups, warc
+from seqmine.llm import bpe, html_text, minhash, packing, quality_model, quality_rules, token_files, url_rules, vector_dups, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_vector_dups(spark: SparkSession, d: str) -> DataFrame:
     return vector_dups.near_duplicates(table(spark, d, "embeddings"))
 
@@ -59,15 +64,64 @@ def pieces(packed: DataFrame) -> DataFrame:
                          "offset")
 
 
+def op9_url_rules(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    rules = url_rules.mine(labelled_urls(pages, table(spark, d, "labels")))
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """Urls whose last number names a labelled document; bad ones are of low quality or toxic."""
+    named = url_rules.split_url(pages.select("url")).select(
+        "url", F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long").alias("doc_id"))
+    known = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return named.where("doc_id is not null").join(known, "doc_id").select("url", bad.alias("bad"))
+
+
+def op10_quality_model(spark: SparkSession, d: str) -> DataFrame:
+    found = quality_model.classify(table(spark, d, "documents"), table(spark, d, "labels"))
+    return found.select("doc_id", "quality_score", "kept")
+
+
 def queries() -> dict[str, Query]:
-    found = (op2_vector_dups, op3_warc, op4_bpe, op5_token_files, op6_html_text, op7_minhash, op8_packing)
+    found = (op1_quality_rules, op2_vector_dups, op3_warc, op4_bpe, op5_token_files, op6_html_text, op7_minhash, op8_packing,
+             op9_url_rules, op10_quality_model)
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
     """SQL for the queries that SQL expresses over whole tables; the others are tested against brute force."""
-    return {"op3_warc": OP3}
-
+    return {"op1_quality_rules": OP1, "op3_warc": OP3}
+
+
+OP1 = r"""
+WITH f AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_transform(range(0, len(w) - 7), lambda i: array_to_string(w[i + 1:i + 8], ' ')) AS s FROM f WHERE len(w) >= 8
+), e AS (
+  SELECT doc_id, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM s
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n FROM e) WHERE n > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(8) AS x(k) GROUP BY doc_id
+), l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM f)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), b AS (
+  SELECT f.doc_id, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n_dup_lines, 0) AS n_dup_lines,
+         coalesce(l.n_lines, 0) AS n_lines, coalesce(c.n, 0) AS n_repeat_words,
+         length(regexp_replace(t, '[^!]', '', 'g')) AS shouts, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS capitals
+  FROM f LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+), v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols * 20 > word_chars OR n_dup_lines * 10 > 3 * n_lines
+            OR shouts * 20 > word_chars OR capitals * 3 > word_chars) AS kept
+FROM v
+"""
 
 OP3 = """
 WITH p AS (

@@ -34,7 +34,7 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols * 20 > word_chars"),
-    Rule("repeated_lines", "n_dup_lines * 10 > 3 * n_lines"),
+    Rule("repeated_lines", "n_dup_lines * 2 > n_lines"),
     Rule("exclamations", "(length(text_) - length(replace(text_, '!', ''))) * 20 > word_chars"),
     Rule("capitals", "length(regexp_replace(text_, '[^A-Z]+', '')) * 3 > word_chars"),
 )

@@ -118,7 +118,7 @@ WITH f AS (
   FROM f LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
 ), v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols * 20 > word_chars OR n_dup_lines * 10 > 3 * n_lines
+       NOT (base_failed OR n_symbols * 20 > word_chars OR n_dup_lines * 2 > n_lines
             OR shouts * 20 > word_chars OR capitals * 3 > word_chars) AS kept
 FROM v
 """

@@ -16,6 +16,8 @@ from seqmine.llm.storage import written
 #: Labelled urls that rules are mined from, at most; chosen by a hash of the url.
 LABELLED_ROWS = 50_000
 MIN_SUPPORT = 0.002
+#: A rule must also hold for so many labelled urls; fewer are chance.
+MIN_COUNT = 10
 MIN_CONFIDENCE = 0.8
 BAD = "=bad"
 
@@ -70,7 +72,8 @@ def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", rows: int = LA
     schema = "anchor string, wanted array<string>, confidence double, support double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(written(baskets, "baskets"))
+    baskets = written(baskets, "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / max(1, baskets.count()))), minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
              .select(F.array_sort("antecedent").alias("wanted"), "confidence", "support"))
     rules = written(rules, "mined").withColumn("id", F.array_join("wanted", " "))

@@ -8,8 +8,8 @@ Documents with equal sets form classes first, each stands in buckets once.  A bu
 from its centre to the others, never all pairs.  The centre is the member first in a random order, the same for all
 buckets of a round, so members of one group meet the same centre in most of their buckets and are compared with it
 once.  Candidates are confirmed on the full sets of shingles.  Further rounds take only buckets whose members lie in more than
-one component, and a fixed number of new centres in each, so that buckets up to that size are compared in full; they end
-when a round finds no new link.
+one component, with new centres: several in a small bucket, which compares it in full, one in a large one, so a round's
+pairs stay in proportion to the members.  They end when a round finds no new link.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ SIMILARITY = 80  # per cent
 BINS = 128
 #: Bins per band.  Sets with similarity s share a given band with chance s**4: of 32 bands, 0.8 meets in 13, and none with chance 5e-8.
 ROWS = 4
-#: Centres of a bucket in each round after the first.
+#: Centres of a bucket in each round after the first, at most, and pairs that its centres make, about.
 CENTRES = 16
+BUCKET_PAIRS = 256
 WORD_TABLE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -182,12 +183,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     copies = classes.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()
     groups, tested, turn = written(components(copies), "components"), None, 0
     while True:
-        orders = [0] if not turn else range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES)
+        first = 1 + (turn - 1) * CENTRES if turn else 0
+        centres_of = F.lit(1) if not turn else F.expr(f"cast(greatest(1, least({CENTRES}, {BUCKET_PAIRS} div m)) as int)")
         now = (members.join(groups, F.col("k") == F.col("node"), "left")
                .select("bucket", "k", "n_shingles", F.coalesce("root", "k").alias("c")))
-        mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
+        mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
+        mixed = mixed.where("lo != hi").select("bucket", F.sequence(F.lit(first), F.lit(first - 1) + centres_of).alias("turns"))
         now = now.join(mixed, "bucket")
-        turns = now.select("*", F.explode(F.array(*map(F.lit, orders))).alias("turn"))
+        turns = now.select("*", F.explode("turns").alias("turn"))
         centres = (turns.groupBy("bucket", "turn").agg(F.min(F.struct(F.xxhash64("k", "turn"), "k", "n_shingles", "c")).alias("z"))
                    .select("bucket", F.col("z.k").alias("a"), F.col("z.n_shingles").alias("na"), F.col("z.c").alias("ca")).distinct())
         edges = (now.join(centres, "bucket").where("c != ca")

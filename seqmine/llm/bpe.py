@@ -22,11 +22,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from seqmine.llm.tokens import Encoder, default_tokenizer, encoder, text_batches
 
@@ -162,20 +160,33 @@ def decode(encoded: DataFrame, key: str = "doc_id", tokenizer: str | None = None
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = part.column("ids").to_pylist()
-                texts = iter(enc.decode([i for i in ids if i is not None]))
-                text = pa.array([None if i is None else next(texts) for i in ids], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, text], [key, "ids", "text"])
+                texts = [None if i is None else enc.decode(np.frombuffer(i, "<u4").tolist()) for i in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [key, "ids", "text"])
 
     return encoded.select(key, "ids").mapInArrow(run, schema)
 
 
-@F.pandas_udf(T.StringType())
-def decimal_digest(ids: pd.Series) -> pd.Series:
-    """Lowercase hex SHA-256 of the decimal ids joined by commas."""
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        return hashlib.sha256(",".join(map(str, np.frombuffer(raw, dtype="<u4").tolist())).encode()).hexdigest()
+def digests(encoded: DataFrame, key: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+    """Of each row of ids: key, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256`` (of the decoded text).
 
-    return ids.map(one)
+    It decodes as ``decode`` does, in the same task that hashes, so texts do not travel.  Null ids give nulls.
+    """
+    path = tokenizer or default_tokenizer()
+    schema = f"{key} {encoded.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        decimal = list(map(str, range(len(enc.token_bytes))))
+        for batch in batches:
+            found = []
+            for raw in batch.column("ids").to_pylist():
+                if raw is None:
+                    found.append((None, None, None))
+                    continue
+                ids = np.frombuffer(raw, dtype="<u4").tolist()
+                spelled = ",".join(map(decimal.__getitem__, ids))
+                found.append((len(ids), hashlib.sha256(spelled.encode()).hexdigest(), hashlib.sha256(enc.decode(ids).encode()).hexdigest()))
+            columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select(key, "ids").mapInArrow(run, schema)

@@ -31,14 +31,7 @@ def op3_warc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, d: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, d, "documents")))
-    return coded.select("doc_id", *digests())
-
-
-def digests() -> list:
-    """Count and decimal digest of ids, and digest of the decoded text."""
-    return [(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), bpe.decimal_digest("ids").alias("ids_sha256"),
-            F.sha2("text", 256).alias("decoded_sha256")]
+    return bpe.digests(bpe.encode(table(spark, d, "documents")))
 
 
 def op5_token_files(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Units in a worker's table; it is emptied when full, which costs time and changes no result.
-TABLE_UNITS = 1_500_000
+TABLE_UNITS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -96,10 +96,13 @@ class Encoder:
             out[k] = found
         return out
 
-    def decode(self, rows: list[bytes]) -> list[str]:
-        """Texts of ids, special tokens included, as the library decodes them."""
-        lists = [np.frombuffer(r, dtype="<u4").tolist() for r in rows]
-        return self.library.decode_batch(lists, skip_special_tokens=False)
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids as the library decodes them, special tokens included; ids outside the vocabulary give nothing."""
+        try:
+            raw = b"".join(map(self.token_bytes.__getitem__, ids))
+        except IndexError:
+            raw = b"".join(self.token_bytes[i] for i in ids if i < len(self.token_bytes))
+        return raw.decode("utf-8", "replace")
 
 
 _OPEN: dict[str, Encoder] = {}

@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Units in a worker's table; it is emptied when full, which costs time and changes no result.
-TABLE_UNITS = 1_000_000
+TABLE_UNITS = 600_000
 
 
 def default_tokenizer() -> str:

@@ -88,7 +88,7 @@ frames AS (
 
 
 def videos(spark, d):
-    f = (frames(spark, d).where("chunks > 1").withColumn("number", F.col("frame") % 20)
+    f = (frames(spark, d).withColumn("number", F.col("frame") % 20)
          .withColumn("special", F.col("chunks") <= 4))
     df, run = by_position(f, ["src"], "start", c.POSITIONS_PER_BLOCK)
     return seg.stitch_groups(df, run, number="number", gap=2)
@@ -97,7 +97,7 @@ def videos(spark, d):
 VIDEOS = """usable AS (
   SELECT *, frame % 20 AS number, chunks <= 4 AS special,
          row_number() OVER (PARTITION BY src ORDER BY "start") AS rn
-  FROM frames WHERE chunks > 1),
+  FROM frames),
 walk AS (
   SELECT src, rn, "start", "end", number, special, rn AS seg, special AS sticky FROM usable WHERE rn = 1
   UNION ALL
@@ -113,8 +113,8 @@ FROM walk GROUP BY src, seg"""
 
 
 def video_summaries(spark, d):
-    """Frames of two chunks and more, joined over small gaps and summarised."""
-    f = frames(spark, d).where("chunks > 1")
+    """Frames joined over small gaps and summarised."""
+    f = frames(spark, d)
     df, run = by_position(f, ["src"], "start", c.POSITIONS_PER_BLOCK)
     rows = seg.segment_by_gap(df, run, pos="start", end="end", gap=2)
     return seg.summarise_segments(rows, ["src", "seg"], pos="start", end="end", number="frame", total="chunks").drop("seg")
@@ -300,7 +300,7 @@ FROM (SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY pos) AS seg
 GROUP BY src, seg""",
     "summarise_frames": c.with_(c.DISC_LINES, FRAMES) + """
 , g AS (SELECT *, CASE WHEN "start" > lag("end") OVER (PARTITION BY src ORDER BY "start") + 2 THEN 1 ELSE 0 END AS brk
-        FROM frames WHERE chunks > 1),
+        FROM frames),
 n AS (SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY "start") AS video FROM g)
 SELECT src, min("start") AS "start", max("end") AS "end", count(*) AS records,
        arg_min("end", "start") - min("start") AS first_offset, min(frame) AS first_number, max(frame) AS last_number,

@@ -270,18 +270,19 @@ def longest_disjoint(items: DataFrame, *, parent: Sequence[str] = ("parent",), f
                                     F.min(F.struct("start", "id")).alias("_first"))
     sizes = cut(sizes)
     small = once.join(sizes.where(F.col("_n") <= fold_limit).select(*keys), keys)
-    picked_type = "array<struct<end:bigint,start:bigint,id:bigint>>"
-    state = F.struct(F.lit(None).cast("bigint").alias("upto"), F.array().cast(picked_type).alias("picked"))
+    id_type = items.schema["id"].dataType.simpleString()
+    picked_type = f"struct<end:bigint,start:bigint,id:{id_type}>"
+    state = F.struct(F.lit(None).cast("bigint").alias("upto"), F.array().cast(f"array<{picked_type}>").alias("picked"))
     fold = F.aggregate(
         F.array_sort("_all"), state,
         lambda acc, x: F.when(
             acc["upto"].isNull() | (x["start"] > acc["upto"]),
             F.struct((x["end"] + x["past"]).alias("upto"),
                      F.array_append(acc["picked"], F.struct(x["end"], x["start"], x["id"])
-                                    .cast("struct<end:bigint,start:bigint,id:bigint>")).alias("picked")))
+                                    .cast(picked_type)).alias("picked")))
         .otherwise(acc))
     row = F.struct(F.col("end").cast("bigint").alias("end"), F.col("start").cast("bigint").alias("start"),
-                   F.col("id").cast("bigint").alias("id"), F.col("past").cast("bigint").alias("past"))
+                   F.col("id"), F.col("past").cast("bigint").alias("past"))
     picked = (small.groupBy(*keys).agg(F.collect_list(row).alias("_all"))
               .withColumn("_p", F.explode(fold["picked"]))
               .select(*keys, F.col("_p.start").alias("start"), F.col("_p.end").alias("end"),
@@ -293,8 +294,8 @@ def longest_disjoint(items: DataFrame, *, parent: Sequence[str] = ("parent",), f
     total = (picked.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias("_len"))
              .join(sizes, keys)
              .groupBy(*parent)
-             .agg(F.max_by(F.col(fmt), F.struct("_len", (-F.col("_first.start")).alias("s"),
-                                                (-F.col("_first.id")).alias("i"))).alias(fmt)))
+             .agg(F.min_by(F.col(fmt), F.struct((-F.col("_len")).alias("l"), F.col("_first.start").alias("s"),
+                                                F.col("_first.id").alias("i"))).alias(fmt)))
     return picked.join(total, keys)
 
 

@@ -95,12 +95,16 @@ def union_disjoint(items: DataFrame, *, keys: Sequence[str] = ("grp",), width: i
 
 
 def anomalies(kind: str, df: DataFrame, *, src: str, pos: str, detail: Column) -> DataFrame:
-    """Fault rows in the common form ``kind, src, pos, detail``."""
-    return df.select(F.lit(kind).alias("kind"), F.col(src).cast("bigint").alias("src"),
+    """Fault rows in the common form ``kind, src, pos, detail``; ``src`` keeps its type."""
+    return df.select(F.lit(kind).alias("kind"), F.col(src).alias("src"),
                      F.col(pos).cast("bigint").alias("pos"), detail.cast("string").alias("detail"))
 
 
 def anomaly_report(parts: Sequence[DataFrame]) -> DataFrame:
+    """All fault rows; ``src`` becomes a string if some part's sources are strings and others' are not."""
+    strings = [p.schema["src"].dataType.simpleString() == "string" for p in parts]
+    if any(strings) and not all(strings):
+        parts = [p.withColumn("src", F.col("src").cast("string")) for p in parts]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

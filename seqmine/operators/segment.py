@@ -353,7 +353,7 @@ def piece_offsets(pieces: DataFrame, run: Run, *, length: Column) -> DataFrame:
 def concat_payload(pieces: DataFrame, run: Run, *, payload: str = "payload", pos: str = "pos",
                    first_trim: Column | int = 0, last_trim: Column | int = 0,
                    part_size: int = 1 << 24) -> DataFrame:
-    """Payload of each group in order, as parts of about ``part_size`` characters.
+    """Payload of each group in order, as parts of about ``part_size`` characters, or bytes if it is binary.
 
     ``first_trim`` is cut from the front of a group's first piece and ``last_trim``
     from the back of its last one.  A group within the bound is one part; a larger
@@ -368,15 +368,17 @@ def concat_payload(pieces: DataFrame, run: Run, *, payload: str = "payload", pos
                .withColumn(payload, F.substring(F.col(payload), front + 1,
                                                 F.greatest(size - front - back, F.lit(0)))))
     placed = piece_offsets(trimmed, run, length=F.length(payload))
+    binary = pieces.schema[payload].dataType.simpleString() == "binary"
+    texts = F.transform(F.array_sort(F.collect_list(F.col("_piece"))), lambda x: F.hex(x["t"]) if binary else x["t"])
+    joined = F.unhex(F.array_join(texts, "")) if binary else F.array_join(texts, "")
     # Empty pieces take no room, so a part could hold any number of them.
     piece = F.when(F.length(payload) > 0, F.struct(F.col(pos).alias("p"), F.col(payload).alias("t")))
-    return (placed.withColumn("part", F.floor(F.col("offset") / part_size))
+    return (placed.withColumn("part", F.floor(F.col("offset") / part_size)).withColumn("_piece", piece)
             .groupBy(*run.keys, "part")
             .agg(F.min(pos).alias("start"), F.max(pos).alias("end"),
                  F.sum(F.length(payload)).cast("bigint").alias("size"),
                  F.bool_and("_legal").alias("legal"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["t"]), "")
-                 .alias(payload)))
+                 joined.alias(payload)))
 
 
 def locate_offset(pieces: DataFrame, queries: DataFrame, keys: Sequence[str], *, length: str = "len",

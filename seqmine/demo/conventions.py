@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import Run, by_density, by_position, dense_index
+from seqmine.plans.blocks import Run, by_density, by_position, catch_up, dense_index
 
 ROWS_PER_BLOCK = 1 << 14
 POSITIONS_PER_BLOCK = 1 << 14
@@ -34,24 +34,28 @@ def days(col: str, since: str = "1995-01-01"):
     return F.datediff(F.col(col), F.lit(since).cast("date")).cast("bigint")
 
 
+def _own_positions(events: DataFrame, keys: list[str], unit) -> DataFrame:
+    """Every event at a position of its own: that of its hour or day, or the next one free after the event before it."""
+    cells, run = blocks(events.withColumn("_at", unit), keys, "_at")
+    run = Run(run.keys, ("ts", "event_id"), run.block)
+    rows = catch_up(cells, run, F.col("_at"), F.lit(1).cast("bigint"), "_free")
+    return rows.withColumn("pos", F.col("written") + F.col("_free"))
+
+
 def hour_events(spark: SparkSession, d: str) -> DataFrame:
-    """One event per (user, hour): ``src, pos, event_id, event_type, value``."""
-    e = table(spark, d, "events").withColumn("pos", hours())
-    return (e.groupBy(F.col("user_id").alias("src"), "pos")
-            .agg(F.min(F.struct("event_id", "event_type", "value")).alias("e"))
-            .select("src", "pos", "e.event_id", "e.event_type", "e.value"))
+    """All events of a user, one position each: ``src, pos, event_id, event_type, value``."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), "ts", "event_id", "event_type", "value")
+    return _own_positions(e, ["src"], hours()).select("src", "pos", "event_id", "event_type", "value")
 
 
 def day_events(spark: SparkSession, d: str) -> DataFrame:
-    """One event per (user, channel, day) with the stream columns."""
-    e = table(spark, d, "events").withColumn("pos", F.expr(
-        "timestampdiff(DAY, timestamp_ntz'2024-01-01 00:00:00', ts)"))
-    picked = (e.groupBy(F.col("user_id").alias("src"), (F.col("event_id") % 2).alias("channel"), "pos")
-              .agg(F.min(F.struct("event_id", "event_type", "value")).alias("e")))
-    kind = F.col("e.event_type")
-    return picked.select("src", "channel", "pos", (kind != "purchase").alias("stream"),
-                         (kind == "purchase").alias("end_mark"), (kind == "error").alias("fmt"),
-                         (F.col("e.value") < 50).alias("silent"))
+    """All events of a user and channel, one position each, with the stream columns."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 2).alias("channel"),
+                                         "ts", "event_id", "event_type", "value")
+    rows = _own_positions(e, ["src", "channel"], F.expr("timestampdiff(DAY, timestamp_ntz'2024-01-01 00:00:00', ts)"))
+    kind = F.col("event_type")
+    return rows.select("src", "channel", "pos", (kind != "purchase").alias("stream"), (kind == "purchase").alias("end_mark"),
+                       (kind == "error").alias("fmt"), (F.col("value") < 50).alias("silent"))
 
 
 def _lines(spark: SparkSession, d: str, keys: dict, order: tuple[str, ...], coarse, fine: str):
@@ -110,16 +114,16 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 HOUR_EVENTS = """hour_events AS (
-  SELECT user_id AS src, epoch_us(ts) // 3600000000 - 473352 AS pos, event_id, event_type, value
-  FROM events
-  QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY event_id) = 1)"""
+  SELECT src, n - 1 + greatest(0, max(at - n + 1) OVER (PARTITION BY src ORDER BY n)) AS pos, event_id, event_type, value
+  FROM (SELECT user_id AS src, epoch_us(ts) // 3600000000 - 473352 AS at, event_id, event_type, value,
+               row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events))"""
 
 DAY_EVENTS = """day_events AS (
-  SELECT src, channel, pos, event_type <> 'purchase' AS stream, event_type = 'purchase' AS end_mark,
+  SELECT src, channel, n - 1 + greatest(0, max(at - n + 1) OVER (PARTITION BY src, channel ORDER BY n)) AS pos,
+         event_type <> 'purchase' AS stream, event_type = 'purchase' AS end_mark,
          event_type = 'error' AS fmt, value < 50 AS silent
-  FROM (SELECT user_id AS src, event_id % 2 AS channel, epoch_us(ts) // 86400000000 - 19723 AS pos,
-               event_id, event_type, value FROM events)
-  QUALIFY row_number() OVER (PARTITION BY src, channel, pos ORDER BY event_id) = 1)"""
+  FROM (SELECT user_id AS src, event_id % 2 AS channel, epoch_us(ts) // 86400000000 - 19723 AS at, event_type, value,
+               row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS n FROM events))"""
 
 _ALL = ", ".join(LINE_ORDER)
 _DISC = ", ".join(("l_orderkey", "l_linenumber",

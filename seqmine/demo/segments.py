@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seqmine.demo import conventions as c
 from seqmine.operators import align, classify, segment as seg
-from seqmine.plans.blocks import by_position
+from seqmine.plans.blocks import by_position, rekeyed
 
 
 def constant_stride(spark, d):
@@ -123,7 +123,7 @@ def video_summaries(spark, d):
 def countdown(spark, d):
     rows, run = c.disc_lines(spark, d)
     keyed = rows.withColumn("channel", F.col("l_returnflag")).withColumn("number", 8 - F.col("l_linenumber").cast("bigint"))
-    run = type(run)(("src", "channel"), ("pos",), run.block)
+    keyed, run = rekeyed(keyed, run, ["src", "channel"])
     out = seg.stitch_countdown(keyed, run, start="pos", end="pos", gap=5)
     return out.select("src", "channel", "pos", "number", "seg", "first_number", "renumbered")
 

@@ -51,7 +51,7 @@ def stride(spark, d):
 
 
 def gaps(spark, d):
-    rows = _closing(c.day_events(spark, d).select("src", "pos").distinct(), src=-1)
+    rows = _closing(c.day_events(spark, d).select("src", "pos"), src=-1)
     out = ss.stream_gap_segments(_feed(spark, rows, "gaps"), gap="36 hours")
     day = lambda x: F.floor(F.unix_seconds(x) / 86_400) - DAY_ZERO
     return _drain(spark, out.select("src", "records", day("start").alias("start"), day("end").alias("end")), "gaps-out")
@@ -82,7 +82,7 @@ QUERIES = {
 ORACLES = {
     "stream_segments": segments.ORACLES["segment_constant_stride"],
     "stream_gap_segments": c.with_(c.DAY_EVENTS) + """
-, p AS (SELECT DISTINCT src, pos FROM day_events),
+, p AS (SELECT src, pos FROM day_events),
 g AS (SELECT src, pos, sum(CASE WHEN before IS NULL OR pos > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY src ORDER BY pos) AS seg
       FROM (SELECT src, pos, lag(pos) OVER (PARTITION BY src ORDER BY pos) AS before FROM p))
 SELECT src, count(*) AS records, min(pos) AS "start", max(pos) AS "end" FROM g GROUP BY src, seg""",

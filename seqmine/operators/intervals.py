@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import whole_div
-from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, running
+from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, null_safe_join, running
 from seqmine.plans.chains import first_after, reachable
 from seqmine.plans.ranges import overlap_pairs
 from seqmine.session import cut
@@ -94,7 +94,7 @@ def flag_content(items: DataFrame, records: DataFrame, flags: dict[str, Column],
     found = running(cells, Run(tuple(keys), ("_at", "_kind")), reverse=True,
                     lasts={f"_next_{name}": F.when(F.col(name), F.col("_at")) for name in flags})
     nearest = found.where("_kind = 0").select(*keys, F.col("_at").alias("start"), *[f"_next_{n}" for n in flags])
-    return items.join(nearest, [*keys, "start"]).select(
+    return null_safe_join(items, nearest, [*keys, "start"]).select(
         *items.columns, *[F.coalesce(F.col(f"_next_{n}") <= F.col("end"), F.lit(False)).alias(n) for n in flags])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, dense_index, running
+from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, dense_index, rekeyed, running
 from seqmine.session import cut
 
 # Item order of kinds that start at the same position; others come last.
@@ -43,13 +43,12 @@ def assign_ids(items: DataFrame, *, src: str = "src", width: int = BLOCK_WIDTH)
     path and takes no root number; other roots are ``?[0]``, ``?[1]`` and so on;
     children take the ids of their parents plus their own number among them.
     """
-    numbered, _ = by_position(items, [src], "number", width)
+    numbered, run = by_position(items, [src], "number", width)
     roots = numbered.where(F.col("parent_id").isNull())
     files = roots.where(F.col("kind") == "file").withColumn("_own", F.lit(None).cast("bigint"))
-    others = dense_index(roots.where(F.col("kind") != "file"), Run((src,), ("number",)), "_own")
-    below = dense_index(numbered.where(F.col("parent_id").isNotNull()),
-                        Run((src, "parent_id"), ("number",)), "_own")
-    named = cut(files.unionByName(others).unionByName(below))
+    others = dense_index(roots.where(F.col("kind") != "file"), run, "_own")
+    below = dense_index(*rekeyed(numbered.where(F.col("parent_id").isNotNull()), run, [src, "parent_id"]), "_own")
+    named = cut(files.drop("blk").unionByName(others.drop("blk")).unionByName(below.drop("blk")))
     up = named.select(src, F.col("id").alias("parent_id"), F.col("parent_id").alias("_grand"),
                       F.col("_own").alias("_up_own"), F.col("path").alias("_up_path"))
     top = named.select(src, F.col("id").alias("_grand"), F.col("_own").alias("_top_own"),

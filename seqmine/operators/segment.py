@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, by_position, last_where,
+from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, block_of, by_position, last_where,
                                   run_totals, running, segment, segment_groups, shifted, upto)
 from seqmine.session import cut
 
@@ -71,12 +71,13 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
     near_end = F.pmod(F.col(pos), F.lit(width)) >= width - reach
     rows = (df.where(F.col(stream) | F.col(end_mark)).withColumn("_home", home)
             .withColumn("blk", F.explode(F.when(near_end, F.array(F.col("_home"), F.col("_home") + 1))
-                                         .otherwise(F.array(F.col("_home"))))))
+                                         .otherwise(F.array(F.col("_home")))))
+            .withColumn("blk", block_of(keys, F.col("blk"))))
     run = Run(tuple(keys), (pos,))
     w = run.rows()
     sofar = before(w)
     rows = rows.select(
-        *keys, pos, "blk", (F.col("_home") == F.col("blk")).alias("_core"), stream, fmt, silent,
+        *keys, pos, "blk", (F.col("_home") == F.col("blk._no")).alias("_core"), stream, fmt, silent,
         F.last(F.when(F.col(stream), F.col(pos)), ignorenulls=True).over(sofar).alias("_ppos"),
         F.last(F.when(F.col(stream), F.col(fmt)), ignorenulls=True).over(sofar).alias("_pfmt"),
         F.last(F.when(F.col(end_mark), F.col(pos)), ignorenulls=True).over(sofar).alias("_mark"))
@@ -109,7 +110,7 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
         F.max(~F.col("_more")).alias("_at_end")))
     # Parts with one certain start that end before the block does are complete.
     edge = ~F.coalesce(F.col("_s0") == F.col("_s1"), F.lit(False)) | F.col("_at_end")
-    inner = parts.where(~edge).select(*keys, F.col("_s0").alias("start"), "end", "records",
+    inner = parts.where(~edge).select(*run.held(), F.col("_s0").alias("start"), "end", "records",
                                       F.col("_g0").alias("stride"), fmt, "sounding")
     parts = parts.where(edge)
 
@@ -129,7 +130,7 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
     carry = (carry.withColumn("_start", F.last(chosen("_s"), ignorenulls=True).over(earlier))
              .select(*run.cell, "_bit", "_start"))
     merged = (parts.join(carry, run.cell)
-              .withColumn("start", F.coalesce(chosen("_s"), F.col("_start"))).withColumn("_gap", chosen("_g"))
+              .select("*", *run.held(), F.coalesce(chosen("_s"), F.col("_start")).alias("start"), chosen("_g").alias("_gap"))
               .groupBy(*keys, "start")
               .agg(F.max("end").alias("end"), F.sum("records").alias("records"), F.max("_gap").alias("stride"),
                    F.min(fmt).alias(fmt), F.sum("sounding").alias("sounding")))

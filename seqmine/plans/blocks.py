@@ -9,6 +9,9 @@ groups of neighbouring rows of bounded size.  Every function
 3. folds the summaries along the run (a window over blocks, not over rows),
 4. joins the folded value back to the rows on ``(keys, block)``.
 
+The first block column is a struct of the keys and a number.  It is never null, so rows whose keys are null meet the
+summary of their block like all others, by a plain equality that keeps the partitioning.
+
 The rows are shuffled once, on ``(keys, block)``; steps 2 and 4 keep that
 partitioning.  A run of n rows in blocks of b rows needs only n/b summary rows in
 one task.  Block columns must never decrease along the order of the run.
@@ -41,7 +44,12 @@ class Run:
 
     @property
     def cell(self) -> list[str]:
-        return [*self.keys, *self.block]
+        """Columns that name a block; the keys are fields of the first."""
+        return list(self.block)
+
+    def held(self) -> list[Column]:
+        """The keys as the block column holds them."""
+        return [F.col(self.block[0])[k].alias(k) for k in self.keys]
 
     def rows(self, reverse: bool = False) -> WindowSpec:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
@@ -49,7 +57,7 @@ class Run:
 
     def blocks(self, reverse: bool = False) -> WindowSpec:
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.block]
-        return Window.partitionBy(*self.keys).orderBy(*order)
+        return Window.partitionBy(*[F.col(self.block[0])[k] for k in self.keys]).orderBy(*order)
 
     def place(self) -> Column:
         """The order columns as one comparable value."""
@@ -58,11 +66,33 @@ class Run:
         return F.struct(*[F.col(c) for c in self.order])
 
 
+def block_of(keys: Sequence[str], number: Column) -> Column:
+    """The value of a block column: the keys, which may be null, and the number of the block."""
+    return F.struct(*[F.col(k) for k in keys], number.alias("_no"))
+
+
+def rekeyed(df: DataFrame, run: Run, keys: Sequence[str]) -> tuple[DataFrame, Run]:
+    """The same blocks for other keys."""
+    first = run.block[0]
+    return df.withColumn(first, block_of(keys, F.col(first)["_no"])), Run(tuple(keys), run.order, run.block)
+
+
 def by_position(df: DataFrame, keys: Sequence[str], pos: str = "pos",
                 width: int = BLOCK_WIDTH) -> tuple[DataFrame, Run]:
-    """Blocks of ``width`` positions; a block holds at most ``width`` distinct positions."""
-    out = df.withColumn("blk", F.floor(F.col(pos) / F.lit(width)))
-    return out, Run(tuple(keys), (pos,))
+    """Blocks of ``width`` positions; a block holds at most ``width`` distinct positions.
+
+    Keys may be null and then form a run of their own.  A null position has no place in a run and stops the query.
+    """
+    refused = F.raise_error(F.lit(f"null position in column {pos}")).cast("bigint")
+    number = F.coalesce(F.floor(F.col(pos) / F.lit(width)), refused)
+    return df.withColumn("blk", block_of(keys, number)), Run(tuple(keys), (pos,))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns, where null equals null; the columns of ``left`` stay."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") for c in on], *[c for c in right.columns if c not in on])
+    match = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]
+    return left.join(other, match, how).drop(*[f"_r_{c}" for c in on])
 
 
 def upto(window: WindowSpec) -> WindowSpec:
@@ -131,7 +161,7 @@ def run_totals(df: DataFrame, run: Run, *, mins: dict[str, Column] | None = None
     """
     mins, maxes = mins or {}, maxes or {}
     agg = ([F.min(c).alias(n) for n, c in mins.items()] + [F.max(c).alias(n) for n, c in maxes.items()])
-    over = Window.partitionBy(*run.keys)
+    over = Window.partitionBy(*[F.col(run.block[0])[k] for k in run.keys])
     totals = df.groupBy(*run.cell).agg(*agg).select(
         *run.cell, *[F.min(n).over(over).alias(n) for n in mins], *[F.max(n).over(over).alias(n) for n in maxes])
     return df.join(totals, run.cell)
@@ -269,7 +299,7 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     tail: Getter = lambda c: F.col("_tail")[c]
     edge = F.col("_cut").isNull() | F.col("_at_end")
     values = [*sums, *mins, *maxes]
-    inner = parts.where(~edge).select(*run.keys, F.col("_cut").alias("seg"), *values)
+    inner = parts.where(~edge).select(*run.held(), F.col("_cut").alias("seg"), *values)
     edges = parts.where(edge)
     links = (edges.groupBy(*run.cell)
              .agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in fields],
@@ -281,7 +311,8 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
              .withColumn("_root", F.coalesce("_opens", F.last(F.coalesce("_cut", "_opens"), ignorenulls=True)
                                              .over(before(blocks))))
              .select(*run.cell, "_root"))
-    merged = (edges.join(links, run.cell).withColumn("seg", F.coalesce("_cut", "_root"))
+    merged = (edges.join(links, run.cell)
+              .select(*run.held(), F.coalesce("_cut", "_root").alias("seg"), *values)
               .groupBy(*run.keys, "seg")
               .agg(*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins],
                    *[F.max(n).alias(n) for n in maxes]))
@@ -333,5 +364,5 @@ def by_density(df: DataFrame, keys: Sequence[str], coarse: str, fine: str,
     span = max(1, rows // most)
     part = max(1, spread * rows // most) if most > rows else None
     sub = F.floor(F.col(fine) / F.lit(part)) if part else F.lit(0).cast("bigint")
-    return (df.withColumn("blk", F.floor(F.col(coarse) / F.lit(span))).withColumn("sub", sub),
+    return (df.withColumn("blk", block_of(keys, F.floor(F.col(coarse) / F.lit(span)))).withColumn("sub", sub),
             ("blk", "sub"))

@@ -114,15 +114,15 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 HOUR_EVENTS = """hour_events AS (
-  SELECT src, n - 1 + greatest(0, max(at - n + 1) OVER (PARTITION BY src ORDER BY n)) AS pos, event_id, event_type, value
-  FROM (SELECT user_id AS src, epoch_us(ts) // 3600000000 - 473352 AS at, event_id, event_type, value,
+  SELECT src, n - 1 + greatest(0, max(unit - n + 1) OVER (PARTITION BY src ORDER BY n)) AS pos, event_id, event_type, value
+  FROM (SELECT user_id AS src, epoch_us(ts) // 3600000000 - 473352 AS unit, event_id, event_type, value,
                row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events))"""
 
 DAY_EVENTS = """day_events AS (
-  SELECT src, channel, n - 1 + greatest(0, max(at - n + 1) OVER (PARTITION BY src, channel ORDER BY n)) AS pos,
+  SELECT src, channel, n - 1 + greatest(0, max(unit - n + 1) OVER (PARTITION BY src, channel ORDER BY n)) AS pos,
          event_type <> 'purchase' AS stream, event_type = 'purchase' AS end_mark,
          event_type = 'error' AS fmt, value < 50 AS silent
-  FROM (SELECT user_id AS src, event_id % 2 AS channel, epoch_us(ts) // 86400000000 - 19723 AS at, event_type, value,
+  FROM (SELECT user_id AS src, event_id % 2 AS channel, epoch_us(ts) // 86400000000 - 19723 AS unit, event_type, value,
                row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS n FROM events))"""
 
 _ALL = ", ".join(LINE_ORDER)

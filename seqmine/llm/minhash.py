@@ -8,8 +8,9 @@ Documents with equal sets form classes first, each stands in buckets once.  A bu
 from its centre to the others, never all pairs.  The centre is the member first in a random order, the same for all
 buckets of a round, so members of one group meet the same centre in most of their buckets and are compared with it
 once.  Candidates are confirmed on the full sets of shingles.  Further rounds take only buckets whose members lie in more than
-one component, with new centres: several in a small bucket, which compares it in full, one in a large one, so a round's
-pairs stay in proportion to the members.  They end when a round finds no new link.
+one component, with new centres: more in a small bucket, a few in a large one, so a round's pairs stay in proportion to
+the members.  They end when a round finds no new link.  A round's links are between components: they are united
+among themselves, and members take over the new names.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SIMILARITY = 80  # per cent
 BINS = 128
 #: Bins per band.  Sets with similarity s share a given band with chance s**4: of 32 bands, 0.8 meets in 13, and none with chance 5e-8.
 ROWS = 4
-#: Centres of a bucket in each round after the first, at most, and pairs that its centres make, about.
-CENTRES = 16
+#: Centres of a bucket in each round after the first, at least and at most, and in between the pairs that they make, about.
+FEW_CENTRES, CENTRES = 4, 16
 BUCKET_PAIRS = 256
 WORD_TABLE = 1 << 20
 
@@ -131,16 +132,16 @@ def sketches(docs: DataFrame, key: str, text: str, words: int, bins: int, rows:
 
 
 def _confirmed(edges: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
-    """The candidate edges (``a``, ``b``) whose full sets are similar enough; ``texts`` has ``k`` and ``t``."""
-    pairs = (edges.join(texts, F.col("b") == F.col("k")).select("a", "b", F.col("t").alias("tb"))
-             .join(texts, F.col("a") == F.col("k")).select("a", F.col("t").alias("ta"), "b", "tb"))
+    """Pairs of components (``x``, ``y``) of the candidate edges (``a``, ``b``) whose full sets are similar enough; ``texts`` has ``k``, ``t``."""
+    pairs = (edges.join(texts, F.col("b") == F.col("k")).select("a", "b", "x", "y", F.col("t").alias("tb"))
+             .join(texts, F.col("a") == F.col("k")).select("a", F.col("t").alias("ta"), "tb", "x", "y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, centre = Shingler(words), None, None
         for batch in batches:
-            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            ta, tb = (batch.column(c).to_pylist() for c in ("ta", "tb"))
             good = []
-            for k in range(len(a)):
+            for k in range(len(ta)):
                 if ta[k] is not last:  # edges of one centre mostly follow each other
                     if ta[k] != last:
                         centre = shingler.shingles(ta[k])
@@ -150,11 +151,15 @@ def _confirmed(edges: DataFrame, texts: DataFrame, words: int, similarity: int)
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
                 good.append(100 * common >= similarity * (len(both) - common) and common > 0)
-            keep = [k for k, ok in enumerate(good) if ok]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[k] for k in keep], pa.int64()),
-                                              "b": pa.array([b[k] for k in keep], pa.int64())})
+            yield batch.select(["x", "y"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(run, "x long, y long").distinct()
+
+
+def _renamed(df: DataFrame, column: str, united: DataFrame) -> DataFrame:
+    """``df`` with the components in ``column`` under their names in ``united`` (``node``, ``root``)."""
+    names = united.select(F.col("node").alias("old_"), F.col("root").alias("new_"))
+    return df.join(names, F.col(column) == F.col("old_"), "left").withColumn(column, F.coalesce("new_", column)).drop("old_", "new_")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -181,33 +186,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     # Copies that carry keys of their own, and keys that stand in several classes, are links as well.
     copies = classes.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()
-    groups, tested, turn = written(components(copies), "components"), None, 0
+    alone = inside.select(F.col("k").alias("node"), F.col("k").alias("root"))
+    groups = written(components(copies).unionByName(alone).groupBy("node").agg(F.min("root").alias("root")), "components")
+    members = members.join(groups, F.col("k") == F.col("node")).select("bucket", "k", "n_shingles", F.col("root").alias("c"))
+    tested, turn = None, 0
     while True:
-        first = 1 + (turn - 1) * CENTRES if turn else 0
-        centres_of = F.lit(1) if not turn else F.expr(f"cast(greatest(1, least({CENTRES}, {BUCKET_PAIRS} div m)) as int)")
-        now = (members.join(groups, F.col("k") == F.col("node"), "left")
-               .select("bucket", "k", "n_shingles", F.coalesce("root", "k").alias("c")))
-        mixed = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"))
-        mixed = mixed.where("lo != hi").select("bucket", F.sequence(F.lit(first), F.lit(first - 1) + centres_of).alias("turns"))
-        now = now.join(mixed, "bucket")
-        turns = now.select("*", F.explode("turns").alias("turn"))
-        centres = (turns.groupBy("bucket", "turn").agg(F.min(F.struct(F.xxhash64("k", "turn"), "k", "n_shingles", "c")).alias("z"))
-                   .select("bucket", F.col("z.k").alias("a"), F.col("z.n_shingles").alias("na"), F.col("z.c").alias("ca")).distinct())
-        edges = (now.join(centres, "bucket").where("c != ca")
-                 # Sets whose sizes differ too much cannot be similar enough.
-                 .where(F.least("na", "n_shingles") * 100 >= F.greatest("na", "n_shingles") * similarity)
-                 .select(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b")).distinct())
+        numbers = range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES) if turn else range(1)
+        firsts = [F.min(F.struct(F.xxhash64("k", F.lit(n)).alias("h"), F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca")))
+                  for n in numbers]
+        mixed = (members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.array(*firsts).alias("z"))
+                 .where("lo != hi"))
+        many = F.lit(1) if not turn else F.expr(f"cast(greatest({FEW_CENTRES}, least({CENTRES}, {BUCKET_PAIRS} div m)) as int)")
+        centres = F.array_distinct(F.transform(F.slice("z", F.lit(1), many), lambda z: z.dropFields("h")))
+        # Buckets that lie in one component stay so and are left out from here on.
+        live = written(members.join(mixed.select("bucket", centres.alias("centres")), "bucket"), "live")
+        # Sets whose sizes differ too much cannot be similar enough.
+        useful = F.filter("centres", lambda z: (z["ca"] != F.col("c")) & (
+            F.least(z["na"], F.col("n_shingles")) * 100 >= F.greatest(z["na"], F.col("n_shingles")) * similarity))
+        edges = (live.select("k", "c", F.explode(useful).alias("z")).select("k", "c", "z.*")
+                 .groupBy(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
+                 .agg(F.min(F.least("c", "ca")).alias("x"), F.min(F.greatest("c", "ca")).alias("y")))
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "candidates")
-        good = written(_confirmed(edges, texts, words, similarity), "links")
-        if good.isEmpty():
+        links = written(_confirmed(edges, texts, words, similarity), "links")
+        members = live.drop("centres")
+        if links.isEmpty():
             if turn or edges.isEmpty():
                 break
         else:
-            stars = groups.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-            groups = written(components(good.unionByName(stars)), "components")
-        tested = edges if tested is None else tested.unionByName(edges)
+            united = small_side(written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "united"))
+            groups = written(_renamed(groups, "root", united), "components")
+            members = _renamed(members, "c", united)
+        done = edges.select("a", "b")
+        tested = done if tested is None else tested.unionByName(done)
         turn += 1
     ids = sketch.select(F.col("k").alias(key), "n_shingles")
     out = ids.join(groups, (F.col(key) == F.col("node")), "left")

@@ -174,9 +174,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sketch = written(sketches(docs, key, text, words, bins, rows, seed), "sketches")
     usable = sketch.where("digest is not null and k is not null")
     reps = usable.groupBy("digest").agg(F.min("k").alias("rep"))
-    classes = written(usable.join(reps, "digest").select("k", "rep", "n_shingles", F.when(F.col("k") == F.col("rep"), F.col("bands")).alias("bands")),
-                      "classes")
-    banded = classes.where("bands is not null").select("k", "n_shingles", F.explode("bands").alias("bucket")).distinct()
+    classes = written(usable.join(reps, "digest").select("k", "rep", "n_shingles", F.xxhash64("digest").alias("d"),
+                                                        F.when(F.col("k") == F.col("rep"), F.col("bands")).alias("bands")), "classes")
+    banded = classes.where("bands is not null").select("k", "d", "n_shingles", F.explode("bands").alias("bucket")).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
     members = written(banded.join(shared, "bucket"), "buckets")
 
@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     copies = classes.where("k != rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()
     alone = inside.select(F.col("k").alias("node"), F.col("k").alias("root"))
     groups = written(components(copies).unionByName(alone).groupBy("node").agg(F.min("root").alias("root")), "components")
-    members = members.join(groups, F.col("k") == F.col("node")).select("bucket", "k", "n_shingles", F.col("root").alias("c"))
+    members = members.join(groups, F.col("k") == F.col("node")).select("bucket", "k", "d", "n_shingles", F.col("root").alias("c"))
     tested, turn = None, 0
     while True:
         numbers = range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES) if turn else range(1)
@@ -203,7 +203,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         # Sets whose sizes differ too much cannot be similar enough.
         useful = F.filter("centres", lambda z: (z["ca"] != F.col("c")) & (
             F.least(z["na"], F.col("n_shingles")) * 100 >= F.greatest(z["na"], F.col("n_shingles")) * similarity))
-        edges = (live.select("k", "c", F.explode(useful).alias("z")).select("k", "c", "z.*")
+        # A set meets a centre in many of its bands: they are listed once for each set, which is in no more buckets than it has bands.
+        lists = (live.select("k", "d", "c", useful.alias("zs")).where(F.size("zs") > 0)
+                 .groupBy("k", "d").agg(F.min("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("zs"))).alias("zs")))
+        edges = (lists.select("k", "c", F.explode("zs").alias("z")).select("k", "c", "z.*")
                  .groupBy(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
                  .agg(F.min(F.least("c", "ca")).alias("x"), F.min(F.greatest("c", "ca")).alias("y")))
         if tested is not None:

@@ -9,7 +9,8 @@ from its centre to the others, never all pairs.  The centre is the member first
 buckets of a round, so members of one group meet the same centre in most of their buckets and are compared with it
 once.  Candidates are confirmed on the full sets of shingles.  Further rounds take only buckets whose members lie in more than
 one component, with new centres: more in a small bucket, a few in a large one, so a round's pairs stay in proportion to
-the members.  They end when a round finds no new link.  A round's links are between components: they are united
+the members.  They end when no bucket is left, or when two rounds in a row find
+no new link.  A round's links are between components: they are united
 among themselves, and members take over the new names.
 """
 
@@ -34,6 +35,8 @@ ROWS = 4
 #: Centres of a bucket in each round after the first, at least and at most, and in between the pairs that they make, about.
 FEW_CENTRES, CENTRES = 4, 16
 BUCKET_PAIRS = 256
+#: Rounds without a new link, one after another, after which the search ends.
+QUIET = 2
 WORD_TABLE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -189,7 +192,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     alone = inside.select(F.col("k").alias("node"), F.col("k").alias("root"))
     groups = written(components(copies).unionByName(alone).groupBy("node").agg(F.min("root").alias("root")), "components")
     members = members.join(groups, F.col("k") == F.col("node")).select("bucket", "k", "d", "n_shingles", F.col("root").alias("c"))
-    tested, turn = None, 0
+    tested, turn, quiet = None, 0, 0
     while True:
         numbers = range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES) if turn else range(1)
         firsts = [F.min(F.struct(F.xxhash64("k", F.lit(n)).alias("h"), F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca")))
@@ -215,9 +218,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         links = written(_confirmed(edges, texts, words, similarity), "links")
         members = live.drop("centres")
         if links.isEmpty():
-            if turn or edges.isEmpty():
+            quiet += turn > 0
+            if quiet == QUIET or live.isEmpty():
                 break
         else:
+            quiet = 0
             united = small_side(written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "united"))
             groups = written(_renamed(groups, "root", united), "components")
             members = _renamed(members, "c", united)

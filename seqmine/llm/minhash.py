@@ -37,6 +37,10 @@ FEW_CENTRES, CENTRES = 4, 16
 BUCKET_PAIRS = 256
 #: Rounds without a new link, one after another, after which the search ends.
 QUIET = 2
+#: Slots of shingle counts that order a set's shingles by rarity; slots that share counts cost time, not links.
+SLOTS = 1 << 20
+#: Sets of a square block that meet in one rare shingle.
+SQUARE = 512
 WORD_TABLE = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -159,6 +163,55 @@ def _confirmed(edges: DataFrame, texts: DataFrame, words: int, similarity: int)
     return pairs.mapInArrow(run, "x long, y long").distinct()
 
 
+def _rare_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many texts have a shingle of each slot (the shingle's low bits)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, counts = Shingler(words), np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column("t").to_pylist():
+                counts += np.bincount((shingler.shingles(t) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
+
+    found = texts.select("t").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(SLOTS, np.int64)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def _rare_pairs(texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Pairs of different components (``a``, ``b``, ``x``, ``y``) among ``texts`` (``k``, ``c``, ``t``), all that can be linked among them."""
+    counts = _rare_counts(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for k, c, t in zip(batch.column("k").to_pylist(), batch.column("c").to_pylist(), batch.column("t").to_pylist()):
+                found = shingler.shingles(t)
+                often = counts[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
+                order = np.lexsort((found, often))[:len(found) - -(-similarity * len(found) // 100) + 1]
+                place = np.flatnonzero(often[order] > 1)  # the others are in no second text
+                if len(place):
+                    n = len(place)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found[order[place]].view(np.int64)), pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, c, np.int64)),
+                         pa.array(np.full(n, len(found), np.int64)), pa.array(len(found) - place)], ["s", "k", "c", "n", "room"])
+
+    rare = written(texts.select("k", "c", "t").mapInArrow(run, "s long, k long, c long, n long, room long").distinct(), "rare")
+    meet = rare.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    parts = F.ceil(F.col("m") / SQUARE).cast("int")
+    rare = written(rare.join(meet.select("s", parts.alias("parts")), "s").withColumn("i", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")), "meeting")
+    rare = rare.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    one, two = (rare.select(*[F.col(c).alias(c + side) for c in rare.columns]) for side in "12")
+    # A linked pair's first common shingle has room for all others behind it on both sides.
+    fits = ((F.col("s1") == F.col("s2")) & (F.col("i1") == F.col("j2")) & (F.col("j1") == F.col("i2")) & (F.col("k1") < F.col("k2"))
+            & (F.col("c1") != F.col("c2"))
+            & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * similarity)
+            & (F.least("room1", "room2") * (100 + similarity) >= (F.col("n1") + F.col("n2")) * similarity))
+    return (one.join(two, fits).groupBy(F.col("k1").alias("a"), F.col("k2").alias("b"))
+            .agg(F.min(F.least("c1", "c2")).alias("x"), F.min(F.greatest("c1", "c2")).alias("y")))
+
+
 def _renamed(df: DataFrame, column: str, united: DataFrame) -> DataFrame:
     """``df`` with the components in ``column`` under their names in ``united`` (``node``, ``root``)."""
     names = united.select(F.col("node").alias("old_"), F.col("root").alias("new_"))
@@ -229,6 +282,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         done = edges.select("a", "b")
         tested = done if tested is None else tested.unionByName(done)
         turn += 1
+    if not live.isEmpty():
+        left = small_side(written(live.select("k", "c").distinct(), "left"))
+        edges = written(_rare_pairs(texts.join(left, "k"), words, similarity).join(tested, ["a", "b"], "left_anti"), "candidates")
+        links = written(_confirmed(edges, texts, words, similarity), "links")
+        if not links.isEmpty():
+            united = small_side(written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "united"))
+            groups = written(_renamed(groups, "root", united), "components")
     ids = sketch.select(F.col("k").alias(key), "n_shingles")
     out = ids.join(groups, (F.col(key) == F.col("node")), "left")
     component = F.coalesce(F.col("root"), F.col(key))

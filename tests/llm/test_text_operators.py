@@ -175,6 +175,18 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(df)).count() == 0
 
 
+def test_near_duplicates_among_sets_that_share_a_passage(spark):
+    rng = random.Random(9)
+    word = lambda n: [str(rng.getrandbits(40)) for _ in range(n)]
+    passage, rows = word(123), []
+    for k in range(300):  # 0.75 alike: they share most buckets and are not linked
+        rows.append((k, " ".join(passage + word(20))))
+    for k in range(40):  # 0.806 alike, few in a bucket of their own
+        rows.append((1000 + k, " ".join(rows[k][1].split()[:128] + word(15))))
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(k, k - 1000 if k >= 1000 else k) for k, _ in rows}
+
+
 def test_vector_duplicates(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 8))

@@ -206,6 +206,20 @@ def test_vector_duplicates(spark):
     assert vector_dups.near_duplicates(empty(df)).count() == 0
 
 
+def test_vector_duplicates_in_a_dense_cloud(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    common, noise = unit(rng.standard_normal(64)), unit(rng.standard_normal((1500, 64)))
+    noise[1400:] = unit(noise[:100] + 0.7 * unit(rng.standard_normal((100, 64))))
+    for share in (0.42, 1.0):  # mean cosine 0.85 and 0.5
+        x = unit(common + share * noise)
+        near = (x @ x.T >= 0.93) & ~np.eye(len(x), dtype=bool)
+        up = smallest(range(len(x)), [(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near))) if a < b])
+        df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+        found = vector_dups.near_duplicates(df, window=16, block=128, square=256).collect()
+        assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(k, int(near[k].sum()), up[k]) for k in up}
+
+
 def test_archives(spark):
     long = "<p>" + "long text " * 200
     rows = [(1, "http://a/é x", long, 1), (2, None, long, 2), (3, "http://b", "short", 3), (4, "http://b", "short", 4), (5, "u", None, 5), (None, "v", long, 6),

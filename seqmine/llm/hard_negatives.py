@@ -224,8 +224,8 @@ def mine(vectors: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str
     near = written(near.select("rid", (F.col("rank") - 1).alias("p"), F.col("key").alias("positive_id"),
                                F.col("score").alias("positive_score")), "positives")
     score = F.col("positive_score")
-    windows = near.where(score >= 0).select("rid", "p", F.expr(f"({low} * positive_score + 99) div 100").alias("lo"),
-                                            F.expr(f"({high} * positive_score) div 100").alias("hi"))
+    share = lambda per_cent, more: F.expr(f"{per_cent} * (positive_score div 100) + ({per_cent} * (positive_score % 100) + {more}) div 100")
+    windows = near.where(score >= 0).select("rid", "p", share(low, 99).alias("lo"), share(high, 0).alias("hi"))
     found = search(rows, queries, windows, negatives, WINDOW_STEPS, False, block)
     return (found.join(near, ["rid", "p"]).join(queries.select("rid", F.col("key").alias("anchor_id")), "rid")
             .select("anchor_id", "positive_id", "rank", F.col("key").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))

@@ -158,9 +158,9 @@ def manifest(docs: DataFrame, *, key: str = "doc_id", group: str = "source",
     for made, above in [*[(r, False) for r in runs[1:]], *[(r, True) for r in upper]]:
         nodes = nodes.unionByName(_nodes(made, above, fanout))
     paths = written(jump(nodes), "paths")
-    whole = small_side(written(tops.withColumn("node", _top(F.col("tree"))).join(paths, "node").select(
-        "tree", F.col("hash").alias("subroot"), F.col("path").alias("_top_path")), "tops"))
-    found = placed.join(whole, "tree")
+    whole = written(tops.withColumn("node", _top(F.col("tree"))).join(paths, "node").select(
+        "tree", F.col("hash").alias("subroot"), F.col("path").alias("_top_path")), "tops")
+    found = placed.join(small_side(whole, n * (len(upper) + 1)), "tree")  # a row grows with the height of the upper tree
     if runs:
         low = runs[0].withColumn("node", _parent(False, fanout)).join(paths, "node").select("tree", F.col("g").alias("_g"), "kids", "path")
         found = found.withColumn("_g", F.floor(F.col("idx") / fanout).cast("long")).join(low, ["tree", "_g"], "left")

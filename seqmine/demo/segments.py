@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqmine.demo import conventions as c
-from seqmine.operators import align, classify, segment as seg
+from seqmine.operators import align, carving, classify, segment as seg
 from seqmine.plans.blocks import by_position, rekeyed
 
 
@@ -158,10 +158,12 @@ def increasing(spark, d):
 
 
 def carved(spark, d):
+    """Words that begin with th and a to e in lines that nothing claims, also over the ends of lines; claimed lines are gaps."""
     docs = c.table(spark, d, "documents").select(F.col("doc_id").alias("src"),
                                                  F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    df, run = c.blocks(docs.withColumn("pos", F.col("pos").cast("bigint")), ["src"])
-    return seg.carve(df, run, text="line", pattern="th[a-e][a-z]", reach=4)
+    free = docs.where(F.length("line") % 7 != 3)
+    df, run = c.blocks(free.withColumn("pos", F.col("pos").cast("bigint")), ["src"])
+    return carving.carve(df, run, text="line", pattern="th[a-e][a-z]*")
 
 
 def valid_runs(spark, d):
@@ -377,13 +379,18 @@ FROM (SELECT *, sum(brk) OVER (PARTITION BY src ORDER BY pos) AS seg FROM g) GRO
 WITH lines AS (
   SELECT doc_id AS src, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-joined AS (
-  SELECT *, line || coalesce(left(lead(line) OVER w, 3), '') AS whole, lead(pos) OVER w AS next_pos
-  FROM lines WINDOW w AS (PARTITION BY src ORDER BY pos)),
-spots AS (SELECT *, unnest(generate_series(0, length(line) - 1, 4)) AS o FROM joined)
-SELECT src, pos AS "start", o AS "offset", CASE WHEN o + 4 > length(line) THEN next_pos ELSE pos END AS "end",
-       substr(whole, o + 1, 4) AS found
-FROM spots WHERE regexp_full_match(substr(whole, o + 1, 4), 'th[a-e][a-z]')""",
+free AS (SELECT *, pos - row_number() OVER (PARTITION BY src ORDER BY pos) AS isle FROM lines WHERE length(line) % 7 <> 3),
+placed AS (SELECT *, CAST(sum(length(line)) OVER (PARTITION BY src, isle ORDER BY pos) AS BIGINT) AS stop FROM free),
+joined AS (SELECT src, isle, string_agg(line, '' ORDER BY pos) AS whole FROM free GROUP BY ALL),
+spots AS (SELECT *, unnest(generate_series(0, length(whole) - 1, 4)) AS o FROM joined),
+hits AS (SELECT src, isle, o, regexp_extract(substr(whole, o + 1), '^th[a-e][a-z]*') AS found FROM spots
+         WHERE substr(whole, o + 1, 2) = 'th')
+SELECT h.src, s.pos AS "start", o - s.stop + length(s.line) AS "offset", e.pos AS "end", found
+FROM hits h
+JOIN placed s ON s.src = h.src AND s.isle = h.isle AND o < s.stop AND o >= s.stop - length(s.line)
+JOIN placed e ON e.src = h.src AND e.isle = h.isle AND o + length(found) - 1 < e.stop
+     AND o + length(found) - 1 >= e.stop - length(e.line)
+WHERE found <> ''""",
     "validated_runs": c.with_(c.HOUR_EVENTS) + """
 , v AS (SELECT src, pos, pos % 4 AS phase, event_type = 'purchase' AS last, value < 50 AS zero,
                event_type <> 'error' AS valid FROM hour_events),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqmine.plans.blocks import (BLOCK_WIDTH, Condition, Run, before, block_of, by_position, last_where,
-                                  run_totals, running, segment, segment_groups, shifted, upto)
+                                  run_totals, running, segment, segment_groups, upto)
 from seqmine.session import cut
 
 CHUNK_REACH = 50
@@ -275,39 +275,6 @@ def islands(df: DataFrame, run: Run, claimed: str, pos: str = "pos") -> DataFram
     return out.where(~F.col("_claimed")).drop("seg", "_claimed")
 
 
-def carve(df: DataFrame, run: Run, *, text: str, pattern: str, reach: int, step: int = 4,
-          pos: str = "pos") -> DataFrame:
-    """Structures that start at an aligned offset of a record, also across record ends.
-
-    Every record is looked at together with the first ``reach - 1`` characters of
-    the record after it, so a hit needs at most one neighbour; records must be at
-    least ``reach - 1`` characters long or be the last of their run.  Overlapping
-    hits are all reported, hits cut off by the end of the run are not.
-    """
-    rows = shifted(df.withColumn("_head", F.substring(F.col(text), 1, reach - 1)), run,
-                   ["_head", pos], "_next", reverse=True)
-    rows = rows.withColumn("_full", F.concat(F.col(text), F.coalesce(F.col("_next._head"), F.lit(""))))
-    size = F.length(text)
-    # Splitting before every match gives all hit offsets in one pass over the text.
-    parts = F.split(F.col("_full"), f"(?=(?s:{pattern}))", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
-    offsets = F.aggregate(parts, zero, lambda acc, part: F.struct(
-        (acc["at"] + F.length(part)).alias("at"),
-        F.array_append(acc["seen"], acc["at"]).alias("seen")))["seen"]
-    hits = F.filter(
-        F.transform(F.filter(offsets, lambda o: (o % step == 0) & (o < size)), lambda o: F.struct(
-            o.alias("offset"),
-            F.regexp_extract(F.substring(F.col("_full"), o + 1, F.lit(reach)), f"^(?s:{pattern})", 0)
-            .alias("found"))),
-        lambda h: F.length(h["found"]) > 0)
-    hit_end = F.col("_hit.offset") + F.length("_hit.found")
-    return (rows.withColumn("_hit", F.explode(hits))
-            .select(*run.keys, F.col(pos).alias("start"),
-                    F.col("_hit.offset").cast("bigint").alias("offset"),
-                    F.when(hit_end > size, F.col(f"_next.{pos}")).otherwise(F.col(pos)).alias("end"),
-                    F.col("_hit.found").alias("found")))
-
-
 def validated_runs(df: DataFrame, *, keys: Sequence[str] = ("src",), pos: str = "pos",
                    valid: str = "valid", last: str = "last", zero: str = "zero",
                    min_len: int = 16, phases: int = 4, width: int = BLOCK_WIDTH) -> DataFrame:

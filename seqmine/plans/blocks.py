@@ -319,6 +319,31 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     return merged.unionByName(inner)
 
 
+def stream_offsets(df: DataFrame, run: Run, length: Column, pos: str = "pos") -> DataFrame:
+    """Adds ``seg``, the first position of the row's island, and ``at``, the row's offset in the island's stream.
+
+    An island is a stretch of rows at consecutive positions; its stream is what ``length`` measures, laid end to end.
+    """
+    rows, blocks = run.rows(), run.blocks()
+    local = (df.withColumn("_n", length.cast("bigint")).withColumn("_p", F.lag(pos).over(rows))
+             .withColumn("_s", F.coalesce(F.sum("_n").over(before(rows)), F.lit(0))))
+    root = lambda p, o: F.struct(p.cast("bigint").alias("p"), o.cast("bigint").alias("o"))
+    gap = F.col("_p").isNotNull() & (F.col(pos) != F.col("_p") + 1)
+    local = local.withColumn("_cut", F.max(F.when(gap, root(F.col(pos), F.col("_s")))).over(upto(rows)))
+    carry = (local.groupBy(*run.cell)
+             .agg(F.sum("_n").alias("_total"), F.min(pos).alias("_first"), F.max(pos).alias("_last"), F.max("_cut").alias("_inner"))
+             .withColumn("_tail", F.lag("_last").over(blocks))
+             .withColumn("_off", F.coalesce(F.sum("_total").over(before(blocks)), F.lit(0))))
+    opens = F.col("_tail").isNull() | (F.col("_first") != F.col("_tail") + 1)
+    moved = lambda c: F.when(F.col(c).isNotNull(), root(F.col(c)["p"], F.col(c)["o"] + F.col("_off")))
+    carry = (carry.withColumn("_opens", F.when(opens, root(F.col("_first"), F.col("_off"))))
+             .select(*run.cell, "_off", F.coalesce("_opens", F.last(F.coalesce(moved("_inner"), F.col("_opens")), ignorenulls=True)
+                                                   .over(before(blocks))).alias("_root")))
+    here = F.coalesce(moved("_cut"), F.col("_root"))
+    return local.join(carry, run.cell).withColumn("_here", here).select(
+        *df.columns, F.col("_here.p").alias("seg"), (F.col("_off") + F.col("_s") - F.col("_here.o")).alias("at"))
+
+
 def catch_up(df: DataFrame, run: Run, target: Column, length: Column,
              name: str = "filler") -> DataFrame:
     """Units to insert before each row so that the total reaches ``target``.

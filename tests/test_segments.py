@@ -80,17 +80,6 @@ def test_locate_skips_empty_pieces(spark):
     assert got == {(0, 1, 0), (1, 1, 1), (2, 1, 2), (3, 4, 0), (4, 4, 1)}
 
 
-def test_carve_over_record_ends(spark):
-    rows = [(1, 0, "....TI"), (1, 1, "M!..TITIM!"), (1, 2, "xxTI")]
-    df, run = by_position(spark.createDataFrame(rows, "src long, pos long, t string"), ["src"], width=1)
-    got = {(r.start, r.offset, r.end) for r in
-           seg.carve(df, run, text="t", pattern="TIM!", reach=4, step=2).collect()}
-    assert got == {(0, 4, 1), (1, 6, 1)}
-    overlapping, run = by_position(spark.createDataFrame([(1, 0, "aaaaa")], "src long, pos long, t string"), ["src"])
-    assert [r.offset for r in seg.carve(overlapping, run, text="t", pattern="aa", reach=2, step=1)
-            .orderBy("offset").collect()] == [0, 1, 2, 3]
-
-
 def test_lookahead_takes_first_complete_group(spark):
     kinds = "F m . L L F m F L F " + ". " * 16 + "L"
     rows = [(1, i, k == "F", k == "m", k == "L") for i, k in enumerate(kinds.split())]

@@ -12,6 +12,8 @@ from seqmine.plans.blocks import Run, by_density, by_position, catch_up, dense_i
 
 ROWS_PER_BLOCK = 1 << 14
 POSITIONS_PER_BLOCK = 1 << 14
+ITEMS_PER_BLOCK = 1 << 18
+FEW = 64
 
 LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
               "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")

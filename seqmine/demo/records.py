@@ -165,7 +165,7 @@ def _rendered(spark, d):
                                            "o_totalprice"), "id")
     items = it.order_items(orders.withColumn("src", F.substring("prio", 1, 1)).withColumn(
         "start", F.when(F.col("o_totalprice") < 5000, F.lit(-1).cast("bigint")).otherwise(F.col("start"))),
-        width=c.POSITIONS_PER_BLOCK)
+        rows=c.ITEMS_PER_BLOCK)
     items = items.withColumn("item_id", F.concat(F.lit("order["), F.col("id").cast("string"), F.lit("]")))
     note = F.when(F.col("o_totalprice") > 400000, F.lit("a|b")).when(F.col("o_totalprice") > 300000, F.lit("high"))
     return index_text.render_items(items, [("Priority", F.col("prio")), ("Note", note)])

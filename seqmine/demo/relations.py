@@ -38,7 +38,7 @@ def overlaps(spark, d):
 
 
 def ordered(spark, d):
-    return it.order_items(c.order_items_table(spark, d), width=c.POSITIONS_PER_BLOCK)
+    return it.order_items(c.order_items_table(spark, d), rows=c.ITEMS_PER_BLOCK)
 
 
 ORDERED = """ordered AS (
@@ -54,13 +54,22 @@ def parented(spark, d):
 def _parented(items):
     children = items.select("src", F.col("id").alias("c_id"), F.col("start").alias("c_start"),
                             F.col("end").alias("c_end"), F.col("kind").alias("c_kind")).where("c_kind = 'audio'")
-    return iv.assign_parent(children, _parents(items), width=c.POSITIONS_PER_BLOCK)
+    return iv.assign_parent(children, _parents(items), width=c.POSITIONS_PER_BLOCK, rows=c.ITEMS_PER_BLOCK, few=c.FEW)
 
 
-def _parents(items):
+def parented_by_channel(spark, d):
+    """Videos of every third order hold audio of any channel, the others that of their own."""
+    items = cut(ordered(spark, d)).withColumn("channel", F.col("id") % 2)
+    children = _kind(items, "audio").select("src", F.col("id").alias("c_id"), F.col("start").alias("c_start"), F.col("end").alias("c_end"),
+                                            F.col("kind").alias("c_kind"), "channel")
+    parents = _parents(items, F.when(F.col("id") % 3 > 0, F.col("channel")).alias("channel"))
+    return iv.assign_parent(children, parents, channel="channel", width=c.POSITIONS_PER_BLOCK, rows=c.ITEMS_PER_BLOCK, few=c.FEW)
+
+
+def _parents(items, *more):
     return items.where(F.col("kind") != "audio").select(
         "src", F.col("id").alias("p_id"), F.col("number").alias("p_order"), F.col("start").alias("p_start"),
-        F.col("end").alias("p_end"), F.col("kind").alias("p_kind"))
+        F.col("end").alias("p_end"), F.col("kind").alias("p_kind"), *more)
 
 
 PARENTED = """rated AS (
@@ -103,7 +112,7 @@ def violations(spark, d):
 def splits(spark, d):
     items = _items(spark, d)
     audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
-    return iv.split_intervals(audio, _kind(items, "video"))
+    return iv.split_intervals(audio, _kind(items, "video"), few=c.FEW)
 
 
 SPLITS = """pieces AS (
@@ -125,7 +134,8 @@ def channel_splits(spark, d):
     items = _items(spark, d).withColumn("channel", F.col("id") % 2)
     audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
     on_grid = F.col("end") - F.pmod(F.col("end") - F.col("start"), F.col("stride"))
-    return iv.split_intervals(audio.withColumn("end", on_grid), _kind(items, "video"), on=("src", "channel"), tail=0, offset=1)
+    return iv.split_intervals(audio.withColumn("end", on_grid), _kind(items, "video"), on=("src", "channel"), tail=0, offset=1,
+                              few=c.FEW)
 
 
 CHANNEL_SPLITS = """pieces AS (
@@ -306,11 +316,15 @@ def merged(spark, d):
     return it.merge_streams(frames, packets)
 
 
+def timelines(spark, d):
+    return it.timeline_range(merged(spark, d))
+
+
 def unions(spark, d):
     items = c.order_items_table(spark, d).select(
         "src", F.col("kind").alias("grp"), "start", "end", "id", (F.col("id") % 2).alias("fmt"),
         F.when(F.col("id") % 5 > 0, 1 + F.col("id") % 2).alias("speed"), (F.col("start") - 1).alias("first"))
-    return it.union_disjoint(items, keys=("src", "grp"), width=c.POSITIONS_PER_BLOCK)
+    return it.union_disjoint(items, keys=("src", "grp"), rows=c.ITEMS_PER_BLOCK)
 
 
 def anomalies(spark, d):
@@ -357,15 +371,13 @@ def refused(spark, d):
     one, two, three, four = _patches(spark, d)
     docs = c.table(spark, d, "documents").where("lang <> 'fr'").select("doc_id", F.col("text").alias("data"))
     return patch.check_patches(docs, one.unionByName(two).unionByName(three).unionByName(four), key=["doc_id"],
-                               width=c.POSITIONS_PER_BLOCK)
+                               rows=c.ITEMS_PER_BLOCK)
 
 
 def _zip(spark, d):
     items = _items(spark, d)
-    side = lambda kind: by_position(_kind(items, kind).select("src", "start", "id", F.lit(1).alias("rate")),
-                                    ["src"], "start", c.POSITIONS_PER_BLOCK)[0]
-    run = Run(("src",), ("start", "id"))
-    return patch.zip_positional(side("video"), side("audio"), run, run, same=["rate"])
+    side = lambda kind: _kind(items, kind).select("src", "start", "id", F.lit(1).alias("rate"))
+    return patch.zip_positional(side("video"), side("audio"), ["src"], ["start", "id"], same=["rate"], rows=c.ITEMS_PER_BLOCK)
 
 
 def zipped(spark, d):
@@ -410,6 +422,7 @@ QUERIES = {
     "overlap_join": overlaps,
     "order_items": ordered,
     "assign_parent": parented,
+    "assign_parent_by_channel": parented_by_channel,
     "select_items": selected,
     "flag_content": content,
     "boundary_violations": violations,
@@ -431,6 +444,7 @@ QUERIES = {
     "choose_rate": chosen_rates,
     "assign_ids": ids,
     "merge_streams": merged,
+    "timeline_range": timelines,
     "union_disjoint": unions,
     "anomaly_report": anomalies,
     "replace_rows": replaced,
@@ -451,6 +465,17 @@ FROM order_items a JOIN order_items b ON a.src = b.src AND a.kind = 'video' AND
      AND a."start" <= b."end" AND b."start" <= a."end\"""",
     "order_items": c.with_(c.ORDER_ITEMS, ORDERED) + "SELECT * FROM ordered",
     "assign_parent": c.with_(c.ORDER_ITEMS, ORDERED, PARENTED) + "SELECT * FROM parented",
+    "assign_parent_by_channel": c.with_(c.ORDER_ITEMS, ORDERED) + """
+, rated AS (
+  SELECT a.src, a.id AS c_id, p.id AS p_id, p.number, CASE WHEN p.kind = 'video' THEN 100 ELSE 0 END AS bonus,
+         (least(a."end", p."end") - greatest(a."start", p."start") + 1) * 100 // (a."end" - a."start" + 1) AS pct
+  FROM ordered a JOIN ordered p ON a.src = p.src AND a.kind = 'audio' AND p.kind <> 'audio'
+       AND a."start" <= p."end" AND p."start" <= a."end"
+  WHERE p.kind <> 'video' OR p.id % 3 = 0 OR p.id % 2 = a.id % 2),
+best AS (SELECT * FROM rated WHERE pct > 0 QUALIFY row_number() OVER (PARTITION BY src, c_id ORDER BY pct + bonus DESC, number) = 1)
+SELECT o.src, o.id AS c_id, o."start" AS c_start, o."end" AS c_end, o.kind AS c_kind, o.id % 2 AS channel, b.p_id AS parent_id,
+       coalesce(b.pct + b.bonus, 0) AS rating
+FROM ordered o LEFT JOIN best b ON b.src = o.src AND b.c_id = o.id WHERE o.kind = 'audio'""",
     "select_items": c.with_(c.ORDER_ITEMS, ORDERED, PARENTED) + """
 SELECT * FROM order_items o WHERE kind = 'audio' AND NOT EXISTS (
   SELECT 1 FROM parented p JOIN order_items v ON v.src = p.src AND v.id = p.parent_id AND v.kind = 'video'
@@ -548,6 +573,10 @@ UNION ALL SELECT src, id, 'audio', '?[' || (row_number() OVER (PARTITION BY src
     "merge_streams": c.with_(c.HOUR_EVENTS, c.ORDER_ITEMS) + """
 SELECT src, pos, event_id, 'frame' AS kind, CAST(NULL AS BIGINT) AS order_id FROM hour_events
 UNION ALL SELECT src, "start", NULL, 'audio', id FROM order_items""",
+    "timeline_range": c.with_(c.HOUR_EVENTS, c.ORDER_ITEMS) + """
+, line AS (SELECT src, pos, true AS frame FROM hour_events UNION ALL SELECT src, "start", false FROM order_items)
+SELECT src, min(pos) AS "start", max(pos) AS "end", count(*) FILTER (frame) AS frames, count(*) FILTER (NOT frame) AS packets,
+       min(pos) FILTER (frame) AS first_frame, max(pos) FILTER (frame) AS last_frame FROM line GROUP BY src""",
     "union_disjoint": c.with_(c.ORDER_ITEMS) + """
 , i AS (SELECT src, kind AS grp, "start", "end", id, id % 2 AS fmt, CASE WHEN id % 5 > 0 THEN 1 + id % 2 END AS speed FROM order_items),
 l AS (SELECT *, EXISTS (SELECT 1 FROM i b WHERE b.src = i.src AND b.grp = i.grp

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import whole_div
-from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, null_safe_join, running
+from seqmine.operators.parents import assign_parent  # noqa: F401, part of this module's interface
+from seqmine.plans.blocks import BLOCK_ROWS, BLOCK_WIDTH, Run, by_position, by_rows, null_safe_join, running
 from seqmine.plans.chains import first_after, reachable
 from seqmine.plans.ranges import overlap_pairs
 from seqmine.session import cut
 
 SPLIT_THRESHOLD = 32
+FEW_CUTS = 64
 FOLD_LIMIT = 4096
 LANE_BLOCK = 100_000
 
@@ -27,52 +29,6 @@ def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[st
     return overlap_pairs(a, b, on, a_span, b_span, **points).withColumn("overlap", size)
 
 
-def assign_parent(children: DataFrame, parents: DataFrame, *, src: str = "src",
-                  video: str = "video", audio: str = "audio", file: str = "file",
-                  width: int = BLOCK_WIDTH) -> DataFrame:
-    """Best parent of each child, or none.
-
-    Children have ``src, c_id, c_start, c_end, c_kind``; parents ``src, p_id, p_order,
-    p_start, p_end, p_kind``.  The rating is the overlap in percent of the child's
-    length (whole number), plus 100 for audio in a video.  The highest rating above
-    zero wins, the smallest ``p_order`` on ties.  A file never holds a file, and a
-    video holds audio only.
-
-    A parent inside an earlier one of its kind can never win and is not joined, and
-    children with the same extent are rated once.
-    """
-    first = _outer_parents(parents, src, width).withColumn("_p", F.struct("p_order", "p_id")).drop("p_order", "p_id")
-    spans = children.select(src, "c_start", "c_end", "c_kind").distinct()
-    pairs = overlap_join(spans, first, [src], ("c_start", "c_end"), ("p_start", "p_end"))
-    percent = whole_div(F.col("overlap") * 100, F.col("c_end") - F.col("c_start") + 1)
-    bonus = F.when((F.col("p_kind") == video) & (F.col("c_kind") == audio), 100).otherwise(0)
-    allowed = (~((F.col("p_kind") == file) & (F.col("c_kind") == file))
-               & ~((F.col("p_kind") == video) & (F.col("c_kind") != audio)))
-    rated = (pairs.where(allowed).withColumn("_pct", percent).where("_pct > 0")
-             .withColumn("rating", F.col("_pct") + bonus))
-    best = (rated.groupBy(src, "c_start", "c_end", "c_kind")
-            .agg(F.max(F.struct(F.col("rating"), (-F.col("_p.p_order")).alias("o"),
-                                F.col("_p.p_id").alias("p_id"))).alias("_best")))
-    return (children.join(best, [src, "c_start", "c_end", "c_kind"], "left")
-            .withColumn("parent_id", F.col("_best.p_id"))
-            .withColumn("rating", F.coalesce(F.col("_best.rating"), F.lit(0)).cast("bigint"))
-            .drop("_best"))
-
-
-def _outer_parents(parents: DataFrame, src: str, width: int) -> DataFrame:
-    """Parents without those that lie inside a parent of the same kind and smaller ``p_order``.
-
-    The larger one overlaps any child at least as much and wins ties.  Only the
-    furthest-reaching parent so far is compared, which keeps a few that might go.
-    """
-    cells, _ = by_position(parents.select(src, "p_id", "p_order", "p_start", "p_end", "p_kind"),
-                           [src, "p_kind"], "p_start", width)
-    reach = F.struct(F.col("p_end").alias("end"), (-F.col("p_order")).alias("o"))
-    rows = running(cells, Run((src, "p_kind"), ("p_start", "p_order")), maxes={"_reach": reach}, exclusive=True)
-    inside = (F.col("_reach.end") >= F.col("p_end")) & (-F.col("_reach.o") < F.col("p_order"))
-    return rows.where(~F.coalesce(inside, F.lit(False))).drop("_reach", "blk")
-
-
 def flag_content(items: DataFrame, records: DataFrame, flags: dict[str, Column], *,
                  keys: Sequence[str] = ("src",), pos: str = "pos", width: int = BLOCK_WIDTH) -> DataFrame:
     """For each item and flag, whether a flagged record lies inside the item.
@@ -104,11 +60,11 @@ def boundary_violations(children: DataFrame, parents: DataFrame, sources: DataFr
 
     ``children`` carry ``parent_id``; ``sources`` has one row per source with ``records``.
     """
-    held = children.where(F.col("parent_id").isNotNull()).join(
-        parents.select(src, F.col("p_id").alias("parent_id"), "p_start", "p_end"), [src, "parent_id"])
+    held = null_safe_join(children.where(F.col("parent_id").isNotNull()),
+                          parents.select(src, F.col("p_id").alias("parent_id"), "p_start", "p_end"), [src, "parent_id"])
     outside = (held.where((F.col("c_start") < F.col("p_start")) | (F.col("c_end") > F.col("p_end")))
                .select(F.lit("outside parent").alias("fault"), src, "c_id", "c_start", "c_end"))
-    past = (children.join(sources.select(src, "records"), src)
+    past = (null_safe_join(children, sources.select(src, "records"), [src])
             .where(F.col("c_end") >= F.col("records"))
             .select(F.lit("past end").alias("fault"), src, "c_id", "c_start", "c_end"))
     return outside.unionByName(past)
@@ -123,67 +79,83 @@ def _first_end(start: Column, stride: Column, at: Column) -> Column:
 
 
 def split_intervals(audio: DataFrame, video: DataFrame, *, on: Sequence[str] = ("src",),
-                    threshold: int = SPLIT_THRESHOLD, tail: int | None = None, offset: int = 0,
-                    fold_limit: int = FOLD_LIMIT) -> DataFrame:
+                    threshold: int = SPLIT_THRESHOLD, tail: int | None = None, offset: int = 0, width: int = BLOCK_WIDTH,
+                    few: int = FEW_CUTS) -> DataFrame:
     """Cuts audio items at the starts of videos, in order of the starts.
 
     Audio has the ``on`` columns and ``id, start, end, stride`` with its end on the
     stride.  A piece is cut at ``start of video - offset`` if it begins more than
     ``threshold`` before the video and ends at least ``tail`` (by default the
-    threshold) after the video's start.  Cut points snap to the stride.  Items with up
-    to ``fold_limit`` candidate cuts are folded as one array; longer ones follow
-    next-cut pointers over distributed rows.
+    threshold) after the video's start.  Cut points snap to the stride.  Null ``on`` values are a source of their own.
+
+    Where the piece after a cut begins, and so which cut is the next, depends only on the cut, the stride and the item's phase on
+    it.  Items of one stride and phase share these next-cut pointers; each item finds its first cut and then takes 1, 2, 4, ... cuts a
+    round by pointers that skip as many.  Items and cuts are never listed against each other.  A source with at most ``few`` cuts gives
+    its items the list of them instead, with the same result.
     """
-    on, tail = list(on), threshold if tail is None else tail
-    cuts = video.select(*on, F.col("start").alias("cut_at")).distinct()
-    item = audio.select(*on, "id", "start", "end", "stride")
-    inner = item.select("*", (F.col("start") + threshold + 1).alias("_lo"),
-                        (F.col("end") - tail).alias("_hi")).where("_lo <= _hi")
-    pairs = overlap_pairs(cuts, inner, on, ("cut_at", "cut_at"), ("_lo", "_hi"), a_points=True)
-    key = [*on, "id"]
-    counts = cut(pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
-    small = pairs.join(counts.where(F.col("_n") <= fold_limit).select(*key), key)
+    tail = threshold if tail is None else tail
+    key = F.struct(*on).alias("_k")
+    cuts = cut(video.select(key, F.col("start").cast("bigint").alias("point")).distinct())
+    sizes = cuts.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    item = cut(audio.select(key, *on, "id", "stride", "start", "end").join(sizes, "_k", "left"))
+    lists = cuts.join(sizes.where(F.col("_n") <= few), "_k", "left_semi").groupBy("_k").agg(F.sort_array(F.collect_list("point")).alias("_cuts"))
+    out = _split_by_list(item.where(F.coalesce(F.col("_n") <= few, F.lit(True))).join(lists, "_k", "left"), [*on, "id"], threshold, tail, offset)
+    large = item.where(F.col("_n") > few)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_split_by_pointers(large, cuts, on, threshold, tail, offset, width))
+
+
+def _split_by_list(item: DataFrame, key: Sequence[str], threshold: int, tail: int, offset: int) -> DataFrame:
+    """Pieces of items whose source has a short list of cuts."""
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    at = lambda c: c - offset
     fold = F.aggregate(
-        F.array_sort("_cuts"), F.struct(F.col("start").alias("s"), empty.alias("done")),
-        lambda acc, at: F.when(
-            acc["s"] < at - threshold,
-            F.struct(_second_start(acc["s"], F.col("stride"), at - offset).alias("s"),
-                     F.array_append(acc["done"], F.struct(
-                         acc["s"].alias("start"),
-                         _first_end(acc["s"], F.col("stride"), at - offset).alias("end"))).alias("done")))
+        F.coalesce("_cuts", F.array().cast("array<bigint>")), F.struct(F.col("start").cast("bigint").alias("s"), empty.alias("done")),
+        lambda acc, c: F.when(
+            (acc["s"] < c - threshold) & (F.col("end") >= c + tail),
+            F.struct(_second_start(acc["s"], F.col("stride"), at(c)).cast("bigint").alias("s"),
+                     F.array_append(acc["done"], F.struct(acc["s"].alias("start"), _first_end(acc["s"], F.col("stride"), at(c))
+                                                          .cast("bigint").alias("end"))).alias("done")))
         .otherwise(acc))
-    folded = (small.groupBy(*key, "start", "end", "stride").agg(F.collect_list("cut_at").alias("_cuts"))
-              .withColumn("_f", fold)
-              .withColumn("_piece", F.explode(F.array_append(
-                  F.col("_f.done"), F.struct(F.col("_f.s").alias("start"), F.col("end").alias("end")))))
-              .select(*key, "stride", F.col("_piece.start").alias("start"), F.col("_piece.end").alias("end")))
-    whole = item.join(counts.select(*key), key, "left_anti").select(*key, "stride", "start", "end")
-    out = whole.unionByName(folded)
-    large = counts.where(F.col("_n") > fold_limit)
-    if not large.isEmpty():
-        out = out.unionByName(_split_by_pointers(pairs.join(large.select(*key), key), key, threshold, offset))
-    return out
-
-
-def _split_by_pointers(pairs: DataFrame, key: list[str], threshold: int, offset: int) -> DataFrame:
-    """The same cuts for items with very many candidates."""
-    node = cut(pairs.withColumn("_next_start", _second_start(F.col("start"), F.col("stride"),
-                                                             F.col("cut_at") - offset))
-               .withColumn("at", F.col("_next_start") + threshold))
-    follow = first_after(node.select(*key, F.col("cut_at").alias("point")), node, key)
-    first = node.groupBy(*key).agg(F.min("cut_at").alias("_first"))
-    graph = (node.join(follow, [*key, "at"], "left").join(first, key)
-             .select(*key, F.col("cut_at").alias("node"), "next", (F.col("cut_at") == F.col("_first")).alias("root")))
-    used = reachable(graph, key).withColumnRenamed("node", "cut_at")
-    chosen = cut(node.join(used, [*key, "cut_at"]))
-    cells, run = by_position(chosen, key, "cut_at")
-    rows = running(cells, run, lasts={"_begin": F.col("_next_start")}, exclusive=True)
-    begin = F.coalesce(F.col("_begin"), F.col("start"))
-    before = rows.select(*key, "stride", begin.alias("start"),
-                         _first_end(begin, F.col("stride"), F.col("cut_at") - offset).alias("end"))
-    rest = chosen.groupBy(*key, "stride", "end").agg(F.max("_next_start").alias("start"))
-    return before.unionByName(rest.select(*key, "stride", "start", "end"))
+    last = F.struct(F.col("_f.s").alias("start"), F.col("end").cast("bigint").alias("end"))
+    return (item.withColumn("_f", fold).withColumn("_piece", F.explode(F.array_append(F.col("_f.done"), last)))
+            .select(*key, "stride", F.col("_piece.start").alias("start"), F.col("_piece.end").alias("end")))
+
+
+def _split_by_pointers(item: DataFrame, cuts: DataFrame, on: Sequence[str], threshold: int, tail: int, offset: int, width: int) -> DataFrame:
+    """Pieces of items whose source has many cuts."""
+    item = item.drop("_n").withColumn("at", (F.col("start") + threshold).cast("bigint"))
+    cuts = cuts.join(item.select("_k").distinct(), "_k", "left_semi")
+    first = item.join(first_after(cuts, item, ["_k"], width=width), ["_k", "at"], "left")
+    live = F.coalesce(F.col("next") <= F.col("end") - tail, F.lit(False))
+    first = cut(first.withColumn("_live", live))
+    kept = [*on, "id", "stride"]
+    whole = first.where("not _live").select(*kept, "start", "end")
+    rows = first.where("_live").withColumn("phase", F.pmod("start", "stride")).withColumn("hi", F.col("end") - tail)
+
+    graph = ["_k", "stride", "phase"]
+    begin = _second_start(F.col("phase"), F.col("stride"), F.col("node") - offset)
+    last = lambda at: _first_end(F.col("phase"), F.col("stride"), F.col(at) - offset)
+    shared = rows.groupBy(*graph).agg(F.min("next").alias("_lo"), F.max("hi").alias("_hi"))
+    nodes = (shared.join(cuts, "_k").where("point between _lo and _hi").select(*graph, F.col("point").alias("node"), "_hi")
+             .withColumn("begin", begin).withColumn("at", F.greatest(F.col("begin") + threshold, F.col("node"))))
+    nodes = cut(nodes.join(first_after(cuts, nodes, ["_k"], width=width), ["_k", "at"], "left")
+                .select(*graph, "node", "begin", F.when(F.col("next") <= F.col("_hi"), F.col("next")).alias("next")))
+
+    found = cut(rows.select(*graph, *on, "id", "end", "hi", F.col("next").alias("node")))
+    jump = nodes.where("next is not null").select(*graph, "node", "next")
+    while not jump.isEmpty():
+        step = cut(found.join(jump, [*graph, "node"]).where("next <= hi").drop("node").withColumnRenamed("next", "node"))
+        if step.isEmpty():
+            break
+        found = found.unionByName(step)
+        far = jump.select(*graph, F.col("node").alias("next"), F.col("next").alias("_far"))
+        jump = cut(jump.join(far, [*graph, "next"]).select(*graph, "node", F.col("_far").alias("next")))
+    opening = rows.select(*kept, "start", last("next").alias("end"))
+    ends = F.when(F.col("next") <= F.col("hi"), last("next")).otherwise(F.col("end"))
+    later = found.join(nodes, [*graph, "node"]).select(*kept, F.col("begin").alias("start"), ends.alias("end"))
+    return whole.unionByName(opening).unionByName(later)
 
 
 def mark_silent_pieces(pieces: DataFrame, sounding: DataFrame, *, src: str = "src",
@@ -261,15 +233,14 @@ def longest_disjoint(items: DataFrame, *, parent: Sequence[str] = ("parent",), f
     follow pointers to the next compatible stream over distributed rows.
     """
     parent = list(parent)
-    keys = [*parent, fmt]
-    once = (items.groupBy(*keys, "end")
-            .agg(F.min(F.struct("start", "id", past)).alias("_i"))
-            .select(*keys, "end", "_i.start", "_i.id", F.col(f"_i.{past}").alias("past")))
+    # Structs of the keys are never null, so groups with null keys are joined by plain equality.
+    items = items.select(F.struct(*parent).alias("_g"), F.struct(*parent, fmt).alias("_k"), "id", "start", "end", past)
+    keys = ["_k"]
+    once = (items.groupBy("_g", "_k", "end").agg(F.min(F.struct("start", "id", past)).alias("_i"))
+            .select("_g", "_k", "end", "_i.start", "_i.id", F.col(f"_i.{past}").alias("past")))
     once = cut(once)
-    sizes = once.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.min(F.struct("start", "id")).alias("_first"))
-    sizes = cut(sizes)
-    small = once.join(sizes.where(F.col("_n") <= fold_limit).select(*keys), keys)
+    sizes = cut(once.groupBy("_g", "_k").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("start", "id")).alias("_first")))
+    small = once.join(sizes.where(F.col("_n") <= fold_limit).select("_k"), "_k")
     id_type = items.schema["id"].dataType.simpleString()
     picked_type = f"struct<end:bigint,start:bigint,id:{id_type}>"
     state = F.struct(F.lit(None).cast("bigint").alias("upto"), F.array().cast(f"array<{picked_type}>").alias("picked"))
@@ -283,20 +254,17 @@ def longest_disjoint(items: DataFrame, *, parent: Sequence[str] = ("parent",), f
         .otherwise(acc))
     row = F.struct(F.col("end").cast("bigint").alias("end"), F.col("start").cast("bigint").alias("start"),
                    F.col("id"), F.col("past").cast("bigint").alias("past"))
-    picked = (small.groupBy(*keys).agg(F.collect_list(row).alias("_all"))
+    picked = (small.groupBy("_k").agg(F.collect_list(row).alias("_all"))
               .withColumn("_p", F.explode(fold["picked"]))
-              .select(*keys, F.col("_p.start").alias("start"), F.col("_p.end").alias("end"),
-                      F.col("_p.id").alias("id")))
+              .select("_k", F.col("_p.start").alias("start"), F.col("_p.end").alias("end"), F.col("_p.id").alias("id")))
     large = sizes.where(F.col("_n") > fold_limit)
     if not large.isEmpty():
-        picked = picked.unionByName(_disjoint_by_pointers(once.join(large.select(*keys), keys), keys))
+        picked = picked.unionByName(_disjoint_by_pointers(once.drop("_g").join(large.select("_k"), "_k"), keys))
     picked = cut(picked)
-    total = (picked.groupBy(*keys).agg(F.sum(F.col("end") - F.col("start") + 1).alias("_len"))
-             .join(sizes, keys)
-             .groupBy(*parent)
-             .agg(F.min_by(F.col(fmt), F.struct((-F.col("_len")).alias("l"), F.col("_first.start").alias("s"),
-                                                F.col("_first.id").alias("i"))).alias(fmt)))
-    return picked.join(total, keys)
+    total = (picked.groupBy("_k").agg(F.sum(F.col("end") - F.col("start") + 1).alias("_len")).join(sizes, "_k")
+             .groupBy("_g").agg(F.min_by("_k", F.struct((-F.col("_len")).alias("l"), F.col("_first.start").alias("s"),
+                                                         F.col("_first.id").alias("i"))).alias("_k")).select("_k"))
+    return picked.join(total, "_k").select(*[F.col("_k")[c].alias(c) for c in (*parent, fmt)], "start", "end", "id")
 
 
 def _disjoint_by_pointers(once: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, dense_index, rekeyed, running
+from seqmine.plans.blocks import BLOCK_ROWS, BLOCK_WIDTH, by_position, by_rows, dense_index, rekeyed, running
 from seqmine.session import cut
 
 # Item order of kinds that start at the same position; others come last.
@@ -22,17 +22,16 @@ def kind_level(kind: Column) -> Column:
     return out.otherwise(OTHER_LEVEL)
 
 
-def order_items(items: DataFrame, *, src: str = "src", offset: str | None = None,
-                width: int = BLOCK_WIDTH) -> DataFrame:
+def order_items(items: DataFrame, *, src: str = "src", offset: str | None = None, rows: int = BLOCK_ROWS) -> DataFrame:
     """Items numbered from 0 per source.
 
-    The order is start, kind level, kind, offset, longer first, id: a total order.
+    The order is start, kind level, kind, offset, longer first, id: a total order.  Nulls come first in each of them, and items of a null
+    source are a source of their own.  Blocks hold about ``rows`` items, also if most items start at a few positions.
     """
     at = F.col(offset) if offset else F.lit(0)
-    rows = (items.withColumn("_level", kind_level(F.col("kind"))).withColumn("_off", at)
+    made = (items.withColumn("_level", kind_level(F.col("kind"))).withColumn("_off", at)
             .withColumn("_longer", -F.col("end")))
-    cells, _ = by_position(rows, [src], "start", width)
-    run = Run((src,), ("start", "_level", "kind", "_off", "_longer", "id"))
+    cells, run = by_rows(made, [src], ["start", "_level", "kind", "_off", "_longer", "id"], rows)
     return dense_index(cells, run, "number").drop("_level", "_off", "_longer", "blk")
 
 
@@ -74,16 +73,23 @@ def merge_streams(frames: DataFrame, packets: DataFrame) -> DataFrame:
             .unionByName(packets.withColumn("kind", F.lit("audio")), allowMissingColumns=True))
 
 
-def union_disjoint(items: DataFrame, *, keys: Sequence[str] = ("grp",), width: int = BLOCK_WIDTH) -> DataFrame:
+def timeline_range(merged: DataFrame, keys: Sequence[str] = ("src",), *, pos: str = "pos", end: str | None = None) -> DataFrame:
+    """Range of each merged timeline, from its first frame or packet to its last, with the count of both and the range of the frames."""
+    last, frame = F.col(end or pos), F.col("kind") == "frame"
+    return merged.groupBy(*keys).agg(
+        F.min(pos).alias("start"), F.max(last).alias("end"), F.count_if(frame).alias("frames"), F.count_if(~frame).alias("packets"),
+        F.min(F.when(frame, F.col(pos))).alias("first_frame"), F.max(F.when(frame, last)).alias("last_frame"))
+
+
+def union_disjoint(items: DataFrame, *, keys: Sequence[str] = ("grp",), rows: int = BLOCK_ROWS) -> DataFrame:
     """Checks a set of streams for a common timeline and gives its range.
 
     A set is accepted if no streams overlap, all have one format and at most one
-    known speed.  Items have ``start, end, id, fmt, speed, first``.
+    known speed.  Items have ``start, end, id, fmt, speed, first``.  Null keys are a set of their own.
     """
-    cells, _ = by_position(items, keys, "start", width)
-    run = Run(tuple(keys), ("start", "id"))
-    rows = running(cells, run, maxes={"_reach": F.col("end")}, exclusive=True)
-    out = rows.groupBy(*keys).agg(
+    cells, run = by_rows(items, keys, ["start", "id"], rows)
+    reached = running(cells, run, maxes={"_reach": F.col("end")}, exclusive=True)
+    out = reached.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("streams"), F.min("start").alias("start"), F.max("end").alias("end"),
         F.min("first").alias("first"),
         F.count_if(F.col("start") <= F.col("_reach")).alias("overlaps"),

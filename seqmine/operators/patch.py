@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import BLOCK_WIDTH, Run, by_position, dense_index, running
+from seqmine.plans.blocks import BLOCK_ROWS, by_rows, dense_index, null_safe_join, running
+from seqmine.session import cut
 
 
 class PatchRefused(ValueError):
@@ -37,15 +38,15 @@ def unmatched_replacements(df: DataFrame, replacements: DataFrame, key: Sequence
 
 def check_patches(records: DataFrame, patches: DataFrame, *, key: Sequence[str] = ("src", "pos"),
                   data: str = "data", offset: str = "offset", new: str = "bytes",
-                  width: int = BLOCK_WIDTH) -> DataFrame:
+                  rows: int = BLOCK_ROWS) -> DataFrame:
     """Patches that overlap an earlier one, reach past their record, or have no record.
 
-    Touching patches (one starts where the other ends) are allowed.
+    Touching patches (one starts where the other ends) are allowed.  A null key names a record with a null key.
     """
     sized = patches.withColumn("_end", F.col(offset) + F.length(new))
-    cells, _ = by_position(sized, key, offset, width)
-    rows = running(cells, Run(tuple(key), (offset, "entry")), maxes={"_reach": F.col("_end")}, exclusive=True)
-    known = rows.join(records.select(*key, F.length(data).alias("_size")), list(key), "left")
+    cells, run = by_rows(sized, key, [offset, "entry"], rows)
+    reached = running(cells, run, maxes={"_reach": F.col("_end")}, exclusive=True)
+    known = null_safe_join(reached, records.select(*key, F.length(data).alias("_size")), list(key), "left")
     fault = (F.when(F.col("_size").isNull(), "no record")
              .when((F.col(offset) < 0) | (F.col("_end") > F.col("_size")), "past end")
              .when(F.col(offset) < F.col("_reach"), "overlap"))
@@ -67,39 +68,43 @@ def apply_patches(records: DataFrame, patches: DataFrame, *, key: Sequence[str]
     lists = patches.where(F.length(new) > 0).groupBy(*key).agg(F.array_sort(F.collect_list(
         F.struct(F.col(offset).cast("int").alias("o"), F.col(new).alias("n")))).alias("_p"))
     patched = F.aggregate("_p", F.col(data), lambda acc, p: F.overlay(acc, p["n"], p["o"] + 1))
-    return (records.join(lists, list(key), "left")
+    return (null_safe_join(records, lists, list(key), "left")
             .withColumn("patches", F.coalesce(F.size("_p"), F.lit(0)).cast("bigint"))
             .withColumn(data, F.when(F.col("_p").isNotNull(), patched).otherwise(F.col(data))).drop("_p"))
 
 
-def zip_positional(a: DataFrame, b: DataFrame, a_run: Run, b_run: Run, *,
-                   same: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """The n-th record of one stream beside the n-th of the other.
+def zip_positional(a: DataFrame, b: DataFrame, keys: Sequence[str], order: Sequence[str], *, same: Sequence[str] = (),
+                   rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The n-th record of one stream beside the n-th of the other, in ``order``.
 
-    Both sides share the run keys.  ``same`` columns and the count must agree;
-    returns the zipped rows of agreeing keys and the refused keys with their reason.
+    ``same`` columns and the count must agree; returns the zipped rows of agreeing keys and the refused keys with
+    their reason.  Null keys are a stream of their own and are zipped like others.  Blocks hold about ``rows`` records.
     """
-    keys = list(a_run.keys)
+    keys = list(keys)
 
     def profile(df: DataFrame, side: str) -> DataFrame:
-        return df.groupBy(*keys).agg(
+        return df.groupBy(F.struct(*keys).alias("_k")).agg(
             F.count(F.lit(1)).alias(f"{side}_count"),
             *[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"{side}_{c}") for c in same])
 
-    both = profile(a, "a").join(profile(b, "b"), keys, "full")
+    # The struct of the keys is never null, so null keys meet by plain equality.
+    both = profile(a, "a").join(profile(b, "b"), "_k", "full")
     differs = F.lit(False)
     for c in same:
         differs = differs | ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
     reason = (F.when(F.col("a_count").isNull() | F.col("b_count").isNull(), "missing side")
               .when(differs, "format").when(F.col("a_count") != F.col("b_count"), "count"))
-    judged = both.withColumn("reason", reason)
-    good = judged.where(F.col("reason").isNull()).select(*keys)
-    left = dense_index(a.join(good, keys, "left_semi"), a_run, "n")
-    right = dense_index(b.join(good, keys, "left_semi"), b_run, "n")
-    rename = lambda df, side: df.select(*keys, "n", *[F.col(c).alias(f"{side}_{c}") for c in df.columns
-                                                      if c not in (*keys, "n", *a_run.block, *b_run.block)])
-    zipped = rename(left, "a").join(rename(right, "b"), [*keys, "n"])
-    return zipped, judged.where(F.col("reason").isNotNull()).select(*keys, "a_count", "b_count", "reason")
+    judged = cut(both.withColumn("reason", reason))
+    good = judged.where(F.col("reason").isNull()).select("_k")
+
+    def numbered(df: DataFrame, side: str) -> DataFrame:
+        kept = df.withColumn("_k", F.struct(*keys)).join(good, "_k", "left_semi")
+        cells, run = by_rows(kept, keys, order, rows)
+        return dense_index(cells, run, "n").select("_k", "n", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in (*keys, "n")])
+
+    spread = [F.col("_k")[k].alias(k) for k in keys]
+    zipped = numbered(a, "a").join(numbered(b, "b"), ["_k", "n"]).select(*spread, "*").drop("_k")
+    return zipped, judged.where(F.col("reason").isNotNull()).select(*spread, "a_count", "b_count", "reason")
 
 
 def diff_blocks(a: DataFrame, b: DataFrame, *, key: Sequence[str] = ("id",), cell: str = "cell",
@@ -117,7 +122,7 @@ def diff_blocks(a: DataFrame, b: DataFrame, *, key: Sequence[str] = ("id",), cel
         left = left.where(mask)
     gap = F.greatest(*[F.abs(F.col(c) - F.col(f"_{c}")) for c in cols]) if len(cols) > 1 else F.abs(
         F.col(cols[0]) - F.col(f"_{cols[0]}"))
-    return (left.join(right, [*key, cell]).withColumn("_gap", gap)
+    return (null_safe_join(left, right, [*key, cell]).withColumn("_gap", gap)
             .groupBy(*key, block.alias("block"))
             .agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("_gap") > tolerance).alias("changed"),
                  F.max("_gap").alias("largest"))

@@ -29,6 +29,8 @@ from seqmine.session import cut
 
 BLOCK_WIDTH = 1 << 20
 SIZING_SAMPLE = 1024
+#: Rows of a block whose size is counted in rows.
+BLOCK_ROWS = 1 << 19
 
 Getter = Callable[[str], Column]
 Condition = Callable[[Getter, Getter], Column]
@@ -391,3 +393,19 @@ def by_density(df: DataFrame, keys: Sequence[str], coarse: str, fine: str,
     sub = F.floor(F.col(fine) / F.lit(part)) if part else F.lit(0).cast("bigint")
     return (df.withColumn("blk", block_of(keys, F.floor(F.col(coarse) / F.lit(span)))).withColumn("sub", sub),
             ("blk", "sub"))
+
+
+def by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS) -> tuple[DataFrame, Run]:
+    """Blocks of about ``rows`` rows, whatever values the order has.
+
+    Rows are dealt into ranges of ``(keys, order)``, so a run with many rows at few positions is cut by the rest of its order.  The
+    ranges come from a sample, so the table is written before they are used, and a range stays below about twice ``rows``.  A table of
+    no more than ``rows`` rows is one block per run and is not written again.  Rows that agree in keys and order stay together.
+    """
+    held = cut(df)
+    ranges = -(-held.count() // rows)
+    if ranges > 1:
+        held = cut(held.repartitionByRange(ranges, *keys, *order).withColumn("_no", F.spark_partition_id().cast("bigint")))
+    else:
+        held = held.withColumn("_no", F.lit(0).cast("bigint"))
+    return held.withColumn("blk", block_of(keys, F.col("_no"))).drop("_no"), Run(tuple(keys), tuple(order))

@@ -20,6 +20,8 @@ def con():
 def small_blocks(monkeypatch):
     monkeypatch.setattr(conventions, "ROWS_PER_BLOCK", 16)
     monkeypatch.setattr(conventions, "POSITIONS_PER_BLOCK", 32)
+    monkeypatch.setattr(conventions, "ITEMS_PER_BLOCK", 150)
+    monkeypatch.setattr(conventions, "FEW", 2)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))

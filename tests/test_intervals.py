@@ -17,33 +17,35 @@ def test_split_of_known_case(spark):
     audio = spark.createDataFrame([(1, 7, 10, 50, 8)], "src long, id long, start long, end long, stride long")
     video = spark.createDataFrame([(1, 25)], "src long, start long")
     sounding = [([0], (False, True)), ([4], (True, False)), ([0, 4], (False, False))]
-    for limit in (4096, 0):
-        pieces = iv.split_intervals(audio, video, threshold=10, fold_limit=limit)
-        assert sorted((r.start, r.end) for r in pieces.collect()) == [(10, 18), (26, 50)]
-        for loud, silent in sounding:
-            at = spark.createDataFrame([(1, 7, 10 + 8 * k) for k in loud], "src long, id long, pos long")
-            got = iv.mark_silent_pieces(pieces, at).orderBy("start").collect()
-            assert tuple(r.silent for r in got) == silent
+    pieces = iv.split_intervals(audio, video, threshold=10)
+    assert sorted((r.start, r.end) for r in pieces.collect()) == [(10, 18), (26, 50)]
+    for loud, silent in sounding:
+        at = spark.createDataFrame([(1, 7, 10 + 8 * k) for k in loud], "src long, id long, pos long")
+        got = iv.mark_silent_pieces(pieces, at).orderBy("start").collect()
+        assert tuple(r.silent for r in got) == silent
 
 
-def test_split_paths_agree(spark):
+@pytest.mark.parametrize("threshold,tail,offset", [(32, None, 0), (32, 0, 1), (3, 0, 7)])
+def test_split_against_one_by_one(spark, threshold, tail, offset):
     rng = random.Random(11)
-    audio = [(i % 2, i, s := rng.randint(0, 200), s + rng.randint(0, 3000), rng.randint(1, 8)) for i in range(12)]
-    video = [(s, rng.randint(0, 3200)) for s in (0, 1) for _ in range(120)]
+    audio = [(rng.choice([None, 1]), i, s := rng.randint(0, 200), s + rng.randint(0, 3000), rng.randint(1, 8)) for i in range(40)]
+    audio = [(src, i, s, e - (e - s) % stride, stride) for src, i, s, e, stride in audio]
+    video = [(s, rng.randint(0, 3200)) for s in (None, 1) for _ in range(120)]
     a = spark.createDataFrame(audio, "src long, id long, start long, end long, stride long")
     v = spark.createDataFrame(video, "src long, start long")
     want = []
     for src, i, start, end, stride in audio:
         s = start
         for at in sorted({x for k, x in video if k == src}):
-            if s < at - 32 and end >= at + 32:
-                back = (at - s - 1) % stride
-                want.append((i, s, at - back - 1))
-                s = at + stride - back - 1
+            if s < at - threshold and end >= at + (threshold if tail is None else tail):
+                back = (at - offset - s - 1) % stride
+                want.append((i, s, at - offset - back - 1))
+                s = at - offset + stride - back - 1
         want.append((i, s, end))
-    for limit in (4096, 0):
-        got = sorted((r.id, r.start, r.end) for r in iv.split_intervals(a, v, fold_limit=limit).collect())
-        assert got == sorted(want)
+    for few in (0, 1000):
+        out = iv.split_intervals(a, v, threshold=threshold, tail=tail, offset=offset, width=300, few=few)
+        assert sorted((r.id, r.start, r.end) for r in out.collect()) == sorted(want) and len(want) > 400
+    assert iv.split_intervals(a.limit(0), v).count() == 0 and iv.split_intervals(a, v.limit(0)).count() == 40
 
 
 def test_disjoint_paths_agree(spark):
@@ -119,24 +121,46 @@ def test_patches_are_refused_before_output(spark):
             patch.apply_patches(docs, make(*rows))
 
 
-def test_parents_against_all_pairs(spark):
-    rng = random.Random(21)
-    parents = [(rng.randint(0, 2), i, s := rng.randint(0, 300), s + rng.randint(0, 80), rng.choice(["file", "video"]))
-               for i in range(150)]
-    parents = [(src, i, rng.randint(0, 40) * 1000 + i, s, e, k) for src, i, s, e, k in parents]
-    children = [(rng.randint(0, 2), i, s := rng.randint(0, 350), s + rng.randint(0, 40), rng.choice(["audio", "file", "image"]))
-                for i in range(200)]
+@pytest.mark.parametrize("in_order", [True, False])
+@pytest.mark.parametrize("channel", [None, "channel"])
+@pytest.mark.parametrize("reach,few", [(40, 0), (900, 0), (300, 1000), (500, 20)])
+def test_parents_against_all_pairs(spark, in_order, channel, reach, few):
+    rng = random.Random(reach)
+    sources, channels = (None, 1, 2), (None, 0, 1)
+    kinds = ["file", "video", "video", "other"]
+    parents = [(rng.choice(sources), i, s := rng.randint(0, 1200), s + rng.randint(0, rng.choice([10, 60, 400])), rng.choice(kinds), rng.choice(channels))
+               for i in range(220)]
+    rank = {p[1]: k for k, p in enumerate(sorted(parents, key=lambda p: (p[2], p[1])))}
+    parents = [(src, i, rank[i] if in_order else rng.randint(0, 40) * 1000 + i, s, e, k, ch) for src, i, s, e, k, ch in parents]
+    children = [(rng.choice(sources), i, s := rng.randint(0, 1300), s + rng.randint(0, reach), rng.choice(["audio", "audio", "file", "image"]),
+                 rng.choice(channels)) for i in range(260)]
     want = {}
-    for src, c, s, e, kind in children:
+    for src, c, s, e, kind, ch in children:
         best = (0, 0, None)
-        for psrc, p, order, ps, pe, pkind in parents:
+        for psrc, p, order, ps, pe, pkind, pch in parents:
             if psrc != src or (pkind == "file" and kind == "file") or (pkind == "video" and kind != "audio"):
                 continue
+            if channel and pkind == "video" and pch is not None and pch != ch:
+                continue
             pct = max(0, min(e, pe) - max(s, ps) + 1) * 100 // (e - s + 1)
             if pct > 0:
                 best = max(best, (pct + 100 * (pkind == "video"), -order, p))
         want[c] = (best[2], best[0])
-    a = spark.createDataFrame(children, "src long, c_id long, c_start long, c_end long, c_kind string")
-    b = spark.createDataFrame(parents, "src long, p_id long, p_order long, p_start long, p_end long, p_kind string")
-    got = {r.c_id: (r.parent_id, r.rating) for r in iv.assign_parent(a, b, width=40).collect()}
+    a = spark.createDataFrame(children, "src long, c_id long, c_start long, c_end long, c_kind string, channel int")
+    b = spark.createDataFrame(parents, "src long, p_id long, p_order long, p_start long, p_end long, p_kind string, channel int")
+    got = {r.c_id: (r.parent_id, r.rating) for r in iv.assign_parent(a, b, channel=channel, width=40, rows=60, few=few).collect()}
     assert got == want
+
+
+def test_staggered_parents_of_one_source(spark):
+    """Every child meets thousands of parents; the longest of those inside it are far apart."""
+    n = 20_000
+    parents = spark.range(n).selectExpr("1L as src", "id as p_id", "id as p_order", "id * 10 as p_start", "id * 10 + 5000 + id % 7 as p_end", "'file' as p_kind")
+    children = spark.range(n).selectExpr("1L as src", "id as c_id", "id * 10 + 3 as c_start", "id * 10 + 9003 as c_end", "'audio' as c_kind")
+    got = {r.c_id: (r.parent_id, r.rating) for r in iv.assign_parent(children, parents, rows=4000).where("c_id % 997 = 0").collect()}
+    for c, (p, rating) in got.items():
+        s, e = c * 10 + 3, c * 10 + 9003
+        shares = [(max(0, min(e, k * 10 + 5000 + k % 7) - max(s, k * 10) + 1) * 100 // (e - s + 1), -k) for k in range(max(0, c - 800), min(n, c + 1000))]
+        best = max(shares)
+        assert (p, rating) == (-best[1], best[0])
+    assert len(got) == 21

@@ -14,35 +14,42 @@ from seqmine.llm.storage import small_side, written
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on ``labels``, does not reject."""
+    """Documents that the quality classifier, trained on ``labels``, does not reject; null and empty texts are judged like others."""
     found = quality_model.classify(docs, queries.table(spark, sf_dir, "labels"))
     return found.where("kept").select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; null and empty texts do not."""
     return quality_rules.judge(docs).where("kept").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows without a key all stay, repeated rows of a key stay once."""
-    groups = written(minhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept")), "kept")
-    gone = small_side(written(groups.where("not kept").select("doc_id"), "gone"))
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = small_side(written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice"))
-    single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return single.unionByName(again)
+    """One row of each group of near-duplicates: the one with the smallest key.
+
+    Every row is compared, also one without a key; rows that share a key are told apart, so two texts under one key both stay unless they are alike.
+    Such rows get numbers behind all keys, in no fixed order.
+    """
+    keys = docs.groupBy("doc_id").count()
+    shared = written(keys.where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_shared")), "shared")
+    known = docs.agg(F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    rows = docs.withColumn("_row", F.col("doc_id"))
+    if known.none or not shared.isEmpty():
+        own = F.monotonically_increasing_id() + F.lit(max(0, (known.last or 0) + 1))
+        single = F.col("doc_id").isNotNull() & F.col("_shared").isNull()
+        rows = written(docs.join(small_side(shared), "doc_id", "left").withColumn("_row", F.when(single, F.col("doc_id")).otherwise(own)).drop("_shared"), "rows")
+    gone = small_side(written(minhash.near_duplicates(rows, key="_row").where("not kept").select("_row"), "gone"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences."""
+    """Pieces of training sequences; a null text is an empty one and still has its end mark.  Rows that share a key are packed one by one."""
     return queries.pieces(packing.pack(docs))
 
 
 STAGES = [("quality classifier", classified), ("quality rules", clean), ("near duplicates", distinct), ("packing", packed)]
 
-#: SQL cannot train the classifier or encode text; the pipeline is tested stage by stage.
+#: SQL cannot train the classifier or encode text; each stage is tested against a plain version.
 ORACLE_SQL = None
 
 

@@ -7,11 +7,12 @@ same for all documents.  Groups of bins are bands, and documents that agree in a
 Documents with equal sets form classes first, each stands in buckets once.  A bucket of m classes gives m - 1 candidate edges,
 from its centre to the others, never all pairs.  The centre is the member first in a random order, the same for all
 buckets of a round, so members of one group meet the same centre in most of their buckets and are compared with it
-once.  Candidates are confirmed on the full sets of shingles.  Further rounds take only buckets whose members lie in more than
-one component, with new centres: more in a small bucket, a few in a large one, so a round's pairs stay in proportion to
-the members.  They end when no bucket is left, or when two rounds in a row find
-no new link.  A round's links are between components: they are united
-among themselves, and members take over the new names.
+once.  Candidates are confirmed on the full sets of shingles.  A second round takes only buckets whose members lie in more than
+one component, with new centres, and tests a set against one centre of each foreign component.  A round's links are between components:
+they are united among themselves, and members take over the new names.
+
+Sets in buckets that are mixed even then are compared exactly: linked sets share one of their rarest shingles, and pairs that do, fit in size
+and leave room for enough common shingles are confirmed like the others.
 """
 
 from __future__ import annotations
@@ -32,13 +33,12 @@ SIMILARITY = 80  # per cent
 BINS = 128
 #: Bins per band.  Sets with similarity s share a given band with chance s**4: of 32 bands, 0.8 meets in 13, and none with chance 5e-8.
 ROWS = 4
-#: Centres of a bucket in each round after the first, at least and at most, and in between the pairs that they make, about.
-FEW_CENTRES, CENTRES = 4, 16
-BUCKET_PAIRS = 256
-#: Rounds without a new link, one after another, after which the search ends.
-QUIET = 2
+#: Rounds of stars before the exact join takes what they left mixed.
+ROUNDS = 2
 #: Slots of shingle counts that order a set's shingles by rarity; slots that share counts cost time, not links.
 SLOTS = 1 << 20
+#: Bits of a set's map; two sets differ in at least as many shingles as their maps differ in bits.
+MAP_BITS = 1024
 #: Sets of a square block that meet in one rare shingle.
 SQUARE = 512
 WORD_TABLE = 1 << 20
@@ -168,8 +168,11 @@ def _rare_counts(texts: DataFrame, words: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for t in batch.column("t").to_pylist():
-                counts += np.bincount((shingler.shingles(t) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+            # Slots of a batch are counted together: a text costs what its shingles cost, not the table of slots.
+            found = [shingler.shingles(t) for t in batch.column("t").to_pylist()]
+            if found:
+                slots, n = np.unique((np.concatenate(found) & np.uint64(SLOTS - 1)).astype(np.int64), return_counts=True)
+                counts[slots] += n
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
 
@@ -179,6 +182,13 @@ def _rare_counts(texts: DataFrame, words: int) -> np.ndarray:
     return counts
 
 
+def _bit_map(found: np.ndarray) -> np.ndarray:
+    """The slots that a set's shingles fall into, as 64-bit words."""
+    bits = np.zeros(MAP_BITS, np.uint8)
+    bits[(_mix(found) % np.uint64(MAP_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _rare_pairs(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """Pairs of different components (``a``, ``b``, ``x``, ``y``) among ``texts`` (``k``, ``c``, ``t``), all that can be linked among them."""
     counts = _rare_counts(texts, words)
@@ -193,11 +203,12 @@ def _rare_pairs(texts: DataFrame, words: int, similarity: int) -> DataFrame:
                 place = np.flatnonzero(often[order] > 1)  # the others are in no second text
                 if len(place):
                     n = len(place)
+                    maps = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (MAP_BITS // 64)), pa.array(np.tile(_bit_map(found), n)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(found[order[place]].view(np.int64)), pa.array(np.full(n, k, np.int64)), pa.array(np.full(n, c, np.int64)),
-                         pa.array(np.full(n, len(found), np.int64)), pa.array(len(found) - place)], ["s", "k", "c", "n", "room"])
+                         pa.array(np.full(n, len(found), np.int64)), pa.array(len(found) - place), maps], ["s", "k", "c", "n", "room", "map"])
 
-    rare = written(texts.select("k", "c", "t").mapInArrow(run, "s long, k long, c long, n long, room long").distinct(), "rare")
+    rare = written(texts.select("k", "c", "t").mapInArrow(run, "s long, k long, c long, n long, room long, map array<long>"), "rare")
     meet = rare.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
     parts = F.ceil(F.col("m") / SQUARE).cast("int")
     rare = written(rare.join(meet.select("s", parts.alias("parts")), "s").withColumn("i", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")), "meeting")
@@ -207,8 +218,12 @@ def _rare_pairs(texts: DataFrame, words: int, similarity: int) -> DataFrame:
     fits = ((F.col("s1") == F.col("s2")) & (F.col("i1") == F.col("j2")) & (F.col("j1") == F.col("i2")) & (F.col("k1") < F.col("k2"))
             & (F.col("c1") != F.col("c2"))
             & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * similarity)
-            & (F.least("room1", "room2") * (100 + similarity) >= (F.col("n1") + F.col("n2")) * similarity))
-    return (one.join(two, fits).groupBy(F.col("k1").alias("a"), F.col("k2").alias("b"))
+            & (F.least("room1", "room2") * (100 + similarity) >= (F.col("n1") + F.col("n2")) * similarity)
+            # Enough common shingles leave at most so many in one set alone, and so many bits in one map alone.
+            & (F.expr("aggregate(zip_with(map1, map2, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)") * (100 + similarity)
+               <= (F.col("n1") + F.col("n2")) * (100 - similarity)))
+    pairs = one.join(two, fits)
+    return (pairs.groupBy(F.col("k1").alias("a"), F.col("k2").alias("b"))
             .agg(F.min(F.least("c1", "c2")).alias("x"), F.min(F.greatest("c1", "c2")).alias("y")))
 
 
@@ -245,46 +260,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     alone = inside.select(F.col("k").alias("node"), F.col("k").alias("root"))
     groups = written(components(copies).unionByName(alone).groupBy("node").agg(F.min("root").alias("root")), "components")
     members = members.join(groups, F.col("k") == F.col("node")).select("bucket", "k", "d", "n_shingles", F.col("root").alias("c"))
-    tested, turn, quiet = None, 0, 0
-    while True:
-        numbers = range(1 + (turn - 1) * CENTRES, 1 + turn * CENTRES) if turn else range(1)
-        firsts = [F.min(F.struct(F.xxhash64("k", F.lit(n)).alias("h"), F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca")))
-                  for n in numbers]
-        mixed = (members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m"), F.array(*firsts).alias("z"))
-                 .where("lo != hi"))
-        many = F.lit(1) if not turn else F.expr(f"cast(greatest({FEW_CENTRES}, least({CENTRES}, {BUCKET_PAIRS} div m)) as int)")
-        centres = F.array_distinct(F.transform(F.slice("z", F.lit(1), many), lambda z: z.dropFields("h")))
+    tested = None
+    for turn in range(ROUNDS):
+        centre = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("c").alias("ca")))
+        mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), centre.alias("z")).where("lo != hi")
         # Buckets that lie in one component stay so and are left out from here on.
-        live = written(members.join(mixed.select("bucket", centres.alias("centres")), "bucket"), "live")
+        live = written(members.join(mixed.select("bucket", "z"), "bucket"), "live")
         # Sets whose sizes differ too much cannot be similar enough.
-        useful = F.filter("centres", lambda z: (z["ca"] != F.col("c")) & (
-            F.least(z["na"], F.col("n_shingles")) * 100 >= F.greatest(z["na"], F.col("n_shingles")) * similarity))
-        # A set meets a centre in many of its bands: they are listed once for each set, which is in no more buckets than it has bands.
-        lists = (live.select("k", "d", "c", useful.alias("zs")).where(F.size("zs") > 0)
-                 .groupBy("k", "d").agg(F.min("c").alias("c"), F.array_distinct(F.flatten(F.collect_list("zs"))).alias("zs")))
-        edges = (lists.select("k", "c", F.explode("zs").alias("z")).select("k", "c", "z.*")
+        useful = (F.col("z.ca") != F.col("c")) & (
+            F.least("z.na", "n_shingles") * 100 >= F.greatest("z.na", "n_shingles") * similarity)
+        # A set meets a centre in many of its bands, and often several of one component: it is tested against the first of them.
+        met = live.where(useful).groupBy("k", "d", "c", F.col("z.ca").alias("ca")).agg(F.min("z").alias("z"))
+        edges = (met.select("k", "c", F.col("z.a").alias("a"), "ca")
                  .groupBy(F.least("a", "k").alias("a"), F.greatest("a", "k").alias("b"))
                  .agg(F.min(F.least("c", "ca")).alias("x"), F.min(F.greatest("c", "ca")).alias("y")))
         if tested is not None:
             edges = edges.join(tested, ["a", "b"], "left_anti")
         edges = written(edges, "candidates")
         links = written(_confirmed(edges, texts, words, similarity), "links")
-        members = live.drop("centres")
-        if links.isEmpty():
-            quiet += turn > 0
-            if quiet == QUIET or live.isEmpty():
-                break
-        else:
-            quiet = 0
+        members, done = live.drop("z"), edges.select("a", "b")
+        tested = done if tested is None else tested.unionByName(done)
+        if not links.isEmpty():
             united = small_side(written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "united"))
             groups = written(_renamed(groups, "root", united), "components")
             members = _renamed(members, "c", united)
-        done = edges.select("a", "b")
-        tested = done if tested is None else tested.unionByName(done)
-        turn += 1
+    mixed = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi")
+    live = written(members.join(mixed.select("bucket"), "bucket").select("k", "c").distinct(), "live")
     if not live.isEmpty():
-        left = small_side(written(live.select("k", "c").distinct(), "left"))
-        edges = written(_rare_pairs(texts.join(left, "k"), words, similarity).join(tested, ["a", "b"], "left_anti"), "candidates")
+        edges = written(_rare_pairs(texts.join(small_side(live), "k"), words, similarity).join(tested, ["a", "b"], "left_anti"), "candidates")
         links = written(_confirmed(edges, texts, words, similarity), "links")
         if not links.isEmpty():
             united = small_side(written(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "united"))

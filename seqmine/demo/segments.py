@@ -198,6 +198,15 @@ def lookahead(spark, d):
         "src", "pos", "group_start")
 
 
+def whole_groups(spark, d):
+    """Groups of at least four lines whose numbers leave no hole."""
+    rows, run = c.disc_lines(spark, d)
+    rows = (rows.withColumn("first", F.col("chunk") == 0).withColumn("last", F.col("chunk") >= 3)
+            .withColumn("member", F.col("l_returnflag") != "A"))
+    return seg.claim_lookahead(rows, run, first="first", member="member", last="last", number="chunk", least=4).select(
+        "src", "pos", "group_start")
+
+
 def numbered(spark, d):
     rows, run = c.disc_lines(spark, d)
     rows = rows.withColumn("start", F.floor(F.col("pos") / 3))
@@ -269,6 +278,7 @@ QUERIES = {
     "concat_payload": payloads,
     "locate_offset": located,
     "classify_lookahead": lookahead,
+    "classify_lookahead_complete": whole_groups,
     "number_frames": numbered,
     "number_format": formats,
     "filter_number_range": number_range,
@@ -426,6 +436,15 @@ done AS (SELECT src, group_start, min(pos) AS stop FROM o
          WHERE chunk >= 5 AND pos <= group_start + 15 GROUP BY 1, 2)
 SELECT o.src, o.pos, o.group_start FROM o JOIN done USING (src, group_start)
 WHERE o.pos <= stop AND (chunk = 0 OR chunk >= 5 OR l_returnflag <> 'A')""",
+    "classify_lookahead_complete": c.with_(c.DISC_LINES) + """
+, o AS (SELECT *, max(CASE WHEN chunk = 0 THEN pos END) OVER (PARTITION BY src ORDER BY pos) AS group_start FROM disc_lines),
+done AS (SELECT src, group_start, min(pos) AS stop FROM o
+         WHERE chunk >= 3 AND pos <= group_start + 15 GROUP BY 1, 2),
+held AS (SELECT o.src, o.pos, o.group_start, o.chunk FROM o JOIN done USING (src, group_start)
+         WHERE o.pos <= stop AND (chunk = 0 OR chunk >= 3 OR l_returnflag <> 'A')),
+lists AS (SELECT src, group_start, list(chunk ORDER BY pos) AS chunks FROM held GROUP BY 1, 2)
+SELECT src, pos, group_start FROM held JOIN lists USING (src, group_start)
+WHERE len(chunks) >= 4 AND chunks = list_transform(range(len(chunks)), lambda i: CAST(i AS BIGINT))""",
     "number_frames": c.with_(c.DISC_LINES, NUMBERED) + "SELECT * FROM numbered",
     "number_format": c.with_(c.DISC_LINES, NUMBERED) + """
 SELECT src, min(frame) AS "first", max(frame) AS "last", arg_max(header_dup, pos) AS last_dup, max(header_dup) AS max_dup,

@@ -393,13 +393,14 @@ def summarise_segments(df: DataFrame, group: Sequence[str], *, pos: str = "pos",
     return out.withColumn("length", F.col("end") - F.col("start") + 1)
 
 
-def claim_lookahead(df: DataFrame, run: Run, *, first: str, member: str, last: str,
-                    pos: str = "pos", limit: int = 15) -> DataFrame:
+def claim_lookahead(df: DataFrame, run: Run, *, first: str, member: str, last: str, pos: str = "pos", limit: int = 15,
+                    number: str | None = None, least: int = 1) -> DataFrame:
     """Rows claimed by a start record whose group is complete within reach.
 
-    A candidate opened by ``first`` is complete when a ``last`` member follows
-    within ``limit`` records and before the next ``first``.  Rows that are neither
-    are skipped.  ``pos`` must count the records of the run.
+    A candidate opened by ``first`` ends at the first ``last`` member within ``limit`` records and before the next
+    ``first``.  Rows that are neither are skipped.  With ``number``, it is complete if its rows' numbers go on by one without a
+    hole; it needs ``least`` rows in any case.  All rows of a complete group are claimed, none of another.
+    ``pos`` must count the records of the run.
     """
     rows = running(df, run, lasts={"_open": F.when(F.col(first), F.col(pos))})
     # Only rows within reach of their start remain, so a window holds at most limit + 1 rows.
@@ -407,5 +408,13 @@ def claim_lookahead(df: DataFrame, run: Run, *, first: str, member: str, last: s
                       & (F.col(first) | F.col(member) | F.col(last)))
     group = Window.partitionBy(*run.keys, "_open")
     stop = F.min(F.when(F.col(last) & ~F.col(first), F.col(pos))).over(group)
-    return (near.withColumn("_stop", stop).where(F.col(pos) <= F.col("_stop"))
-            .withColumnRenamed("_open", "group_start").drop("_stop"))
+    claimed = near.withColumn("_stop", stop).where(F.col(pos) <= F.col("_stop"))
+    if number or least > 1:
+        hole = F.lit(False)
+        if number:
+            before_here = F.lag(number).over(group.orderBy(pos))
+            hole = (F.col(pos) != F.col("_open")) & ~F.col(number).eqNullSafe(before_here + 1)
+        claimed = (claimed.withColumn("_hole", hole)
+                   .withColumn("_whole", ~F.max("_hole").over(group) & (_count().over(group) >= least))
+                   .where("_whole").drop("_hole", "_whole"))
+    return claimed.withColumnRenamed("_open", "group_start").drop("_stop")

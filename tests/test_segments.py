@@ -87,3 +87,11 @@ def test_lookahead_takes_first_complete_group(spark):
     got = sorted((r.pos, r.group_start) for r in
                  seg.claim_lookahead(df, run, first="f", member="m", last="l").collect())
     assert got == [(0, 0), (1, 0), (3, 0), (7, 7), (8, 7)]
+
+
+def test_lookahead_rejects_groups_with_holes(spark):
+    kinds = "F0 m1 L2 F0 m2 L3 F0 . m1 m2 L3 F0 L1 F5 m6 L7 F0 m1 m L3"
+    rows = [(None, i, k[0] == "F", k[0] == "m", k[0] == "L", int(k[1]) if k[1:] else None) for i, k in enumerate(kinds.split())]
+    df, run = by_position(spark.createDataFrame(rows, "src string, pos long, f boolean, m boolean, l boolean, n long"), ["src"], width=3)
+    got = seg.claim_lookahead(df, run, first="f", member="m", last="l", number="n", least=3).collect()
+    assert sorted((r.pos, r.group_start) for r in got) == [(0, 0), (1, 0), (2, 0), (6, 6), (8, 6), (9, 6), (10, 6), (13, 13), (14, 13), (15, 13)]

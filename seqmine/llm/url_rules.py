@@ -1,6 +1,6 @@
 """URL filters: fixed host and path rules first, then association rules mined from labelled urls.
 
-FP-growth finds combinations of url tokens that go with a bad label.  Rules below a confidence or support are not mined, and of the
+FP-growth finds combinations of url tokens that go with a bad label.  Rules below a confidence or count are not mined, and of the
 others only the shortest stay: a rule whose tokens include another's adds nothing.  Each rule is filed under its rarest token, an
 inverted index: a url looks up its tokens there and checks the few rules it finds.
 """
@@ -11,12 +11,9 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqmine.llm.storage import written
+from seqmine.llm.storage import small_side, written
 
-#: Labelled urls that rules are mined from, at most; chosen by a hash of the url.
-LABELLED_ROWS = 50_000
-MIN_SUPPORT = 0.002
-#: A rule must also hold for so many labelled urls; fewer are chance.
+#: A rule must hold for so many labelled bad urls, however many there are in all; fewer are chance.
 MIN_COUNT = 10
 MIN_CONFIDENCE = 0.8
 BAD = "=bad"
@@ -58,22 +55,22 @@ def tokens() -> Column:
         of("q:", F.regexp_extract_all("query", F.lit(r"[?&]([^=&]+)"))))))
 
 
-def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", rows: int = LABELLED_ROWS, min_support: float = MIN_SUPPORT,
+def mine(labelled: DataFrame, url: str = "url", bad: str = "bad", min_count: int = MIN_COUNT,
          min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Rules from urls with a Boolean ``bad``: ``anchor``, ``wanted`` (tokens), ``confidence``, ``support``.
 
-    Null urls and labels are left out.  Without labelled rows there are no rules.
+    All labelled urls count.  Null urls and labels are left out; repeated rows count as often as they come.  Without labelled rows, and where
+    tokens say nothing of the label, there are no rules.
     """
     spark = labelled.sparkSession
     known = labelled.where(F.col(url).isNotNull() & F.col(bad).isNotNull()).select(F.col(url).alias("url"), F.col(bad).alias("bad"))
-    n = known.count()
-    kept = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(min(1.0, rows / max(1, n)) * (1 << 20)))
-    baskets = split_url(kept).select(F.array_union(tokens(), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    baskets = split_url(known).select(F.array_union(tokens(), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     schema = "anchor string, wanted array<string>, confidence double, support double"
+    baskets = written(baskets, "baskets")
+    n = baskets.count()
     if n == 0:
         return spark.createDataFrame([], schema)
-    baskets = written(baskets, "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / max(1, baskets.count()))), minConfidence=min_confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_count - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     rules = (model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
              .select(F.array_sort("antecedent").alias("wanted"), "confidence", "support"))
     rules = written(rules, "mined").withColumn("id", F.array_join("wanted", " "))
@@ -109,7 +106,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     found = found.withColumn("rule", name).withColumn("fixed", verdict).withColumn("tokens", tokens())
     found = found.withColumn("id", F.array_join("tokens", " "))
     sets = found.where("rule is null").groupBy("id").agg(F.min("tokens").alias("tokens"))
-    hit = matches(sets, rules)
+    # Sets that a rule fits are few as a rule; small_side counts them, so pages are not shuffled for them.
+    hit = small_side(written(matches(sets, rules), "hits"))
     out = found.join(hit, "id", "left")
     mined = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
     return out.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("fixed", mined).alias("verdict"),

@@ -260,6 +260,41 @@ def test_main_text(spark):
     assert html_text.extract(empty(df)).count() == 0
 
 
+PAGES = [  # html, its main text
+    ("<article><h1>Title of it</h1><p>Lead text here</p><div class=body>" + "long text " * 40 + "</div></article>", "Title of it Lead text here " + "long text " * 40),
+    ("<div class='content-sidebar-wrap'><main><article>main text words and more</article></main><div class=x>other</div></div>", "main text words and more"),
+    ("<body class=no-header><div class='has-sidebar'><div class=entry><p>one two</p></div><div class=sidebar>bad</div></div>", "one two"),
+    ("<div class='sidebar-left'><p>alpha beta</p><p>gamma delta</p></div><div class=y>end</div>", "alpha beta gamma delta"),
+    ("<article><p>one</p><object data=x><p>two three four five</p></article>", "one two three four five"),
+    ("<article><p>one</p><select><option>q<p>two three</p></article>", "one q two three"),
+    ("<article><p>one</p><select><option>q</select><noscript>no</noscript><svg><text>no</text></svg><p>two</p></article>", "one two"),
+    ("<p>" + "\u0130" * 12 + "<script>x</script>abcdefghi</p>", "\u0130" * 12 + "abcdefghi"),
+    ("<title>a</titlefoo>b</title><p>c</p>", "c"),
+    ("<div class=post><p>text one</p><p>text two</p></div><div id=comments><article class=comment>" + "long talk " * 30 + "</article></div>", "text one text two"),
+    ("<div class='ad'>" + "advert " * 50 + "</div><div class=post>short</div>", "short"),
+    ("<article class='has-comments'><section class=a><p>one</p></section><section class=b><p>two</p></section></article>", "one two"),
+    ("<div>" * 5000 + "deep", "deep"), ("<p>" + "word " * 200_000, "word " * 200_000), ("<article><a href=x>only a link</a></article>", "only a link"),
+]
+
+
+def test_main_text_of_layouts():
+    for html, text in PAGES:
+        assert html_text.extract_page(html, None) == text.strip(), html[:200]
+
+
+def test_main_text_by_hosts(spark):
+    story = "<body><div class=story><h1>T{0}</h1><p>Story text of page {0}</p></div><div class=x><p>{1}</p></div>"
+    list_ = "<body><div class=log><p>Entry {0} of a log</p></div><div class=x><p>{1}</p></div>"
+    rows = [(k, f"http://Two/{k}", (story if k % 3 else list_).format(k, "more" if k else "a box that is longer than the log of this page " * 9)) for k in range(12)]
+    rows += [(k, f"http://two/{k}", rows[k][2]) for k in (1, 3)] + [(None, "http://two/n", rows[1][2]), (50, None, rows[1][2]), (60, "http://tie/1", "<body><div class=a><p>x</p></div><div class=b><p>y</p></div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = {r.host: r.paths for r in html_text.host_paths(df).collect()}
+    assert paths == {"two": ["/body/div.log", "/body/div.story"], "tie": ["/body/div.a"]}
+    found = sorted((-1 if r.page_id is None else r.page_id, r.text) for r in html_text.extract(df).collect())
+    want = lambda k: f"T{k} Story text of page {k}" if k % 3 else f"Entry {k} of a log"
+    assert found == sorted([(k, want(k)) for k in [*range(12), 1, 3]] + [(-1, want(1)), (50, want(1)), (60, "x")])
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.ORG/en/12?x", "ftp://example.org/es/", "http://x.com/fr/1", "https://com/de/", "http://x.com/fr", "a://b://c/d",
             "http://notexample.org/es/", "http://x.org"]
@@ -279,6 +314,14 @@ def test_url_rules(spark):
     assert url_rules.judge(empty(df), url_rules.mine(empty(labelled))).count() == 0
 
 
+def test_url_rules_need_a_count_not_a_share(spark):
+    good = spark.range(20_000).selectExpr("concat('http://fine', id % 9, '.net/a/', id) AS url", "false AS bad")
+    bad = spark.range(25).selectExpr("concat('http://rare.net/b/', id) AS url", "id < 22 AS bad")
+    few = spark.range(9).selectExpr("concat('http://few.net/a/', id) AS url", "true AS bad")
+    rules = url_rules.mine(good.union(bad).union(few)).collect()
+    assert {(tuple(r.wanted), round(r.confidence, 2)) for r in rules} == {(("h:rare",), 0.88), (("p:b",), 0.88)}
+
+
 def test_classifier_without_labels(spark):
     df = spark.createDataFrame([(1, None, 3), (None, "text", 4)], "doc_id long, text string, kept int")
     none = spark.createDataFrame([(1, None)], "doc_id long, quality int")

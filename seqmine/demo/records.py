@@ -203,13 +203,13 @@ def records_read(spark, d):
     """Writes all events as fixed-width records, reads the files back and decodes them."""
     e = c.table(spark, d, "events")
     pad = lambda col, n: F.rpad(col.cast("string"), n, " ")
-    raw = F.concat(pad(F.col("event_id"), 16), pad(F.col("user_id"), 16), pad(F.col("event_type"), 31), F.lit("\n"))
+    raw = F.concat(pad(F.col("event_id"), 16), pad(F.col("user_id"), 16), pad(F.col("event_type"), 32))
     path = scratch_path(spark, "records")
-    records.write_records(e.select(raw.cast("binary").alias("raw")), "raw", path)
+    records.write_records(e.select(raw.cast("binary").alias("raw"), "event_id"), "raw", path, order=["event_id"], width=RECORD_WIDTH)
     got = records.read_records(spark, path, RECORD_WIDTH, split_bytes=1 << 20)
     part = lambda i, n: F.rtrim(F.substring("raw", i, n).cast("string"))
     return got.select(part(1, 16).cast("bigint").alias("event_id"), part(17, 16).cast("bigint").alias("user_id"),
-                      part(33, 31).alias("event_type"))
+                      part(33, 32).alias("event_type"))
 
 
 LAYOUTS = {"en": 2352, "de": 2448, "fr": 2336}
@@ -217,7 +217,7 @@ LAYOUTS = {"en": 2352, "de": 2448, "fr": 2336}
 
 def layouts(spark, d):
     """Writes all documents as record files of four layouts and detects them."""
-    docs = c.table(spark, d, "documents").select("lang", F.unhex(F.md5("text")).alias("digest"))
+    docs = c.table(spark, d, "documents").select("lang", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
     # A lead in of sync and header, of two sub-headers, or none; the digest; zeros; newline.
     lead = {"en": SYNC_HEX + "00020001", "de": SYNC_HEX + "00020002", "fr": "0100640001006400"}
     raw = None

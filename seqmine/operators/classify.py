@@ -100,6 +100,21 @@ def is_constant(values: Column, value: Column | int = 0) -> Column:
     return F.forall(values, lambda x: x == value)
 
 
+def is_constant_payload(raw: Column, value: int = 0, group: int | None = None, head: int = 0) -> Column:
+    """Whether every byte of a binary equals ``value``, the first ``head`` bytes of each ``group`` left aside.
+
+    Groups are counted from the start; a cut last group is judged as far as it goes.  An empty binary is constant, a null gives null.
+    """
+    byte = f"(?:{value:02X})"
+    if group is None:
+        return F.hex(raw).rlike(f"^{byte}*+$")
+    if not 0 <= head <= group or group < 1:
+        raise ValueError("a group needs 0 <= head <= group")
+    body = group - head
+    whole = f"(?:[0-9A-F]{{{2 * head}}}{byte}{{{body}}})"
+    return F.hex(raw).rlike(f"^{whole}*+(?:[0-9A-F]{{0,{2 * head}}}|[0-9A-F]{{{2 * head}}}{byte}{{0,{body}}})$")
+
+
 @dataclass(frozen=True)
 class Rule:
     """A named claim; ``produces=False`` claims the record without giving it a class."""

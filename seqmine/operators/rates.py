@@ -32,26 +32,25 @@ def match_template(frames: DataFrame, templates: Sequence[Template], *,
     """Templates that every frame after the first fits; the smallest numerator wins.
 
     ``start`` and ``end`` count from the start of the run's first frame.  A frame
-    fits if it starts where a slot starts and ends inside it.  The slots are a local
-    table whose size the planner knows; it broadcasts them when they are small.
+    fits if it starts where a slot starts and ends inside one that starts there.  Each template is an array of slot ends by
+    phase, a constant of the plan; frames are tested in a projection and only the verdicts are combined per run.
     """
-    spark = frames.sparkSession
-    slots = spark.createDataFrame(
-        [(t.name, a, b) for t in templates for a, b in t.slots],
-        "template string, phase bigint, slot_end bigint")
-    heads = F.array(*[F.struct(F.lit(t.name).alias("template"), F.lit(t.num).cast("bigint").alias("num"),
-                               F.lit(t.den).cast("bigint").alias("den"),
-                               F.lit(t.loop).cast("bigint").alias("loop")) for t in templates])
-    rows = (frames.where(F.col("start") > 0).withColumn("_t", F.explode(heads))
-            .withColumn("template", F.col("_t.template"))
-            .withColumn("phase", F.when(F.col("_t.loop").isNull(), F.col("start"))
-                        .otherwise(F.pmod(F.col("start"), F.col("_t.loop")))))
-    joined = rows.join(slots, ["template", "phase"], "left")
-    fits = F.coalesce(F.col("end") - F.col("start") + F.col("phase") <= F.col("slot_end"), F.lit(False))
-    ok = (joined.groupBy(*keys, "template").agg(F.bool_and(fits).alias("_ok"),
-                                                F.min("_t.num").alias("num"), F.min("_t.den").alias("den"))
-          .where("_ok"))
-    return (ok.groupBy(*keys).agg(F.min(F.struct("num", "den", "template")).alias("_b"))
+    heads = []
+    rows = frames.where(F.col("start") > 0)
+    tests = []
+    for i, t in enumerate(templates):
+        ends: list[int | None] = [None] * (max((a for a, _ in t.slots), default=0) + 1)
+        for a, b in t.slots:
+            ends[a] = b if ends[a] is None else max(ends[a], b)
+        table = F.split(F.lit(",".join("" if e is None else str(e) for e in ends)), ",")
+        table = F.transform(table, lambda x: x.try_cast("bigint"))
+        phase = F.col("start") if t.loop is None else F.pmod(F.col("start"), F.lit(t.loop).cast("bigint"))
+        last = F.when(phase < len(ends), F.get(table, phase.cast("int")))
+        fits = F.coalesce(F.col("end") - F.col("start") + phase <= last, F.lit(False))
+        tests.append(F.bool_and(fits).alias(f"_ok{i}"))
+        heads.append(F.when(F.col(f"_ok{i}"), F.struct(F.lit(t.num).cast("bigint").alias("num"), F.lit(t.den).cast("bigint").alias("den"),
+                                                       F.lit(t.name).alias("template"))))
+    return (rows.groupBy(*keys).agg(*tests).withColumn("_b", F.array_min(F.array(*heads))).where("_b IS NOT NULL")
             .select(*keys, "_b.num", "_b.den", "_b.template"))
 
 

@@ -140,8 +140,12 @@ def segment_constant_stride(df: DataFrame, *, keys: Sequence[str] = ("src", "cha
 def stitch_groups(frames: DataFrame, run: Run, *, start: str = "start", end: str = "end",
                   number: str = "frame", special: str = "special", same: Sequence[str] = (),
                   gap: int = GROUP_GAP, jump: int = NUMBER_JUMP) -> DataFrame:
-    """Frames to videos, including the sticky rule for a special first frame."""
-    fields = list(dict.fromkeys([start, end, number, special, *same]))
+    """Frames to videos, including the sticky rule for a special first frame; a null ``special`` is an ordinary frame.
+
+    A video that begins with special frames ends before its first ordinary one, and the next begins there.  Both parts are
+    summed up in the pass that finds the segments.
+    """
+    fields = list(dict.fromkeys([start, end, number, *same]))
 
     def hard(prev, cur):
         out = ((cur(start) > prev(end) + gap) | (cur(number) < prev(number))
@@ -150,19 +154,11 @@ def stitch_groups(frames: DataFrame, run: Run, *, start: str = "start", end: str
             out = out | ~cur(c).eqNullSafe(prev(c))
         return out
 
-    is_special = lambda prev, cur: hard(prev, cur) & cur(special)
-    rows = last_where(frames, run, fields, {
-        "seg": (hard, True),
-        "_spec": (is_special, lambda cur: cur(special)),
-        "_plain": (lambda prev, cur: ~cur(special), lambda cur: ~cur(special))})
-    began_special = F.coalesce(F.col("_spec") == F.col("seg"), F.lit(False))
-    rows = rows.withColumn(
-        "plain_part", began_special & F.coalesce(F.col("_plain") > F.col("seg"), F.lit(False)))
-    return (rows.groupBy(*run.keys, "seg", "plain_part")
-            .agg(F.min(start).alias("start"), F.max(end).alias("end"),
-                 F.min(number).alias("first_number"), F.max(number).alias("last_number"),
-                 _count().alias("frames"), *[F.min(c).alias(c) for c in same])
-            .drop("seg", "plain_part"))
+    out = segment_groups(
+        frames, run, fields, hard, sums={"frames": F.lit(1).cast("bigint")},
+        mins={"start": F.col(start), "first_number": F.col(number), **{c: F.col(c) for c in same}},
+        maxes={"end": F.col(end), "last_number": F.col(number)}, late=~F.coalesce(F.col(special), F.lit(False)))
+    return out.select(*run.keys, "start", "end", "first_number", "last_number", "frames", *same)
 
 
 def stitch_countdown(frames: DataFrame, run: Run, *, number: str = "number", start: str = "start",

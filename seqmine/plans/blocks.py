@@ -273,9 +273,11 @@ def segment(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condition,
 
 def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condition,
                    sums: dict[str, Column] | None = None, mins: dict[str, Column] | None = None,
-                   maxes: dict[str, Column] | None = None) -> DataFrame:
+                   maxes: dict[str, Column] | None = None, late: Column | None = None) -> DataFrame:
     """One row per segment with its sums, minima and maxima, and ``seg``, its first place.
 
+    With a mark ``late`` a segment gives up to two rows: its rows before the first marked one, and those from there on (column ``late``).
+
     Rows are read, shuffled and sorted once: each block is reduced to its parts of
     segments, and only its first and last part can belong to a longer segment.  The
     parts are written to the shared folder; those at block edges are linked along the
@@ -288,8 +290,14 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     hit = F.col("_seen") & F.coalesce(breaks(_lagged, F.col), F.lit(False))
     local = local.withColumn("_cut", F.max(F.when(hit, place)).over(upto(run.rows())))
     # First and last row of the block field by field: plain maxima keep this a hash aggregation.
-    parts = local.groupBy(*run.cell, "_cut").agg(
-        F.min(place).alias("_from"), F.max(~F.col("_more")).alias("_at_end"),
+    split = []
+    if late is not None:
+        local = local.withColumn("_mark", F.when(late, place))
+        marked = F.max("_mark").over(upto(run.rows()))
+        local = local.withColumn("_late", marked.isNotNull() & F.coalesce(marked >= F.col("_cut"), F.lit(True)))
+        split = ["_late"]
+    parts = local.groupBy(*run.cell, "_cut", *split).agg(
+        *([F.max("_mark").alias("_mark")] if split else []), F.min(place).alias("_from"), F.max(~F.col("_more")).alias("_at_end"),
         *[F.max(F.when(~F.col("_seen"), F.col(c))).alias(f"_h_{c}") for c in fields],
         *[F.max(F.when(~F.col("_more"), F.col(c))).alias(f"_t_{c}") for c in fields],
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.min(c).alias(n) for n, c in mins.items()],
@@ -301,21 +309,26 @@ def segment_groups(df: DataFrame, run: Run, fields: Sequence[str], breaks: Condi
     tail: Getter = lambda c: F.col("_tail")[c]
     edge = F.col("_cut").isNull() | F.col("_at_end")
     values = [*sums, *mins, *maxes]
-    inner = parts.where(~edge).select(*run.held(), F.col("_cut").alias("seg"), *values)
+    named = [F.col("_late").alias("late")] if split else []
+    inner = parts.where(~edge).select(*run.held(), F.col("_cut").alias("seg"), *named, *values)
     edges = parts.where(edge)
     links = (edges.groupBy(*run.cell)
              .agg(*[F.max(f"_h_{c}").alias(f"_h_{c}") for c in fields],
                   *[F.max(f"_t_{c}").alias(f"_t_{c}") for c in fields],
-                  F.min("_from").alias("_from"), F.max("_cut").alias("_cut"))
+                  F.min("_from").alias("_from"), F.max("_cut").alias("_cut"), *([F.max("_mark").alias("_mark")] if split else []))
              .withColumn("_tail", F.lag(F.struct(*[F.col(f"_t_{c}").alias(c) for c in fields])).over(blocks)))
     opens = F.when(F.col("_tail").isNull() | F.coalesce(breaks(tail, head), F.lit(False)), F.col("_from"))
     links = (links.withColumn("_opens", opens)
              .withColumn("_root", F.coalesce("_opens", F.last(F.coalesce("_cut", "_opens"), ignorenulls=True)
-                                             .over(before(blocks))))
-             .select(*run.cell, "_root"))
+                                             .over(before(blocks)))))
+    if split:
+        # A segment that came into the block with a mark behind it stays late.
+        links = links.withColumn("_was", F.coalesce(F.max("_mark").over(before(blocks)) >= F.col("_root"), F.lit(False)))
+        named = [(F.col("_late") | (F.col("_cut").isNull() & F.col("_was"))).alias("late")]
+    links = links.select(*run.cell, "_root", *(["_was"] if split else []))
     merged = (edges.join(links, run.cell)
-              .select(*run.held(), F.coalesce("_cut", "_root").alias("seg"), *values)
-              .groupBy(*run.keys, "seg")
+              .select(*run.held(), F.coalesce("_cut", "_root").alias("seg"), *named, *values)
+              .groupBy(*run.keys, "seg", *(["late"] if split else []))
               .agg(*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins],
                    *[F.max(n).alias(n) for n in maxes]))
     return merged.unionByName(inner)

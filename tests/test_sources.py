@@ -113,3 +113,71 @@ def test_number_lookups():
     for bad in ("", "1x2", "12.", "%4", "-1"):
         with pytest.raises(ValueError):
             cl.parse_number(bad)
+
+
+def test_records_are_written_in_order_and_any_bytes(spark, tmp_path):
+    n, width = 300, 2352
+    body = lambda k: bytes([k % 256]) * (width - 2) + bytes([0x0A if k % 2 else 0xFF, k * 7 % 256])
+    df = spark.createDataFrame([(k, body(k)) for k in range(n)], "pos long, raw binary").repartition(5)
+    path = str(tmp_path / "out")
+    records.write_records(df, "raw", path, order=["pos"], width=width)
+    files = [p for p, _ in records.list_files(path)]
+    assert b"".join(open(p, "rb").read() for p in files) == b"".join(map(body, range(n)))
+    assert all(name.startswith("part-") for name in os.listdir(path))
+    again = records.read_records(spark, path, width, split_bytes=width * 7)
+    assert sorted(bytes(r.raw) for r in again.collect()) == sorted(map(body, range(n)))
+    assert again.where("pos = 3").count() == len(files)
+    with pytest.raises(ValueError):
+        records.write_records(df, "raw", path)
+    records.write_records(df.limit(0), "raw", str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists() or records.list_files(str(tmp_path / "none")) == []
+
+
+def test_folders_of_records(spark, tmp_path):
+    rows = [(k, "a/b" if k % 3 == 0 else None if k % 3 == 1 else "ü", bytes([k, 10])) for k in range(40)]
+    df = spark.createDataFrame(rows, "pos long, kind string, raw binary").repartition(3)
+    path = str(tmp_path / "out")
+    records.write_records(df, "raw", path, partition_by="kind", order=["pos"])
+    found = {}
+    for p, _ in records.list_files(path):
+        found.setdefault(os.path.basename(os.path.dirname(p)), []).append(open(p, "rb").read())
+    want = lambda kind: b"".join(r[2] for r in rows if r[1] == kind)
+    assert {k: b"".join(v) for k, v in found.items()} == {
+        "kind=a%2Fb": want("a/b"), "kind=__HIVE_DEFAULT_PARTITION__": want(None), "kind=%C3%BC": want("ü")}
+
+
+def test_unequal_records_are_refused_and_leave_nothing(spark, tmp_path):
+    path = tmp_path / "out"
+    for bad in (b"abc", b"", None):
+        df = spark.createDataFrame([(1, b"ab"), (2, bad)], "pos long, raw binary").coalesce(1)
+        with pytest.raises(Exception):
+            records.write_records(df, "raw", str(path), order=["pos"])
+        assert not path.exists() or os.listdir(path) == []
+
+
+def test_attempts_that_are_not_committed_go(tmp_path):
+    writer = records.RecordWriter(str(tmp_path), None, None)
+    staging = tmp_path / writer.staging
+    staging.mkdir()
+    for name in ("part-000000-first.bin", "part-000000-second.bin"):
+        (staging / name).write_bytes(name.encode())
+    writer.commit([records.Written([("part-000000-second.bin", 1)]), None])
+    assert os.listdir(tmp_path) == ["part-000000-second.bin"]
+
+
+def test_constant_payloads(spark):
+    cases = [(b"", True, True), (bytes(9), True, True), (b"\1" + bytes(8), False, False), (b"\1\2" + bytes(3) + b"\3\4" + bytes(3), False, True),
+             (b"\1\2" + bytes(3) + b"\3\4\0\1", False, False), (b"\1\2" + bytes(3) + b"\3", False, True), (b"\1\2" * 5, False, False),
+             (bytes(5 * 5000), True, True), (None, None, None)]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "k int, raw binary")
+    from pyspark.sql import functions as F
+    found = df.select("k", cl.is_constant_payload(F.col("raw")).alias("a"), cl.is_constant_payload(F.col("raw"), group=5, head=2).alias("b")).orderBy("k").collect()
+    assert [(r.a, r.b) for r in found] == [(c[1], c[2] if k != 2 else True) for k, c in enumerate(cases)]
+
+
+def test_padded_names(spark):
+    from pyspark.sql import functions as F
+    from seqmine.sources import export
+    df = spark.createDataFrame([(7,), (12345,)], "n int")
+    out = export.artifact_manifest(df, base=F.lit("x"), extension=F.lit("png"), content=F.lit("c"), number=F.col("n"), digits=F.lit(3))
+    assert [r.artifact for r in out.orderBy("n").collect()] == ["x[007].png", "x[12345].png"]

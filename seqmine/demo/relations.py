@@ -267,7 +267,7 @@ found AS (
 
 
 def template_matches(spark, d):
-    frames, _ = _frames(spark, d)
+    frames = cut(_frames(spark, d)[0])
     first = frames.groupBy("src", "kind").agg(F.min("start").alias("_s"))
     rel = frames.join(first, ["src", "kind"]).select("src", "kind", (F.col("start") - F.col("_s")).alias("start"),
                                                      (F.col("end") - F.col("_s")).alias("end"))

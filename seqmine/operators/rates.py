@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqmine.functions.rational import rational, whole_div
-from seqmine.plans.blocks import Run, last_where
+from seqmine.plans.blocks import Run, last_where, null_safe_join
 from seqmine.session import cut
 
 WORD = 62
 EARLY = 4
+GROWTH = 16
+#: Neighbouring intervals of one start that are listed in a row before they are packed.
+LISTED = 4096
 
 
 @dataclass(frozen=True)
@@ -61,54 +64,96 @@ def frame_gaps(frames: DataFrame, run: Run) -> DataFrame:
             .select(*run.keys, "n", (F.col("prev.end") + 1).alias("lo"), F.col("start").alias("hi")))
 
 
-def infer_interval(frames: DataFrame, run: Run) -> DataFrame:
-    """Largest constant interval n that puts a frame start into every gap.
-
-    A hypothesis is a start p of frame 2 inside its gap and an interval n >= 2 that
-    fits before frame 3; it holds if every later gap contains p plus a multiple of n.
-    If none holds the interval is 1; runs of fewer than three frames give nothing.
-
-    An interval no longer than the shortest later gap always holds, so only longer
-    ones are tried, and most of those fall to the first ``EARLY`` gaps, which are kept
-    beside the hypothesis.  The rest are packed ``WORD`` to a row; each gap yields one
-    bit mask per row and the masks are combined by a map-side ``bit_and``.
-    """
-    keys = list(run.keys)
-    gaps = cut(frame_gaps(frames, run))
+def first_gaps(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per run what the hypotheses start from: gap 1 (``p_lo`` to ``p_hi``), the end of gap 2 (``third``), the width of the shortest later
+    gap (``sure``), the narrowest of the ``EARLY`` gaps from gap 2 on (``near``), and these gaps as columns; runs of two gaps or more."""
     at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
-    later = F.col("n") >= 2
-    early = gaps.groupBy(*keys).agg(
+    later, close = F.col("n") >= 2, F.col("n").between(2, 1 + EARLY)
+    return gaps.groupBy(*keys).agg(
         at(1, "lo").alias("p_lo"), at(1, "hi").alias("p_hi"), at(2, "hi").alias("third"),
         F.min(F.when(later, F.col("hi") - F.col("lo") + 1)).alias("sure"),
+        F.min(F.when(close, F.struct((F.col("hi") - F.col("lo") + 1).alias("width"), "lo", "hi"))).alias("near"),
         *[at(n, c).alias(f"{c}{n}") for n in range(2, 2 + EARLY) for c in ("lo", "hi")],
     ).where("third is not null")
 
-    tried = (early.withColumn("p", F.explode(F.sequence("p_lo", "p_hi")))
-             .where(F.col("third") - F.col("p") > F.greatest("sure", F.lit(1)))
-             .withColumn("n", F.explode(F.sequence(F.greatest(F.col("sure") + 1, F.lit(2).cast("bigint")),
-                                                   F.col("third") - F.col("p")))))
-    holds = lambda p, n, lo, hi: whole_div(hi - p, n) * n >= lo - p
+
+def _holds(p: Column, n: Column, lo: Column, hi: Column) -> Column:
+    return whole_div(hi - p, n) * n >= lo - p
+
+
+def hypotheses(early: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Starts ``p`` and intervals ``n`` that hold in the first ``EARLY`` gaps.
+
+    Only intervals that fit the narrowest of these gaps are listed at all: those not longer than it, and for each multiple k
+    the few that put p plus k intervals into it.
+    """
+    p = early.withColumn("p", F.explode(F.sequence("p_lo", "p_hi")))
+    p = p.withColumn("_least", F.greatest(F.col("sure") + 1, F.lit(2).cast("bigint"))).withColumn("_most", F.col("third") - F.col("p"))
+    width = F.col("near.width")
+    none = "cast(array() as array<struct<a: bigint, b: bigint>>)"
+    ks = F.expr(f"""if(near.hi - p > near.width,
+        transform(sequence(1L, (near.hi - p) div (near.width + 1)),
+                  k -> struct(greatest(_least, near.width + 1, -((p - near.lo) div k) + if(pmod(near.lo - p, k) > 0, 1L, 0L)) AS a,
+                              least(_most, (near.hi - p) div k) AS b)),
+        {none})""")
+    span = lambda most: F.array(F.struct(F.col("_least").alias("a"), most.alias("b")))
+    # A far gap has more multiples than there are intervals to try.
+    far = F.expr("(near.hi - p) div (near.width + 1) > _most")
+    spans = F.when(far, span(F.col("_most"))).otherwise(F.concat(span(F.least("_most", width)), ks))
+    tried = (p.withColumn("_r", F.explode(F.filter(spans, lambda r: r["a"] <= r["b"])))
+             .withColumn("n", F.explode(F.sequence("_r.a", "_r.b"))))
     for i in range(2, 2 + EARLY):
-        tried = tried.where(F.col(f"lo{i}").isNull()
-                            | holds(F.col("p"), F.col("n"), F.col(f"lo{i}"), F.col(f"hi{i}")))
-    # All intervals of one start p; their number is bounded by the width of two gaps.
-    words = (tried.groupBy(*keys, "p").agg(F.sort_array(F.collect_list("n")).alias("_ns"))
+        tried = tried.where(F.col(f"lo{i}").isNull() | _holds(F.col("p"), F.col("n"), F.col(f"lo{i}"), F.col(f"hi{i}")))
+    return tried.select(*keys, "p", "n")
+
+
+def survivors(alive: DataFrame, gaps: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
+    """Hypotheses that also hold in the gaps numbered from ``low`` to below ``high``.
+
+    ``WORD`` of them travel in a row; each gap yields a bit mask per row and the masks are combined by a map-side ``bit_and``.
+    """
+    keys = list(keys)
+    words = (alive.groupBy(*keys, "p", F.expr(f"n div {LISTED}").alias("_part")).agg(F.sort_array(F.collect_list("n")).alias("_ns"))
              .withColumn("_from", F.explode(F.sequence(F.lit(1), F.size("_ns"), F.lit(WORD))))
-             .withColumn("ns", F.slice("_ns", F.col("_from"), WORD))
-             .select(*keys, "p", "_from", "ns"))
-    rest = gaps.where(F.col("n") >= 2 + EARLY).select(*keys, "lo", "hi")
+             .select(*keys, "p", "_part", "_from", F.slice("_ns", F.col("_from"), WORD).alias("ns")))
+    rest = gaps.where(F.col("n").between(low, high - 1)).select(*keys, "lo", "hi", F.lit(True).alias("_gap"))
     one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     mask = F.aggregate("ns", zero, lambda acc, n: acc * 2 + F.when(
-        F.col("lo").isNull() | holds(F.col("p"), n, F.col("lo"), F.col("hi")), one).otherwise(zero))
-    # The lowest set bit belongs to the last, largest interval of the word.
-    low = F.col("_m").bitwiseAND(-F.col("_m"))
-    last = F.size("ns") - F.length(F.bin(low)) + 1
-    found = (words.join(rest, keys, "left").withColumn("_m", mask)
-             .groupBy(*keys, "p", "_from").agg(F.bit_and("_m").alias("_m"), F.first("ns").alias("ns"))
-             .where("_m <> 0").groupBy(*keys).agg(F.max(F.element_at("ns", last)).alias("_n")))
+        F.col("_gap").isNull() | _holds(F.col("p"), n, F.col("lo"), F.col("hi")), one).otherwise(zero))
+    # Runs without such a gap keep their hypotheses; null keys are keys like others.
+    meet = null_safe_join(words, rest, keys, "left")
+    return (meet.withColumn("_m", mask).groupBy(*keys, "p", "_part", "_from").agg(F.bit_and("_m").alias("_m"), F.first("ns").alias("ns"))
+            .where("_m <> 0")
+            .select(*keys, "p", F.explode(F.expr("filter(ns, (n, i) -> (shiftright(_m, size(ns) - 1 - i) & 1) = 1)")).alias("n")))
+
+
+def infer_interval(frames: DataFrame, run: Run) -> DataFrame:
+    """Largest constant interval n that puts a frame start into every gap.
+
+    A hypothesis is a start p of frame 2 inside its gap and an interval n >= 2 that
+    fits before frame 3; it holds if every later gap contains p plus a multiple of n.
+    If none holds the interval is 1; runs of fewer than three frames give nothing.
+
+    An interval no longer than the shortest later gap always holds, so only longer ones are tried.  Those that fit the first
+    ``EARLY`` gaps meet the others in rounds of ``GROWTH`` times as many gaps; each round reads only what the rounds before left.
+    """
+    keys = list(run.keys)
+    gaps = cut(frame_gaps(frames, run))
+    early = cut(first_gaps(gaps, keys))
+    alive = hypotheses(early, keys)
+    last = gaps.agg(F.max("n")).first()[0] or 0
+    low, high = 2 + EARLY, EARLY * GROWTH
+    while low <= last:
+        alive = survivors(alive, gaps, keys, low, high)
+        low, high = high, high * GROWTH
+        if low <= last:
+            alive = cut(alive)
+            if alive.isEmpty():
+                break
+    found = alive.groupBy(*keys).agg(F.max("n").alias("_n"))
     sure = F.least(F.col("sure"), F.col("third") - F.col("p_lo"))
-    return (early.select(*keys, sure.alias("sure")).join(found, keys, "left")
-            .select(*keys, F.greatest(F.col("_n"), F.col("sure"), one).alias("interval")))
+    return (null_safe_join(early.select(*keys, sure.alias("sure")), found, keys, "left")
+            .select(*keys, F.greatest(F.col("_n"), F.col("sure"), F.lit(1).cast("bigint")).alias("interval")))
 
 
 def choose_rate(frames: DataFrame, run: Run, templates: Sequence[Template] = ()) -> DataFrame:
@@ -118,16 +163,17 @@ def choose_rate(frames: DataFrame, run: Run, templates: Sequence[Template] = ())
     template, then the constant interval, then length over count.
     """
     keys = list(run.keys)
+    frames = cut(frames)
     total = frames.groupBy(*keys).agg(F.min("start").alias("_s"), F.max("end").alias("_e"),
                                       F.count(F.lit(1)).alias("frames"))
     total = total.withColumn("length", F.col("_e") - F.col("_s") + 1)
-    out = total.join(infer_interval(frames, run), keys, "left")
+    out = null_safe_join(total, infer_interval(frames, run), keys, "left")
     if templates:
         first = total.select(*keys, "_s")
-        relative = frames.join(first, keys).select(*keys, (F.col("start") - F.col("_s")).alias("start"),
+        relative = null_safe_join(frames, first, keys).select(*keys, (F.col("start") - F.col("_s")).alias("start"),
                                                    (F.col("end") - F.col("_s")).alias("end"))
-        out = out.join(match_template(relative, templates, keys=keys)
-                       .select(*keys, F.col("num").alias("_tn"), F.col("den").alias("_td")), keys, "left")
+        out = null_safe_join(out, match_template(relative, templates, keys=keys)
+                             .select(*keys, F.col("num").alias("_tn"), F.col("den").alias("_td")), keys, "left")
     else:
         out = out.withColumn("_tn", F.lit(None).cast("bigint")).withColumn("_td", F.lit(None).cast("bigint"))
     one = F.lit(1).cast("bigint")

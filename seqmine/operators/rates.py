@@ -42,11 +42,11 @@ def match_template(frames: DataFrame, templates: Sequence[Template], *,
     rows = frames.where(F.col("start") > 0)
     tests = []
     for i, t in enumerate(templates):
-        ends: list[int | None] = [None] * (max((a for a, _ in t.slots), default=0) + 1)
+        ends = [-1] * (max((a for a, _ in t.slots), default=0) + 1)
         for a, b in t.slots:
-            ends[a] = b if ends[a] is None else max(ends[a], b)
-        table = F.split(F.lit(",".join("" if e is None else str(e) for e in ends)), ",")
-        table = F.transform(table, lambda x: x.try_cast("bigint"))
+            ends[a] = max(ends[a], b)
+        # The optimizer turns this into a literal; no frame ends at -1.
+        table = F.split(F.lit(",".join(map(str, ends))), ",").cast("array<bigint>")
         phase = F.col("start") if t.loop is None else F.pmod(F.col("start"), F.lit(t.loop).cast("bigint"))
         last = F.when(phase < len(ends), F.get(table, phase.cast("int")))
         fits = F.coalesce(F.col("end") - F.col("start") + phase <= last, F.lit(False))

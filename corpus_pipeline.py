@@ -1,7 +1,7 @@
 """A corpus pipeline over ``documents``: quality classifier, quality rules, near-duplicates, packing.
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as Parquet and read again as the next one's ``docs``.  All
-but the last return the columns of ``docs``.
+but the last return the columns of ``docs``.  Stages that run Python keep the session's Arrow batches at 1,000 rows.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqmine.llm import minhash, packing, quality_model, quality_rules, queries
-from seqmine.llm.storage import small_side, written
+from seqmine.llm.storage import small_batches, small_side, written
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on ``labels``, does not reject; null and empty texts are judged like others."""
+    small_batches(spark)
     found = quality_model.classify(docs, queries.table(spark, sf_dir, "labels"))
     return found.where("kept").select(*docs.columns)
 
@@ -30,6 +31,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is compared, also one without a key; rows that share a key are told apart, so two texts under one key both stay unless they are alike.
     Such rows get numbers behind all keys, in no fixed order.
     """
+    small_batches(spark)
     keys = docs.groupBy("doc_id").count()
     shared = written(keys.where("count > 1 and doc_id is not null").select("doc_id", F.lit(True).alias("_shared")), "shared")
     known = docs.agg(F.max("doc_id").alias("last"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
@@ -44,7 +46,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences; a null text is an empty one and still has its end mark.  Rows that share a key are packed one by one."""
-    return queries.pieces(packing.pack(docs))
+    small_batches(spark)
+    return queries.pieces(packing.pack(docs, keep_units=False))
 
 
 STAGES = [("quality classifier", classified), ("quality rules", clean), ("near duplicates", distinct), ("packing", packed)]

@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqmine.llm.storage import give_back
 from seqmine.llm.tokens import default_tokenizer, encoder, text_batches
 
 WINDOW = 2048
@@ -105,13 +106,14 @@ def _settle(pieces: list[tuple], fill: list[int], window: int) -> list[tuple]:
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = 1,
-         tokenizer: str | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+         tokenizer: str | None = None, group_tokens: int = GROUP_TOKENS, keep_units: bool = True) -> DataFrame:
     """One row per piece: key, ``start`` (ids of its document before it), ``length``, ``ids`` (little-endian 32-bit),
     ``doc_tokens`` (with the end id), ``sequence_id`` and ``offset`` in the sequence.
 
     ``window`` is a power of two.  A null text is empty and gives its end id alone; a null key stays null; repeated rows
     are packed each; an empty table gives no rows; other columns are not read.  Sequence ids are unique, not
-    consecutive: the task's number, then the sequence's.
+    consecutive: the task's number, then the sequence's.  Without ``keep_units`` a task empties its worker's table of units at its end:
+    slower, and leaves the memory to other stages.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
@@ -160,5 +162,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
                     yield out
         if keys:
             yield flush(keys, kind_of_key, ids, first)[0]
+        if not keep_units:
+            keys, ids = [], []
+            enc.forget()
+            give_back()
 
     return rows.mapInArrow(run, schema)

@@ -1,10 +1,12 @@
-"""Tables and files in the folder that the driver and all executors share."""
+"""Tables and files in the folder that the driver and all executors share, and what workers give back."""
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,23 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows in the batches that travel to Python: whole texts are wide, and both sides hold a batch at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the machine; workers live on, idle, while other stages need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 

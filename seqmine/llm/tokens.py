@@ -96,6 +96,10 @@ class Encoder:
             out[k] = found
         return out
 
+    def forget(self) -> None:
+        """Empties the table of units."""
+        self._units = {}
+
     def decode(self, ids: list[int]) -> str:
         """Text of ids as the library decodes them, special tokens included; ids outside the vocabulary give nothing."""
         try:

@@ -172,6 +172,21 @@ def tree(spark, d):
     return iv.resolve_tree(t, correction=2)
 
 
+def extents(spark, d):
+    """A disc per region: nations are folders of two records, customers files in them, some in a record that no folder has."""
+    region, nation, cust = (c.table(spark, d, n) for n in ("region", "nation", "customer"))
+    big = lambda e: F.expr(e).cast("bigint")
+    roots = region.select(big("r_regionkey").alias("src"), big("0").alias("node"), big("null").alias("record"), F.lit("disc").alias("name"),
+                          big("16").alias("start"), big("2048").alias("size"), F.lit(True).alias("folder"))
+    folders = nation.select(big("n_regionkey").alias("src"), big("1 + n_nationkey").alias("node"), big("18").alias("record"),
+                            F.col("n_name").alias("name"), big("100 + 10 * n_nationkey").alias("start"), big("4100").alias("size"), F.lit(True).alias("folder"))
+    files = cust.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        big("n_regionkey").alias("src"), big("1000 + c_custkey").alias("node"), big("102 + 10 * n_nationkey + c_custkey % 3").alias("record"),
+        F.expr("if(c_custkey % 13 = 0, '.', c_name)").alias("name"), big("1000 + c_custkey * 10").alias("start"),
+        big("case when c_custkey % 7 = 0 then 0 when c_custkey % 11 = 0 then 4398046511104 else c_custkey * 1000 end").alias("size"), F.lit(False).alias("folder"))
+    return iv.resolve_extents(roots.unionByName(folders).unionByName(files), correction=2)
+
+
 def tree_ids(spark, d):
     region, nation, cust = (c.table(spark, d, n) for n in ("region", "nation", "customer"))
     big = lambda *cols: F.array(*[F.col(x).cast("bigint") for x in cols])
@@ -335,6 +350,17 @@ def anomalies(spark, d):
     return it.anomaly_counts(it.anomaly_report([gaps, holes, faults, corrupt]))
 
 
+def fault_rows(spark, d):
+    """Every fault as a row of its own; frames are checked against counts that some of them exceed."""
+    big = lambda df, src: df.withColumn("src_", F.col(src).cast("bigint"))
+    gaps = it.anomalies("gap", big(segments.continuity(spark, d), "src"), src="src_", pos="pos", detail=F.col("previous"))
+    holes = it.anomalies("missing chunk", big(segments.missing(spark, d), "l_orderkey"), src="src_", pos="missing", detail=F.col("missing"))
+    faults = it.anomalies("boundary", big(violations(spark, d), "src"), src="src_", pos="c_start", detail=F.col("fault"))
+    formats = it.anomalies("format", big(segments.minority(spark, d), "src"), src="src_", pos="pos", detail=F.col("major_before"))
+    corrupt = it.anomalies("corrupt", big(segments.short_frames(spark, d).where("corrupt"), "src"), src="src_", pos="start", detail=F.col("frame"))
+    return it.anomaly_report([gaps, holes, faults, formats, corrupt])
+
+
 def _replacements(spark, d):
     p = c.table(spark, d, "part")
     first = p.where("p_size > 40").select("p_partkey", F.lit(1).alias("entry"), (F.col("p_retailprice") * 2).alias("price"))
@@ -431,6 +457,7 @@ QUERIES = {
     "mark_silent_pieces": silent_pieces,
     "drop_silent_orphans": orphans,
     "resolve_tree": tree,
+    "resolve_extents": extents,
     "resolve_parents_by_id": tree_ids,
     "consensus": agreed,
     "longest_disjoint": disjoint,
@@ -447,6 +474,7 @@ QUERIES = {
     "timeline_range": timelines,
     "union_disjoint": unions,
     "anomaly_report": anomalies,
+    "anomaly_rows": fault_rows,
     "replace_rows": replaced,
     "unmatched_replacements": unmatched,
     "apply_patches": patched,
@@ -505,6 +533,21 @@ walk AS (
                             recursive=True) + """
 SELECT src, node, parent, name, st + 2 AS "start", size, path, depth,
        st + 2 + greatest(CAST(ceil(size / 2048) AS BIGINT), 1) - 1 AS "end" FROM walk""",
+    "resolve_extents": """
+WITH folders AS (SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(1 + n_nationkey AS BIGINT) AS node, n_name AS name,
+                        CAST(102 + 10 * n_nationkey AS BIGINT) AS st FROM nation),
+files AS (SELECT CAST(n_regionkey AS BIGINT) AS src, CAST(1000 + c_custkey AS BIGINT) AS node,
+                 CAST(102 + 10 * n_nationkey + c_custkey % 3 AS BIGINT) AS record, c_name AS name, CAST(1002 + c_custkey * 10 AS BIGINT) AS st,
+                 CAST(CASE WHEN c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 11 = 0 THEN 4398046511104 ELSE c_custkey * 1000 END AS BIGINT) AS size
+          FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 13 <> 0)
+SELECT CAST(r_regionkey AS BIGINT) AS src, CAST(0 AS BIGINT) AS node, CAST(NULL AS BIGINT) AS record, 'disc' AS name, CAST(18 AS BIGINT) AS "start",
+       CAST(2048 AS BIGINT) AS size, true AS folder, '' AS path, CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS fault, CAST(18 AS BIGINT) AS "end"
+FROM region
+UNION ALL SELECT src, node, 18, name, st, 4100, true, name, 1, NULL, st + 2 FROM folders
+UNION ALL SELECT f.src, f.node, record, f.name, f.st, size, false, d.name || '/' || f.name, 2,
+                 CASE WHEN size > 4398046509056 THEN 'impossible size' END,
+                 CASE WHEN size <= 4398046509056 THEN f.st + greatest((size + 2047) // 2048, 1) - 1 END
+FROM files f JOIN folders d ON f.src = d.src AND record BETWEEN d.st AND d.st + 1""",
     "resolve_parents_by_id": """
 WITH items AS (
   SELECT CAST(r_regionkey AS VARCHAR) AS tree, '' AS up FROM region WHERE r_name <> 'ASIA'
@@ -595,6 +638,15 @@ FROM l GROUP BY 1, 2""",
   UNION ALL SELECT 'boundary', src, c_start FROM violations
   UNION ALL SELECT 'corrupt', src, "start" FROM frames WHERE corrupt)
 SELECT kind, src, count(*) AS faults, min(pos) AS first_pos FROM report GROUP BY 1, 2""",
+    "anomaly_rows": c.with_(c.HOUR_EVENTS, c.DISC_LINES, segments.SHORT_FRAMES, c.ORDER_ITEMS, ORDERED, PARENTED, _VIOLATIONS) + f"""
+SELECT 'gap' AS kind, CAST(src AS BIGINT) AS src, CAST(pos AS BIGINT) AS pos, CAST(previous AS VARCHAR) AS detail FROM (
+  SELECT src, pos, header_pos, lag(header_pos) OVER (PARTITION BY src ORDER BY pos) AS previous
+  FROM (SELECT *, CASE WHEN event_type <> 'error' THEN event_id END AS header_pos FROM hour_events))
+WHERE header_pos IS NOT NULL AND previous IS NOT NULL AND header_pos <> previous + 1
+UNION ALL SELECT 'missing chunk', l_orderkey, missing, CAST(missing AS VARCHAR) FROM ({segments.ORACLES["missing_members"]})
+UNION ALL SELECT 'boundary', src, c_start, fault FROM violations
+UNION ALL SELECT 'format', src, pos, CAST(major_before AS VARCHAR) FROM ({segments.ORACLES["minority_kind"]})
+UNION ALL SELECT 'corrupt', src, "start", CAST(frame AS VARCHAR) FROM frames WHERE corrupt""",
     "replace_rows": """
 SELECT p_partkey, CASE WHEN p_size > 40 THEN p_retailprice * 2 WHEN p_type = 'PROMO' THEN p_retailprice * 3
                        ELSE p_retailprice END AS p_retailprice, p_size > 40 OR p_type = 'PROMO' AS replaced FROM part""",

@@ -74,6 +74,12 @@ def frames(spark, d):
     return seg.assemble_groups(rows, run)
 
 
+def short_frames(spark, d):
+    """Frames that expect two to five chunks, whatever they have."""
+    rows, run = c.disc_lines(spark, d)
+    return seg.assemble_groups(rows.withColumn("expected", 2 + F.col("frame") % 4), run)
+
+
 FRAMES = """breaks AS (
   SELECT *, CASE WHEN lag(frame) OVER w IS NULL OR frame <> lag(frame) OVER w OR chunk <= lag(chunk) OVER w
                    OR expected <> lag(expected) OVER w OR pos - lag(pos) OVER w >= 50 OR chunk >= expected
@@ -85,6 +91,7 @@ frames AS (
          count(*) AS chunks, min(chunk) AS first_chunk, max(chunk) AS last_chunk,
          min(chunk) >= min(expected) AS corrupt
   FROM numbered GROUP BY src, seg)"""
+SHORT_FRAMES = "short_lines AS (SELECT * REPLACE (2 + frame % 4 AS expected) FROM disc_lines),\n" + FRAMES.replace("disc_lines", "short_lines")
 
 
 def videos(spark, d):

@@ -181,28 +181,67 @@ def resolve_tree(nodes: DataFrame, *, src: str = "src", node: str = "node", pare
     tree costs its logarithm.  Nodes still unresolved when a round resolves nothing
     more are cycles or orphans and are left out.
     """
-    usable = nodes.where(~F.col(name).isin(".", "..") & (F.col(start) != 0))
-    state = cut(usable.select(src, F.col(node).alias("_n"), F.col(parent).alias("_up"),
-                              F.col(name).alias("_path"), F.lit(1).cast("bigint").alias("_depth")))
+    usable = nodes.where(~F.col(name).isin(".", "..") & (F.col(start) != 0)).withColumn("_k", F.struct(src, node))
+    up = F.when(F.col(parent).isNotNull(), F.struct(F.col(src), F.col(parent).alias(node)))
+    done = (_paths(usable.select("_k", up.alias("_up"), F.col(name).alias("_path")), "_k", "_up", "_path")
+            .select("_k", F.col("_path").alias("path"), F.col("_depth").alias("depth")))
+    records = F.greatest(F.ceil(F.col(size) / 2048), F.lit(1))
+    return (usable.join(done, "_k").drop("_k")
+            .withColumn(start, F.col(start) + correction)
+            .withColumn("end", F.col(start) + records - 1))
+
+
+def _paths(links: DataFrame, node: str, up: str, path: str) -> DataFrame:
+    """``node``, ``path`` from its root and ``_depth`` of all nodes that hang on one; ``up`` is null in a root.
+
+    Nodes are structs of their keys, which are never null, so sources with a null name are joined by plain equality.
+    """
+    state = cut(links.select(F.col(node).alias("_n"), F.col(up).alias("_up"), F.col(path).alias("_path"), F.lit(1).cast("bigint").alias("_depth")))
     open_before = -1
     while True:
         left = state.where(F.col("_up").isNotNull()).count()
         if left == 0 or left == open_before:
             break
         open_before = left
-        above = state.select(src, F.col("_n").alias("_up"), F.col("_up").alias("_far"),
-                             F.col("_path").alias("_above"), F.col("_depth").alias("_more"),
-                             F.lit(True).alias("_found"))
-        hop = state.where(F.col("_up").isNotNull()).join(above, [src, "_up"], "inner").select(
-            src, "_n", F.col("_far").alias("_up"), F.concat_ws("/", "_above", "_path").alias("_path"),
+        above = state.select(F.col("_n").alias("_up"), F.col("_up").alias("_far"),
+                             F.col("_path").alias("_above"), F.col("_depth").alias("_more"))
+        hop = state.where(F.col("_up").isNotNull()).join(above, "_up").select(
+            "_n", F.col("_far").alias("_up"), F.concat_ws("/", "_above", "_path").alias("_path"),
             (F.col("_depth") + F.col("_more")).alias("_depth"))
         state = cut(state.where(F.col("_up").isNull()).unionByName(hop))
-    records = F.greatest(F.ceil(F.col(size) / 2048), F.lit(1))
-    done = state.where(F.col("_up").isNull()).select(
-        src, F.col("_n").alias(node), F.col("_path").alias("path"), F.col("_depth").alias("depth"))
-    return (usable.join(done, [src, node])
-            .withColumn(start, F.col(start) + correction)
-            .withColumn("end", F.col(start) + records - 1))
+    return state.where(F.col("_up").isNull()).select(F.col("_n").alias(node), F.col("_path").alias(path), "_depth")
+
+
+def resolve_extents(entries: DataFrame, *, src: str = "src", node: str = "node", record: str = "record", name: str = "name",
+                    start: str = "start", size: str = "size", folder: str = "folder", correction: int = 0,
+                    last_position: int = (1 << 31) - 1) -> DataFrame:
+    """Paths and record ranges of a tree whose folders name no children, only the records that list them.
+
+    An entry stands in ``record``, and belongs to the folder whose range holds that record: the whole 2048-byte records of its ``size`` from
+    ``start`` plus ``correction`` on.  A root stands in no record; its name is in no path.  Where folders overlap, an entry belongs to the one
+    that starts last, then to the smallest node.  ``.``, ``..`` and folders at 0 or without a whole record are skipped, so is what hangs on
+    no root or on a cycle.  A file without bytes still takes one record.  A file that reaches past ``last_position`` is reported with
+    ``fault`` and has no ``end``.  Null keys are a source of their own.
+    """
+    at, records = F.col(start) + correction, F.ceil(F.col(size) / 2048).cast("bigint")
+    root = F.col(record).isNull()
+    usable = entries.where((root | ~F.col(name).isin(".", "..")) & (~F.col(folder) | ((F.col(start) != 0) & (F.col(size) >= 2048))))
+    usable = cut(usable.withColumn("_s", F.struct(src)).withColumn("_k", F.struct(src, node)))
+    folders = usable.where(folder).select("_s", F.col("_k").alias("_up"), at.alias("_first"), (at + F.floor(F.col(size) / 2048) - 1).alias("_last"))
+    places = usable.where(~root).select("_s", F.col(record).alias("_at")).distinct()
+    held = overlap_pairs(places, folders, ["_s"], ("_at", "_at"), ("_first", "_last"), a_points=True)
+    # The latest start first, then the smallest node.
+    owner = held.groupBy("_s", "_at").agg(F.min(F.struct((-F.col("_first")).alias("f"), F.col("_up").alias("u"))).alias("_o"))
+    linked = (usable.where(~root).join(owner, (usable["_s"] == owner["_s"]) & (F.col(record) == F.col("_at"))).drop(owner["_s"])
+              .select("_k", F.col("_o.u").alias("_up"), F.col(name).alias("_path")))
+    tops = usable.where(root).select("_k", F.lit(None).cast(linked.schema["_up"].dataType).alias("_up"), F.lit("").alias("_path"))
+    paths = (_paths(linked.unionByName(tops), "_k", "_up", "_path")
+             .select("_k", F.regexp_replace("_path", "^/", "").alias("path"), (F.col("_depth") - 1).alias("depth")))
+    out = usable.join(paths, "_k").drop("_k", "_s")
+    impossible = ~F.col(folder) & ((F.col(start) > last_position) | (records > last_position) | (F.col(start) + records > last_position))
+    return (out.withColumn("fault", F.when(impossible, "impossible size"))
+            .withColumn("end", F.when(F.col("fault").isNull(), at + F.greatest(records, F.lit(1)) - 1))
+            .withColumn(start, at))
 
 
 def resolve_parents_by_id(items: DataFrame, *, path: str = "path", tree: str = "tree") -> DataFrame:

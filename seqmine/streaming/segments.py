@@ -9,14 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-SEGMENT_SCHEMA = ("src bigint, channel bigint, start bigint, end bigint, records bigint, stride bigint, "
-                  "fmt boolean, sounding bigint")
-PAIR_SCHEMA = "src bigint, left_pos bigint, right_pos bigint, left_value bigint, right_value bigint"
+from pyspark.sql.types import DataType, IntegralType, LongType, StructField, StructType
 
 
 def stream_gap_segments(sdf: DataFrame, *, keys: Sequence[str] = ("src",), ts: str = "ts",
@@ -30,44 +30,76 @@ def stream_gap_segments(sdf: DataFrame, *, keys: Sequence[str] = ("src",), ts: s
 class _Ordered(StatefulProcessor):
     """Holds rows back until the watermark has passed them, then hands them on in order.
 
-    Waiting rows are bounded by the watermark delay.  ``close_after`` is the event
-    time in milliseconds after which an open result is given out by a timer.
+    Waiting rows are bounded by the watermark delay and lie in buckets of event time, as Arrow tables; a timer reads the buckets that
+    are due and leaves the others alone.  A key has one timer, for its next bucket or for the time after which its open result is
+    given out.
     """
 
-    row_schema: str
-    open_schema: str
+    def __init__(self, columns: StructType, opened: str, out: StructType, bucket_ms: int):
+        self.names, self.opened, self.out, self.bucket_ms = columns.names, opened, out, bucket_ms
+        self.arrow = to_arrow_schema(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row_schema)
-        self.open = handle.getValueState("open", self.open_schema)
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
+        self.open = handle.getValueState("open", self.opened)
+        self.timer = handle.getValueState("timer", "at long, parts long")
+
+    def _wake(self, at: int | None, parts: int) -> None:
+        """One timer at ``at`` (none if null) in place of the one that was set."""
+        before = self.timer.get()[0] if self.timer.exists() else None
+        if before != at:
+            if before is not None:
+                self.handle.deleteTimer(int(before))
+            if at is not None:
+                self.handle.registerTimer(int(at))
+        if at is None:
+            self.timer.clear()
+        else:
+            self.timer.update((int(at), parts))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = [c.strip().split(" ")[0] for c in self.row_schema.split(",")]
+        at, parts = tuple(self.timer.get()) if self.timer.exists() else (None, 0)
         for pdf in rows:
-            new = [tuple(r) for r in pdf[columns].itertuples(index=False)]
-            if new:
-                self.waiting.appendList(new)
-                self.handle.registerTimer(int(min(r[0] for r in new)) + 1)
+            if not len(pdf):
+                continue
+            table = pa.Table.from_pandas(pdf[self.names], schema=self.arrow, preserve_index=False)
+            bucket = table.column("at").to_numpy() // self.bucket_ms
+            for b in np.unique(bucket).tolist():
+                part = table.filter(pa.array(bucket == b))
+                self.waiting.updateValue((b, parts), (_packed(part),))
+                parts += 1
+                soon = int(part.column("at").to_numpy().min()) + 1
+                at = soon if at is None else min(at, soon)
+        if at is not None:
+            self._wake(at, parts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Everything up to the watermark has arrived, so one timer handles all of it.
         now = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted(tuple(r) for r in rows if r[0] <= now)
-        if due:
-            rest = [tuple(r) for r in rows if r[0] > now]
-            if rest:
-                self.waiting.put(rest)
-                self.handle.registerTimer(int(min(r[0] for r in rest)) + 1)
+        parts = self.timer.get()[1] if self.timer.exists() else 0
+        due, later = [], []
+        for b, n in sorted(tuple(k) for k in self.waiting.keys()) if self.waiting.exists() else []:
+            if b * self.bucket_ms > now:
+                later.append(b * self.bucket_ms)
+                continue
+            table = pa.ipc.open_stream(self.waiting.getValue((b, n))[0]).read_all()
+            ready = table.column("at").to_numpy() <= now
+            due.append(table.filter(pa.array(ready)))
+            if ready.all():
+                self.waiting.removeKey((b, n))
             else:
-                self.waiting.clear()
+                rest = table.filter(pa.array(~ready))
+                self.waiting.updateValue((b, n), (_packed(rest),))
+                later.append(int(rest.column("at").to_numpy().min()))
         state = tuple(self.open.get()) if self.open.exists() else None
         before = state
         out = []
-        for row in due:
-            state = self.step(key, state, row, out)
+        if due:
+            table = pa.concat_tables(due).sort_by([("at", "ascending"), ("pos", "ascending")])
+            for row in zip(*(table.column(c).to_pylist() for c in self.names)):
+                state = self.step(key, state, row, out)
         if state is not None and self.deadline(state) <= now:
             self.emit(key, state, out)
             state = None
@@ -76,22 +108,33 @@ class _Ordered(StatefulProcessor):
                 self.open.clear()
         elif state != before:
             self.open.update(state)
-            self.handle.registerTimer(self.deadline(state))
+        wake = [min(later) + 1] if later else []
+        wake += [self.deadline(state)] if state is not None else []
+        self._wake(min(wake, default=None), parts)
         if out:
             yield self.frame(out)
 
+    def frame(self, out) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=self.out.names, dtype=object)
+        return pdf.astype({f.name: "Int64" for f in self.out if isinstance(f.dataType, IntegralType)})
+
     def close(self) -> None:
         """Nothing is held outside the state store."""
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
 class StrideProcessor(_Ordered):
     """Constant-stride streams; the rules of the batch operator, one record at a time."""
 
-    row_schema = "at long, pos long, stream boolean, end_mark boolean, fmt boolean, silent boolean"
-    open_schema = ("at long, start long, end long, records long, stride long, fmt boolean, "
-                   "sounding long")
-
-    def __init__(self, legal: Sequence[int], unit_ms: int):
+    def __init__(self, columns: StructType, out: StructType, legal: Sequence[int], unit_ms: int, bucket_ms: int):
+        kind = columns["fmt"].dataType.simpleString()
+        super().__init__(columns, f"at long, start long, end long, records long, stride long, fmt {kind}, sounding long", out, bucket_ms)
         self.legal, self.unit_ms = frozenset(legal), unit_ms
 
     def deadline(self, state) -> int:
@@ -121,18 +164,12 @@ class StrideProcessor(_Ordered):
         if records > 1 or sounding > 0:
             out.append((key[0], key[1], start, end, records, None if stride < 0 else stride, fmt, sounding))
 
-    def frame(self, out) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=["src", "channel", "start", "end", "records", "stride", "fmt", "sounding"])
-        return pdf.astype({"stride": "Int64"})
-
 
 class PairProcessor(_Ordered):
     """A left row waits for the right row at the next position."""
 
-    row_schema = "at long, pos long, is_left boolean, value long"
-    open_schema = "at long, pos long, value long"
-
-    def __init__(self, unit_ms: int):
+    def __init__(self, columns: StructType, out: StructType, unit_ms: int, bucket_ms: int):
+        super().__init__(columns, f"at long, pos long, value {columns['value'].dataType.simpleString()}", out, bucket_ms)
         self.unit_ms = unit_ms
 
     def deadline(self, state) -> int:
@@ -155,27 +192,38 @@ class PairProcessor(_Ordered):
     def emit(self, key, state, out) -> None:
         out.append((key[0], state[1], None, state[2], None))
 
-    def frame(self, out) -> pd.DataFrame:
-        columns = ["src", "left_pos", "right_pos", "left_value", "right_value"]
-        return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns})
+
+def _typed(fields: Sequence[tuple[str, DataType]]) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields])
+
+
+def _rows(sdf: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str, delay: str) -> tuple[DataFrame, StructType]:
+    """The watermarked rows with ``at`` in milliseconds, and the columns that wait in the state."""
+    rows = sdf.withWatermark(ts, delay).select(*keys, ts, F.unix_millis(ts).alias("at"), F.col("pos").cast("long").alias("pos"), *columns)
+    return rows, _typed([(n, rows.schema[n].dataType) for n in ("at", "pos", *columns)])
 
 
 def stream_segments(sdf: DataFrame, *, legal: Sequence[int] = tuple(range(1, 9)), unit_ms: int,
-                    ts: str = "ts", delay: str = "1 hour") -> DataFrame:
+                    ts: str = "ts", delay: str = "1 hour", bucket_ms: int | None = None) -> DataFrame:
     """Constant-stride segments of a stream of ``src, channel, pos, stream, end_mark, fmt, silent``.
 
-    ``unit_ms`` is the event time between neighbouring positions.
+    ``unit_ms`` is the event time between neighbouring positions, ``bucket_ms`` that of a bucket of waiting rows (16 positions).
+    ``src``, ``channel`` and ``fmt`` may have any type and keep it.
     """
-    rows = (sdf.withWatermark(ts, delay)
-            .withColumn("at", F.unix_millis(ts)))
+    rows, columns = _rows(sdf, ("src", "channel"), ("stream", "end_mark", "fmt", "silent"), ts, delay)
+    whole = LongType()
+    out = _typed([("src", sdf.schema["src"].dataType), ("channel", sdf.schema["channel"].dataType), ("start", whole), ("end", whole),
+                  ("records", whole), ("stride", whole), ("fmt", sdf.schema["fmt"].dataType), ("sounding", whole)])
     return rows.groupBy("src", "channel").transformWithStateInPandas(
-        statefulProcessor=StrideProcessor(legal, unit_ms), outputStructType=SEGMENT_SCHEMA,
+        statefulProcessor=StrideProcessor(columns, out, legal, unit_ms, bucket_ms or 16 * unit_ms), outputStructType=out,
         outputMode="Append", timeMode="EventTime")
 
 
-def stream_pairs(sdf: DataFrame, *, unit_ms: int, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Adjacent left/right pairs of a stream of ``src, pos, is_left, value``."""
-    rows = sdf.withWatermark(ts, delay).withColumn("at", F.unix_millis(ts))
+def stream_pairs(sdf: DataFrame, *, unit_ms: int, ts: str = "ts", delay: str = "1 hour", bucket_ms: int | None = None) -> DataFrame:
+    """Adjacent left/right pairs of a stream of ``src, pos, is_left, value``; ``src`` and ``value`` keep their types."""
+    rows, columns = _rows(sdf, ("src",), ("is_left", "value"), ts, delay)
+    value, whole = sdf.schema["value"].dataType, LongType()
+    out = _typed([("src", sdf.schema["src"].dataType), ("left_pos", whole), ("right_pos", whole), ("left_value", value), ("right_value", value)])
     return rows.groupBy("src").transformWithStateInPandas(
-        statefulProcessor=PairProcessor(unit_ms), outputStructType=PAIR_SCHEMA,
+        statefulProcessor=PairProcessor(columns, out, unit_ms, bucket_ms or 16 * unit_ms), outputStructType=out,
         outputMode="Append", timeMode="EventTime")

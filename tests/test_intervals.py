@@ -80,6 +80,23 @@ def test_tree_with_cycle_and_orphan(spark):
     assert (got[5].start, got[5].end, got[302].end) == (10, 11, 7)
 
 
+def test_tree_by_extents(spark):
+    rows = [("d", 0, None, "disc", 16, 2048, True)]
+    rows += [("d", k, 17 + 3 * k, f"f{k}", 20 + 3 * k, 2 * 2048, True) for k in range(1, 30)]  # a chain, each in the folder before it
+    rows[1] = ("d", 1, 16, "f1", 23, 2 * 2048, True)
+    rows += [("d", 50, 24, "second", 900, 1, False), ("d", 51, 25, "between", 900, 1, False), ("d", 52, 23, "..", 23, 4096, True),
+             ("d", 53, 23, "huge", 5, 1 << 42, False), ("d", 54, 23, "none", 0, 0, False), ("d", 55, 23, "small", 23, 2047, True),
+             ("d", 60, 7000, "a", 7100, 2048, True), ("d", 61, 7100, "b", 7000, 2048, True),  # each in the other
+             (None, 0, None, "disc", 16, 2048, True), (None, 9, 16, "x", 40, 2049, False)]
+    df = spark.createDataFrame(rows, "src string, node long, record long, name string, start long, size long, folder boolean")
+    got = {(r.src, r.node): r for r in iv.resolve_extents(df).collect()}
+    assert set(got) == {("d", k) for k in [*range(30), 50, 53, 54]} | {(None, 0), (None, 9)}
+    assert got["d", 29].path == "/".join(f"f{k}" for k in range(1, 30)) and got["d", 29].depth == 29
+    assert got["d", 50].path == "f1/second" and got["d", 0].path == ""
+    assert (got["d", 53].fault, got["d", 53].end, got["d", 54].end) == ("impossible size", None, 0)
+    assert (got[None, 9].path, got[None, 9].end) == ("x", 41)
+
+
 def test_parent_prefers_video_and_first(spark):
     children = spark.createDataFrame([(1, 1, 0, 9, "audio"), (1, 2, 0, 9, "file"), (1, 3, 90, 99, "audio"), (2, 4, 0, 9, "audio")],
                                      "src long, c_id long, c_start long, c_end long, c_kind string")

@@ -2,8 +2,8 @@
 
 Each record is a gzip member of its own, so an archive can be entered at any member.  A reading task owns the
 members that start inside its byte range.  It looks for the gzip magic bytes, takes a place for a member only if the
-data there inflates to a complete record (version line, headers, block of the stated length, check sum) and
-another member or the end of the file follows, and then walks from member to member, past its range's end for the last.
+data there inflates to a complete record (version line, headers, block of the stated length, check sum), whatever follows, and then
+walks from member to member, past its range's end for the last.  Bytes of no whole record are skipped; ``damaged`` lists them.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as RowWindow
 from pyspark.sql import functions as F
 
 from seqmine.llm.storage import AttemptFile, fresh_folder, open_file, written
@@ -144,15 +145,15 @@ def member(window: Window, at: int) -> tuple[dict[str, str], bytes, int] | None:
     except zlib.error:
         return None
     place -= len(inflate.unused_data)
-    if headers is None or (place < window.size and window.at(place, 3) != MAGIC):
+    if headers is None:
         return None
     start = data.find(b"\r\n\r\n") + 4
     length = int(headers["content-length"])
     return (headers, bytes(data[start:start + length]), place) if len(data) >= start + length else None
 
 
-def records(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Place, headers and block of the records that start in ``[start, end)``."""
+def records(path: str, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Place, end, headers and block of the records that start in ``[start, end)``."""
     window, at = Window(path), start
     while at < end:
         found = member(window, at)
@@ -167,7 +168,7 @@ def records(path: str, start: int, end: int) -> Iterator[tuple[int, dict[str, st
                 break
             at += 1 + hit
         else:
-            yield at, found[0], found[1]
+            yield at, found[2], found[0], found[1]
             at = found[2]
     window.file.close()
 
@@ -178,12 +179,9 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
 
     The payload is the HTTP body of a response; of a revisit, digest and length are those that its headers state.
     """
-    ranges = archives.select("path", "bytes", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     schema = ("path string, place long, record_type string, record_id string, target_uri string, refers_to_id string, "
               "payload_digest string, payload_bytes long, payload binary")
     names = [c.split()[0] for c in schema.split(", ")]
-    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def row(path: str, place: int, fields: dict[str, str], block: bytes) -> tuple:
         head, _, payload = block.partition(b"\r\n\r\n")
@@ -203,7 +201,7 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
                 held, weight = [], 0
-                for place, fields, block in records(path, start, min(start + split_bytes, size)):
+                for place, _, fields, block in records(path, start, min(start + split_bytes, size)):
                     held.append(row(path, place, fields, block))
                     weight += len(block)
                     if weight > READ_BYTES:
@@ -212,7 +210,46 @@ def read(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names)
 
-    return ranges.repartition(n, "path", "start").mapInArrow(run, schema)
+    return _ranges(archives, split_bytes).mapInArrow(run, schema)
+
+
+def damaged(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Byte ranges of archives (``path``, ``bytes``) that no whole record holds: path, ``start``, ``end`` (exclusive).
+
+    These are members that were cut or altered, and foreign bytes or padding between or behind members; neighbouring ones are one range.
+    Whole archives and empty ones give no rows.  The archives are read once more; only range summaries are brought together by path.
+    """
+    schema = "path string, bytes long, start long, first long, stop long, hole long, till long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
+                first = stop = None
+                for place, end, _, _ in records(path, start, min(start + split_bytes, size)):
+                    if first is None:
+                        first = place
+                    elif stop < place:
+                        found.append((path, size, start, None, None, stop, place))
+                    stop = end
+                found.append((path, size, start, first, stop, None, None))
+            kinds = [pa.string(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], [c.split()[0] for c in schema.split(", ")])
+
+    seen = written(_ranges(archives, split_bytes).mapInArrow(run, schema), "archive-ranges")
+    parts = seen.where("hole is null")
+    before = F.coalesce(F.max("stop").over(RowWindow.partitionBy("path").orderBy("start").rowsBetween(RowWindow.unboundedPreceding, -1)), F.lit(0))
+    between = parts.select("path", before.alias("start"), F.col("first").alias("end"))
+    behind = parts.groupBy("path").agg(F.coalesce(F.max("stop"), F.lit(0)).alias("start"), F.max("bytes").alias("end"))
+    inside = seen.where("hole is not null").select("path", F.col("hole").alias("start"), F.col("till").alias("end"))
+    return inside.unionByName(between).unionByName(behind).where(F.col("start") < F.col("end"))
+
+
+def _ranges(archives: DataFrame, split_bytes: int) -> DataFrame:
+    """Ranges of the archives, ``path``, ``bytes``, ``start``, over all tasks."""
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    return archives.select("path", "bytes", F.explode(starts).alias("start")).repartition(n, "path", "start")
 
 
 def page_number(name: str) -> Column:

@@ -249,6 +249,35 @@ def test_archive_splits_and_false_magic(spark, tmp_path):
         assert sorted((r.record_id, bytes(r.payload)) for r in found) == sorted((f"<urn:x-page:{k}>", b) for k, b in enumerate(bodies))
 
 
+def test_damaged_archives(spark, tmp_path):
+    bodies = [random.Random(k).randbytes(300) for k in range(12)]
+    parts = [warc.page_record(k, "u", body, hashlib.sha1(body).hexdigest(), None, "2024-01-01T00:00:00Z", 6) for k, body in enumerate(bodies)]
+    flipped = bytearray(parts[3])
+    flipped[len(flipped) // 2] ^= 1
+    whole = b"".join(parts)
+    files, want = {"whole": whole, "empty": b"", "foreign": b"no archive at all"}, {"whole": [], "empty": [], "foreign": [(0, 17)]}
+    files["padded"] = whole + b"\0" * 16
+    want["padded"] = [(len(whole), len(whole) + 16)]
+    at = sum(map(len, parts[:3]))
+    cut = parts[9][:-5]
+    files["hit"] = b"".join([*parts[:3], flipped, *parts[4:9], cut, parts[10], b"\0\0", parts[11]])
+    after = at + len(parts[3]) + sum(map(len, parts[4:9]))
+    want["hit"] = [(at, at + len(parts[3])), (after, after + len(cut)), (after + len(cut) + len(parts[10]), after + len(cut) + len(parts[10]) + 2)]
+    kept = {"whole": range(12), "padded": range(12), "hit": [0, 1, 2, 4, 5, 6, 7, 8, 10, 11], "empty": [], "foreign": []}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    df = spark.createDataFrame([(str(tmp_path / n), len(data)) for n, data in files.items()], "path string, bytes long")
+    for split in (90, 1 << 20):
+        found = {n: [] for n in files}
+        for r in warc.read(df, split).collect():
+            found[r.path.rsplit("/", 1)[1]].append((r.record_id, bytes(r.payload)))
+        assert {n: sorted(v) for n, v in found.items()} == {n: sorted((f"<urn:x-page:{k}>", bodies[k]) for k in ks) for n, ks in kept.items()}
+        holes = {n: [] for n in files}
+        for r in warc.damaged(df, split).collect():
+            holes[r.path.rsplit("/", 1)[1]].append((r.start, r.end))
+        assert {n: sorted(v) for n, v in holes.items()} == want
+
+
 def test_main_text(spark):
     page = ("<html><body><nav><a href=x>menu</a></nav><div class='ad'>advert</div><div class='post-{0}'><h1>Title&nbsp;{0}</h1><p>First <b>bold</b> text, "
             "&amp; more of it.<p>Second<br>block<script>var a='</p>';</script></div><div class=comments><p>A reader says much</div>"

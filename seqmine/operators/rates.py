@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from seqmine.functions.rational import rational, whole_div
 from seqmine.plans.blocks import Run, last_where, null_safe_join
@@ -17,6 +20,11 @@ EARLY = 4
 GROWTH = 16
 #: Neighbouring intervals of one start that are listed in a row before they are packed.
 LISTED = 4096
+#: Gaps of a run that are tested in the task that lists its hypotheses.
+REACH = 64
+#: Starts of one run in a row, and hypotheses that a task holds at a time.
+STARTS = 64
+TRIED = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -66,14 +74,16 @@ def frame_gaps(frames: DataFrame, run: Run) -> DataFrame:
 
 def first_gaps(gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per run what the hypotheses start from: gap 1 (``p_lo`` to ``p_hi``), the end of gap 2 (``third``), the width of the shortest later
-    gap (``sure``), the narrowest of the ``EARLY`` gaps from gap 2 on (``near``), and these gaps as columns; runs of two gaps or more."""
+    gap (``sure``), the narrowest of the ``EARLY`` gaps from gap 2 on (``near``), the ``REACH`` gaps from gap 2 on (``first``, in order) and the
+    number of the last gap (``last``); runs of two gaps or more."""
     at = lambda n, c: F.max(F.when(F.col("n") == n, F.col(c)))
     later, close = F.col("n") >= 2, F.col("n").between(2, 1 + EARLY)
     return gaps.groupBy(*keys).agg(
         at(1, "lo").alias("p_lo"), at(1, "hi").alias("p_hi"), at(2, "hi").alias("third"),
         F.min(F.when(later, F.col("hi") - F.col("lo") + 1)).alias("sure"),
         F.min(F.when(close, F.struct((F.col("hi") - F.col("lo") + 1).alias("width"), "lo", "hi"))).alias("near"),
-        *[at(n, c).alias(f"{c}{n}") for n in range(2, 2 + EARLY) for c in ("lo", "hi")],
+        F.array_sort(F.collect_list(F.when(F.col("n").between(2, 1 + REACH), F.struct("n", "lo", "hi")))).alias("first"),
+        F.max("n").alias("last"),
     ).where("third is not null")
 
 
@@ -81,30 +91,106 @@ def _holds(p: Column, n: Column, lo: Column, hi: Column) -> Column:
     return whole_div(hi - p, n) * n >= lo - p
 
 
-def hypotheses(early: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Starts ``p`` and intervals ``n`` that hold in the first ``EARLY`` gaps.
+def hypotheses(early: DataFrame, keys: Sequence[str], reach: int | None = None, best: bool = False) -> DataFrame:
+    """Starts ``p`` and intervals ``n`` that hold in the first ``reach`` (by default ``EARLY``) gaps.
 
-    Only intervals that fit the narrowest of these gaps are listed at all: those not longer than it, and for each multiple k
-    the few that put p plus k intervals into it.
+    Only intervals that fit the narrowest of the early gaps are tried at all: those not longer than it, and for each multiple k
+    the few that put p plus k intervals into it.  A run's starts are dealt in rows of ``STARTS``; a task tries the intervals of many rows as
+    arrays of at most about ``TRIED``.  With ``best`` a row whose run has no gap beyond gives its longest interval only.
     """
-    p = early.withColumn("p", F.explode(F.sequence("p_lo", "p_hi")))
-    p = p.withColumn("_least", F.greatest(F.col("sure") + 1, F.lit(2).cast("bigint"))).withColumn("_most", F.col("third") - F.col("p"))
-    width = F.col("near.width")
-    none = "cast(array() as array<struct<a: bigint, b: bigint>>)"
-    ks = F.expr(f"""if(near.hi - p > near.width,
-        transform(sequence(1L, (near.hi - p) div (near.width + 1)),
-                  k -> struct(greatest(_least, near.width + 1, -((p - near.lo) div k) + if(pmod(near.lo - p, k) > 0, 1L, 0L)) AS a,
-                              least(_most, (near.hi - p) div k) AS b)),
-        {none})""")
-    span = lambda most: F.array(F.struct(F.col("_least").alias("a"), most.alias("b")))
-    # A far gap has more multiples than there are intervals to try.
-    far = F.expr("(near.hi - p) div (near.width + 1) > _most")
-    spans = F.when(far, span(F.col("_most"))).otherwise(F.concat(span(F.least("_most", width)), ks))
-    tried = (p.withColumn("_r", F.explode(F.filter(spans, lambda r: r["a"] <= r["b"])))
-             .withColumn("n", F.explode(F.sequence("_r.a", "_r.b"))))
-    for i in range(2, 2 + EARLY):
-        tried = tried.where(F.col(f"lo{i}").isNull() | _holds(F.col("p"), F.col("n"), F.col(f"lo{i}"), F.col(f"hi{i}")))
-    return tried.select(*keys, "p", "n")
+    reach, keys = reach or EARLY, list(keys)
+    rows = (early.withColumn("_from", F.explode(F.sequence(F.least("p_lo", "p_hi"), F.greatest("p_lo", "p_hi"), F.lit(STARTS).cast("bigint"))))
+            .withColumn("_to", F.least(F.col("_from") + (STARTS - 1), F.greatest("p_lo", "p_hi"))))
+    long = lambda c, name: F.col(c).cast("bigint").alias(name)
+    first = F.slice("first", 1, reach)
+    rows = rows.select(*keys, long("_from", "_from"), long("_to", "_to"), long("third", "_third"), long("sure", "_sure"), long("near.width", "_w"),
+                       long("near.lo", "_lo"), long("near.hi", "_hi"), long("last", "_last"),
+                       first["lo"].cast("array<bigint>").alias("_los"), first["hi"].cast("array<bigint>").alias("_his"))
+    schema = StructType([*early.select(*keys).schema.fields, StructField("p", LongType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = _numbers(batch, "_last") <= reach + 1 if best else np.zeros(batch.num_rows, bool)
+            top, top_p = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for row, p, n in _holding(batch):
+                done = whole[row]
+                # Sorted by interval, the last entry of a row is its longest.
+                order = np.flatnonzero(done)[np.argsort(n[done], kind="stable")]
+                order = order[n[order] > top[row[order]]]
+                top[row[order]], top_p[row[order]] = n[order], p[order]
+                if not done.all():
+                    yield _named(batch, keys, row[~done], p[~done], n[~done])
+            row = np.flatnonzero(top)
+            if len(row):
+                yield _named(batch, keys, row, top_p[row], top[row])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def _named(batch: pa.RecordBatch, keys: Sequence[str], row: np.ndarray, p: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(row)) for k in keys], pa.array(p), pa.array(n)], [*keys, "p", "n"])
+
+
+def _repeated(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each index as often as ``count`` says with the numbers from 0 on beside it, in slices of about ``TRIED``, one index at least."""
+    ends = np.cumsum(count)
+    at = 0
+    while at < len(count):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + TRIED, side="right")))
+        index = np.repeat(np.arange(at, to), count[at:to])
+        yield index, np.arange(len(index)) - np.repeat(ends[at:to] - count[at:to] - base, count[at:to])
+        at = to
+
+
+def _holding(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, start and interval of all hypotheses that hold in the gaps listed in their row."""
+    start, third, sure, width, near_lo, near_hi = (_numbers(batch, c) for c in ("_from", "_third", "_sure", "_w", "_lo", "_hi"))
+    for row, step in _repeated(_numbers(batch, "_to") - start + 1):
+        p = start[row] + step
+        w, least, most = width[row], np.maximum(sure[row] + 1, 2), third[row] - p
+        multiples = np.where(w > 0, np.maximum(near_hi[row] - p, 0) // np.maximum(w + 1, 1), 0)
+        # A far gap has more multiples than there are intervals to try.
+        far = multiples > most
+        multiples = np.where(far, 0, multiples)
+        for index, k in _repeated(multiples + 1):
+            k0, at = np.maximum(k, 1), p[index]
+            a = np.where(k == 0, least[index], np.maximum(np.maximum(least[index], w[index] + 1), -((at - near_lo[row[index]]) // k0)))
+            b = np.where(k == 0, np.where(far[index], most[index], np.minimum(most[index], w[index])),
+                         np.minimum(most[index], (near_hi[row[index]] - at) // k0))
+            some = np.flatnonzero(a <= b)
+            # A long span is tried in parts.
+            pieces = (b[some] - a[some]) // TRIED + 1
+            some, part = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*_repeated(pieces))) if len(some) else (some, some)
+            if len(some):
+                found = np.flatnonzero(a <= b)[some]
+                a, b, index = a[found] + part * TRIED, b[found], index[found]
+                for which, more in _repeated(np.minimum(b - a + 1, TRIED)):
+                    yield from _tested(batch, row[index[which]], p[index[which]], a[which] + more)
+
+
+def _tested(batch: pa.RecordBatch, row: np.ndarray, p: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    offsets = batch.column("_los").offsets.to_numpy()
+    los, his = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("_los", "_his"))
+    sizes, gap = np.diff(offsets), 0
+    waiting = []
+    while len(row):
+        more = sizes[row] > gap
+        if not more.all():
+            waiting.append((row[~more], p[~more], n[~more]))
+            row, p, n = row[more], p[more], n[more]
+        at = offsets[row] + gap
+        ahead = his[at] - p
+        # Division rounds towards zero.
+        reached = np.where(ahead >= 0, ahead // n, -(-ahead // n)) * n
+        held = reached >= los[at] - p
+        row, p, n, gap = row[held], p[held], n[held], gap + 1
+    if waiting:
+        yield tuple(np.concatenate(x) for x in zip(*waiting))
 
 
 def survivors(alive: DataFrame, gaps: DataFrame, keys: Sequence[str], low: int, high: int) -> DataFrame:
@@ -134,15 +220,18 @@ def infer_interval(frames: DataFrame, run: Run) -> DataFrame:
     fits before frame 3; it holds if every later gap contains p plus a multiple of n.
     If none holds the interval is 1; runs of fewer than three frames give nothing.
 
-    An interval no longer than the shortest later gap always holds, so only longer ones are tried.  Those that fit the first
-    ``EARLY`` gaps meet the others in rounds of ``GROWTH`` times as many gaps; each round reads only what the rounds before left.
+    An interval no longer than the shortest later gap always holds, so only longer ones are tried, in the task that lists them, in the first
+    ``REACH`` gaps.  What is left of longer runs meets the others in rounds of ``GROWTH`` times as many gaps; each round reads only what the
+    rounds before left.
     """
     keys = list(run.keys)
     gaps = cut(frame_gaps(frames, run))
     early = cut(first_gaps(gaps, keys))
-    alive = hypotheses(early, keys)
-    last = gaps.agg(F.max("n")).first()[0] or 0
-    low, high = 2 + EARLY, EARLY * GROWTH
+    alive = hypotheses(early, keys, REACH, best=True)
+    last = early.agg(F.max("last")).first()[0] or 0
+    low, high = 2 + REACH, (2 + REACH) * GROWTH
+    if low <= last:
+        alive = cut(alive)
     while low <= last:
         alive = survivors(alive, gaps, keys, low, high)
         low, high = high, high * GROWTH

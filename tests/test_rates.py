@@ -78,3 +78,45 @@ def test_templates_and_null_keys(spark):
     relative = df.join(df.groupBy("src").min("start"), "src").selectExpr("src", "start - `min(start)` AS start", "end - `min(start)` AS end")
     plan = rates.match_template(cut(relative), templates)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("reach", [4, 64])
+def test_hypotheses_are_tested_where_they_are_listed(spark, small_rounds, monkeypatch, reach):
+    """Runs shorter than ``reach`` leave one row per row of starts, longer ones all that holds; small arrays change nothing."""
+    monkeypatch.setattr(rates, "REACH", reach)
+    rng = random.Random(8)
+    runs = {k: frames_of(rng, rng.choice([3, 5, 20]), rng.randint(3, 40), rng.choice([0, 1, 2]), rng.choice([None, 4])) for k in range(12)}
+    runs[50] = [(0, 0), (300, 300), (301, 301), (900, 900), (5000, 5000)]
+    runs = {k: f for k, f in runs.items() if all(s <= e for s, e in f) and all(a[1] < b[0] for a, b in zip(f, f[1:]))}
+    rows = [(k if k else None, s, e) for k, f in runs.items() for s, e in f]
+    df, run = by_position(spark.createDataFrame(rows, "src long, start long, end long"), ["src"], "start", 64)
+    early = cut(rates.first_gaps(rates.frame_gaps(df, Run(("src",), ("start",))), ["src"]))
+    found = rates.hypotheses(early, ["src"], reach, best=True).collect()
+    per_run = {}
+    for r in found:
+        per_run.setdefault(r.src or 0, []).append((r.p, r.n))
+    for k, f in runs.items():
+        want = alive(gaps_of(f), reach + 1)
+        got = set(per_run.get(k, []))
+        assert got <= want
+        if len(f) - 1 > reach + 1:
+            assert got == want
+        else:
+            width = gaps_of(f)[0][1] - gaps_of(f)[0][0] + 1
+            assert len(got) <= -(-width // rates.STARTS) and max((n for _, n in got), default=0) == max((n for _, n in want), default=0)
+    monkeypatch.setattr(rates, "TRIED", 7)
+    got = {r.src or 0: r.interval for r in rates.infer_interval(df, Run(("src",), ("start",))).collect()}
+    for k, f in runs.items():
+        gaps_k = gaps_of(f)
+        best = [n for p in range(gaps_k[0][0], gaps_k[0][1] + 1) for n in range(2, gaps_k[1][1] - p + 1)
+                if all((hi - p) // n * n >= lo - p for lo, hi in gaps_k[1:])]
+        assert got[k] == max(best, default=1), k
+
+
+def test_slices_of_repeated_numbers(monkeypatch):
+    """Slices stay small and hold every number, also of an index that alone fills more than one."""
+    monkeypatch.setattr(rates, "TRIED", 5)
+    count = rates.np.array([2, 0, 9, 1, 4])
+    parts = list(rates._repeated(count))
+    assert [(i, k) for index, n in parts for i, k in zip(index.tolist(), n.tolist())] == [(i, k) for i, c in enumerate(count) for k in range(c)]
+    assert max(len(index) for index, _ in parts) == 9

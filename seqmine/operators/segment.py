@@ -18,6 +18,8 @@ from seqmine.session import cut
 CHUNK_REACH = 50
 GROUP_GAP = 100
 NUMBER_JUMP = 1000
+#: Numbers of a group that fit the bits of a BIGINT.
+WORD = 62
 
 
 def _count() -> Column:
@@ -298,9 +300,12 @@ def missing_members(df: DataFrame, group: Sequence[str], *, chunk: str = "chunk"
     """Chunk numbers absent from ``0..expected-1``, one row per missing number.
 
     Only numbers below ``expected`` are kept while counting, so a group's set is no
-    larger than the group should be, however many rows repeat its numbers.
+    larger than the group should be, however many rows repeat its numbers.  Where no group expects more than ``WORD`` numbers its set is
+    the bits of one number.
     """
     inside = F.col(chunk).between(F.lit(0), F.col(expected) - 1)
+    if df.where(F.col(expected) > WORD).isEmpty():
+        return _missing_bits(df, group, chunk, expected, inside)
     seen = df.groupBy(*group).agg(
         F.collect_set(F.when(inside, F.col(chunk).cast("bigint"))).alias("_have"),
         F.max(expected).cast("bigint").alias("_n"))
@@ -309,6 +314,14 @@ def missing_members(df: DataFrame, group: Sequence[str], *, chunk: str = "chunk"
             .select(*group, F.explode(F.array_except(wanted, F.col("_have"))).alias("missing")))
 
 
+def _missing_bits(df: DataFrame, group: Sequence[str], chunk: str, expected: str, inside: Column) -> DataFrame:
+    """The same for groups of at most ``WORD`` numbers."""
+    rows = df.select(*group, F.col(expected).cast("bigint").alias("_n"), F.when(inside, F.col(chunk).cast("int")).alias("_c"))
+    seen = rows.groupBy(*group).agg(F.bit_or(F.expr("shiftleft(1L, _c)")).alias("_have"), F.max("_n").alias("_n"))
+    return (seen.where("_n > 0").select(*group, F.coalesce("_have", F.lit(0).cast("bigint")).alias("_have"), F.explode(F.expr("sequence(0L, _n - 1)")).alias("missing"))
+            .where("shiftright(_have, cast(missing AS int)) & 1L = 0").drop("_have"))
+
+
 def piece_offsets(pieces: DataFrame, run: Run, *, length: Column) -> DataFrame:
     """Offset of each piece inside the payload of its group, after trims."""
     return running(pieces, run, sums={"offset": length.cast("bigint")}, exclusive=True)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqmine.plans.blocks import Run, by_density, by_position, catch_up, dense_index
+from seqmine.plans.blocks import Run, by_density, by_position, catch_up, dense_index, spread
 
 ROWS_PER_BLOCK = 1 << 14
 POSITIONS_PER_BLOCK = 1 << 14
@@ -90,11 +90,18 @@ def part_lines(spark: SparkSession, d: str) -> tuple[DataFrame, Run]:
     return _lines(spark, d, {"src": F.col("l_partkey")}, LINE_ORDER, days("l_shipdate"), "l_orderkey")
 
 
+def line_count(spark: SparkSession, d: str) -> int:
+    """Rows of the largest table, by which joins with it are dealt."""
+    return table(spark, d, "lineitem").count()
+
+
 def order_items_table(spark: SparkSession, d: str) -> DataFrame:
     """One interval per order: ``src, id, start, end, kind``."""
-    ends = (table(spark, d, "lineitem").groupBy("l_orderkey")
+    size = line_count(spark, d)
+    ends = (spread(table(spark, d, "lineitem").select("l_orderkey", "l_shipdate"), size, "l_orderkey").groupBy("l_orderkey")
             .agg(F.max("l_shipdate").alias("_shipped")))
-    o = table(spark, d, "orders").join(ends, F.col("o_orderkey") == F.col("l_orderkey"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
+    o = spread(o, size, "o_orderkey").join(ends, F.col("o_orderkey") == F.col("l_orderkey"))
     start = days("o_orderdate")
     kind = (F.when(F.col("o_orderstatus") == "F", "file").when(F.col("o_orderstatus") == "O", "video")
             .otherwise("audio"))
@@ -107,7 +114,8 @@ def customer_lines(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag",
                                               "l_linestatus", "l_shipdate")
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), "o_orderkey")
-    return (line.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    size = line_count(spark, d)
+    return (spread(line, size, "l_orderkey").join(spread(o, size, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .withColumn("pos", days("l_shipdate")).drop("o_orderkey", "l_shipdate"))
 
 

@@ -100,7 +100,7 @@ def selected(spark, d):
 def content(spark, d):
     return iv.flag_content(_items(spark, d), c.customer_lines(spark, d),
                            {"has_open": F.col("l_linestatus") == "O", "has_full": F.col("l_quantity") == 50},
-                           width=c.POSITIONS_PER_BLOCK)
+                           width=c.POSITIONS_PER_BLOCK, size=c.line_count(spark, d))
 
 
 def violations(spark, d):
@@ -112,7 +112,7 @@ def violations(spark, d):
 def splits(spark, d):
     items = _items(spark, d)
     audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
-    return iv.split_intervals(audio, _kind(items, "video"), few=c.FEW)
+    return iv.split_intervals(audio, _kind(items, "video"), few=c.FEW, size=c.line_count(spark, d))
 
 
 SPLITS = """pieces AS (
@@ -135,7 +135,7 @@ def channel_splits(spark, d):
     audio = _kind(items, "audio").withColumn("stride", 1 + F.col("id") % 7)
     on_grid = F.col("end") - F.pmod(F.col("end") - F.col("start"), F.col("stride"))
     return iv.split_intervals(audio.withColumn("end", on_grid), _kind(items, "video"), on=("src", "channel"), tail=0, offset=1,
-                              few=c.FEW)
+                              few=c.FEW, size=c.line_count(spark, d))
 
 
 CHANNEL_SPLITS = """pieces AS (
@@ -154,7 +154,7 @@ SELECT src, id, id % 2 AS channel, stride, s AS "start", coalesce(following - st
 
 def silent_pieces(spark, d):
     sounding = c.customer_lines(spark, d).where("l_quantity < 40").select("src", F.col("l_orderkey").alias("id"), "pos")
-    return iv.mark_silent_pieces(cut(splits(spark, d)), sounding, width=c.POSITIONS_PER_BLOCK)
+    return iv.mark_silent_pieces(cut(splits(spark, d)), sounding, width=c.POSITIONS_PER_BLOCK, size=c.line_count(spark, d))
 
 
 def orphans(spark, d):

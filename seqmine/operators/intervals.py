@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqmine.functions.rational import whole_div
 from seqmine.operators.parents import assign_parent  # noqa: F401, part of this module's interface
-from seqmine.plans.blocks import BLOCK_ROWS, BLOCK_WIDTH, Run, by_position, by_rows, null_safe_join, running
+from seqmine.plans.blocks import BLOCK_ROWS, BLOCK_WIDTH, Run, by_position, by_rows, null_safe_join, running, spread
 from seqmine.plans.chains import first_after, reachable
 from seqmine.plans.ranges import overlap_pairs
 from seqmine.session import cut
@@ -30,28 +30,31 @@ def overlap_join(a: DataFrame, b: DataFrame, on: Sequence[str], a_span: tuple[st
 
 
 def flag_content(items: DataFrame, records: DataFrame, flags: dict[str, Column], *,
-                 keys: Sequence[str] = ("src",), pos: str = "pos", width: int = BLOCK_WIDTH) -> DataFrame:
+                 keys: Sequence[str] = ("src",), pos: str = "pos", width: int = BLOCK_WIDTH, size: int | None = None) -> DataFrame:
     """For each item and flag, whether a flagged record lies inside the item.
 
     An item holds one exactly if the first flagged record at or after its start is
     not past its end.  Flagged positions and item starts are put on one line and
     walked backwards once for all flags, so records and items are never paired.
+    ``size``, about the number of records or items if these are more, bounds what a task holds.
     """
     keys = list(keys)
     wanted = None
     for test in flags.values():
         wanted = test if wanted is None else wanted | test
-    points = records.where(wanted).groupBy(*keys, F.col(pos).alias("_at")).agg(
-        *[F.bool_or(test).alias(name) for name, test in flags.items()])
-    line = (points.withColumn("_kind", F.lit(1))
-            .unionByName(items.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind")).distinct(),
-                         allowMissingColumns=True))
+    tests = [test.alias(f"_is_{name}") for name, test in flags.items()]
+    marked = spread(records.where(wanted).select(*keys, F.col(pos).alias("_at"), *tests), size, *keys, "_at")
+    points = marked.groupBy(*keys, "_at").agg(*[F.bool_or(f"_is_{name}").alias(name) for name in flags])
+    starts = spread(items.select(*keys, F.col("start").alias("_at"), F.lit(0).alias("_kind")), size, *keys, "_at").distinct()
+    line = points.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
     cells, _ = by_position(line, keys, "_at", width)
-    found = running(cells, Run(tuple(keys), ("_at", "_kind")), reverse=True,
-                    lasts={f"_next_{name}": F.when(F.col(name), F.col("_at")) for name in flags})
-    nearest = found.where("_kind = 0").select(*keys, F.col("_at").alias("start"), *[f"_next_{n}" for n in flags])
-    return null_safe_join(items, nearest, [*keys, "start"]).select(
-        *items.columns, *[F.coalesce(F.col(f"_next_{n}") <= F.col("end"), F.lit(False)).alias(n) for n in flags])
+    # Walked backwards, the last flagged position is the smallest.
+    found = running(cells, Run(tuple(keys), ("_at", "_kind")), reverse=True, size=size,
+                    mins={f"_next_{name}": F.when(F.col(name), F.col("_at")) for name in flags})
+    nearest = found.where("_kind = 0").select(F.struct(*keys, F.col("_at").alias("start")).alias("_k"), *[f"_next_{n}" for n in flags])
+    # A struct of the keys is never null, so null keys meet by plain equality.
+    held = spread(items.withColumn("_k", F.struct(*keys, "start")), size, "_k").join(spread(nearest, size, "_k"), "_k")
+    return held.select(*items.columns, *[F.coalesce(F.col(f"_next_{n}") <= F.col("end"), F.lit(False)).alias(n) for n in flags])
 
 
 def boundary_violations(children: DataFrame, parents: DataFrame, sources: DataFrame, *,
@@ -80,7 +83,7 @@ def _first_end(start: Column, stride: Column, at: Column) -> Column:
 
 def split_intervals(audio: DataFrame, video: DataFrame, *, on: Sequence[str] = ("src",),
                     threshold: int = SPLIT_THRESHOLD, tail: int | None = None, offset: int = 0, width: int = BLOCK_WIDTH,
-                    few: int = FEW_CUTS) -> DataFrame:
+                    few: int = FEW_CUTS, size: int | None = None) -> DataFrame:
     """Cuts audio items at the starts of videos, in order of the starts.
 
     Audio has the ``on`` columns and ``id, start, end, stride`` with its end on the
@@ -91,15 +94,18 @@ def split_intervals(audio: DataFrame, video: DataFrame, *, on: Sequence[str] = (
     Where the piece after a cut begins, and so which cut is the next, depends only on the cut, the stride and the item's phase on
     it.  Items of one stride and phase share these next-cut pointers; each item finds its first cut and then takes 1, 2, 4, ... cuts a
     round by pointers that skip as many.  Items and cuts are never listed against each other.  A source with at most ``few`` cuts gives
-    its items the list of them instead, with the same result.
+    its items the list of them instead, with the same result.  ``size``, about the number of items or cuts if these are more, bounds what a
+    task holds of many sources.
     """
     tail = threshold if tail is None else tail
     key = F.struct(*on).alias("_k")
-    cuts = cut(video.select(key, F.col("start").cast("bigint").alias("point")).distinct())
-    sizes = cuts.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    item = cut(audio.select(key, *on, "id", "stride", "start", "end").join(sizes, "_k", "left"))
-    lists = cuts.join(sizes.where(F.col("_n") <= few), "_k", "left_semi").groupBy("_k").agg(F.sort_array(F.collect_list("point")).alias("_cuts"))
-    out = _split_by_list(item.where(F.coalesce(F.col("_n") <= few, F.lit(True))).join(lists, "_k", "left"), [*on, "id"], threshold, tail, offset)
+    dealt = lambda df: spread(df, size, "_k")
+    cuts = cut(dealt(video.select(key, F.col("start").cast("bigint").alias("point"))).distinct())
+    sizes = dealt(cuts).groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    item = cut(dealt(audio.select(key, *on, "id", "stride", "start", "end")).join(sizes, "_k", "left"))
+    lists = dealt(cuts).join(sizes.where(F.col("_n") <= few), "_k", "left_semi").groupBy("_k").agg(F.sort_array(F.collect_list("point")).alias("_cuts"))
+    short = item.where(F.coalesce(F.col("_n") <= few, F.lit(True)))
+    out = _split_by_list(dealt(short).join(lists, "_k", "left"), [*on, "id"], threshold, tail, offset)
     large = item.where(F.col("_n") > few)
     if large.isEmpty():
         return out
@@ -159,9 +165,12 @@ def _split_by_pointers(item: DataFrame, cuts: DataFrame, on: Sequence[str], thre
 
 
 def mark_silent_pieces(pieces: DataFrame, sounding: DataFrame, *, src: str = "src",
-                       width: int = BLOCK_WIDTH) -> DataFrame:
-    """Whether a piece holds none of the item's sounding positions (``src, id, pos``)."""
-    out = flag_content(pieces, sounding, {"_loud": F.lit(True)}, keys=(src, "id"), width=width)
+                       width: int = BLOCK_WIDTH, size: int | None = None) -> DataFrame:
+    """Whether a piece holds none of the item's sounding positions (``src, id, pos``).
+
+    ``size``, about the number of positions or pieces if these are more, bounds what a task holds.
+    """
+    out = flag_content(pieces, sounding, {"_loud": F.lit(True)}, keys=(src, "id"), width=width, size=size)
     return out.withColumn("silent", ~F.col("_loud")).drop("_loud")
 
 

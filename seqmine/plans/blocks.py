@@ -31,6 +31,8 @@ BLOCK_WIDTH = 1 << 20
 SIZING_SAMPLE = 1024
 #: Rows of a block whose size is counted in rows.
 BLOCK_ROWS = 1 << 19
+#: Rows that a task of a shuffle gets where their number is known beforehand.
+TASK_ROWS = 1 << 19
 
 Getter = Callable[[str], Column]
 Condition = Callable[[Getter, Getter], Column]
@@ -97,6 +99,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(other, match, how).drop(*[f"_r_{c}" for c in on])
 
 
+def spread(df: DataFrame, rows: int | None, *on: str | Column) -> DataFrame:
+    """Deals ``df`` by ``on`` into so many tasks that each gets about ``TASK_ROWS`` of ``rows`` rows.
+
+    Sorts and tables of a task then stay of one size whatever the input's.  Where Spark's own number of tasks is enough, or ``rows`` is
+    not known, nothing is dealt.  Tables that are dealt by equal values for an equal number of rows meet in a join without another shuffle.
+    """
+    tasks = -(-(rows or 0) // TASK_ROWS)
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, *on)
+
+
 def upto(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -108,12 +122,14 @@ def before(window: WindowSpec) -> WindowSpec:
 def running(df: DataFrame, run: Run, *, sums: dict[str, Column] | None = None,
             maxes: dict[str, Column] | None = None, mins: dict[str, Column] | None = None,
             lasts: dict[str, Column] | None = None, reverse: bool = False,
-            exclusive: bool = False) -> DataFrame:
+            exclusive: bool = False, size: int | None = None) -> DataFrame:
     """Running sum, max, min and last non-null value along each run.
 
     ``reverse`` walks the run backwards; ``exclusive`` leaves out the current row.
     The block summaries come straight from ``df`` with map-side aggregation.
+    ``size``, about the number of rows, bounds what a task holds.
     """
+    df = spread(df, size, *run.cell)
     sums, maxes, mins, lasts = sums or {}, maxes or {}, mins or {}, lasts or {}
     rows = run.rows(reverse)
     frame = before(rows) if exclusive else upto(rows)
@@ -144,7 +160,8 @@ def running(df: DataFrame, run: Run, *, sums: dict[str, Column] | None = None,
         local[name] = F.last(col, ignorenulls=True).over(frame)
         final[name] = F.coalesce(F.col(name), F.col(f"_c_{name}"))
 
-    carry = df.groupBy(*run.cell).agg(*agg).select(*run.cell, *fold)
+    carry = spread(df.groupBy(*run.cell).agg(*agg), size, *[F.col(run.block[0])[k] for k in run.keys]).select(*run.cell, *fold)
+    carry = spread(carry, size, *run.cell)
     joined = df.select("*", *[c.alias(n) for n, c in local.items()]).join(carry, run.cell)
     return joined.select(*df.columns, *[c.alias(n) for n, c in final.items()])
 

@@ -9,18 +9,21 @@ done, the others get a lower threshold and search only the band below the last o
 
 Inside a pair of blocks, dimensions are ordered by their share in the rows' norms and taken in groups.  A row is indexed only up to the group
 from which on its remaining norm times the largest remaining norm of the anchors is below the lowest threshold; a row with nothing to
-index is no candidate.  A group's posting list is thus the leading part of the rows, ordered by indexed length.  Partial scores are accumulated list by
-list; half-way and at the end pairs are dropped whose partial score and product of remaining norms do not reach the anchor's threshold, and
-what is left is scored whole in integers.  The bounds only ever skip pairs that cannot be in a window, so results are exact.
+index is no candidate.  Rows of one indexed length are scored in tiles; half-way and at the end pairs are dropped whose partial score and
+product of remaining norms do not reach the anchor's threshold, and what is left is scored whole in integers.  An anchor's threshold rises from
+tile to tile to the last score that its windows still need.  The bounds only ever skip pairs that cannot be in a window, so results are exact.
 
 Each pair of blocks returns at most as many rows per window as the window wants; windows are merged by a ranked window, which drops
 rows before its shuffle.
+
+Spark sizes a join's sides by their files, which say little of vectors that compress well or are repeated for each block.  So joins whose sides
+grow with the anchors are merge joins, and anchors are repeated for the blocks after their joins: nothing of that size meets in the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +37,12 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 #: Thresholds of the rounds: place between a window's lower (0) and upper end (1); the last round is always 0.
 WIDE_STEPS, WINDOW_STEPS = (0.75, 0.6), (0.5, 0.25)
-#: Rows and anchors of a block, at least and at most; in between, so many blocks that all tasks have some.
-LEAST_BLOCK, MOST_BLOCK = 1024, 1 << 16
-#: Anchors scored at once in a task, and dimensions in a posting list's group.
-CHUNK, GROUP = 256, 8
+#: Rows and anchors of a block, at least and at most, and most components; in between, so many blocks that all tasks have some.
+LEAST_BLOCK, MOST_BLOCK, MOST_CELLS = 1024, 1 << 16, 1 << 22
+#: Pairs that are worth a task of their own beyond a few for each core.
+TASK_PAIRS = 1 << 25
+#: Anchors scored at once in a task, rows that meet them at once (fewer at first, to raise thresholds), and dimensions in a posting list's group.
+CHUNK, TILE, FIRST_TILE, GROUP = 256, 2048, 256, 8
 #: Pairs scored whole at once.
 PAIRS = 1 << 16
 
@@ -59,89 +64,157 @@ def _suffix_norms(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.sqrt(np.hstack([left, np.zeros((len(x), 1))])) * (1 + 1e-9)
 
 
+class Index:
+    """The rows ``y`` of a block with their dimensions in order, and what norm is left of each row from each group of dimensions on."""
+
+    def __init__(self, y: np.ndarray):
+        self.dims = np.argsort(-(y.astype(np.float64) ** 2).sum(axis=0), kind="stable")
+        self.rows = y[:, self.dims]
+        self.starts = np.arange(0, y.shape[1], GROUP)
+        self.left = _suffix_norms(self.rows, self.starts)
+        self._typed: dict[type, np.ndarray] = {}
+
+    def _values(self, kind: type) -> np.ndarray:
+        if kind not in self._typed:
+            self._typed = {kind: self.rows.astype(kind)}
+        return self._typed[kind]
+
+    def pairs(self, x: np.ndarray, floors: np.ndarray, allowed) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """All pairs (row of ``x``, row of ``y``, integer score) with a score of at least the ``floors`` of ``x``'s row, tile by tile of ``y``.
+
+        ``floors`` may rise between two tiles.  ``allowed(ys)`` is a mask of pairs for a choice of rows of ``y``.
+        """
+        x = x[:, self.dims]
+        xs, ys, groups = _suffix_norms(x, self.starts), self.left, len(self.starts)
+        # Sums of products stay exact in floats below 2 ** 24 and in doubles below 2 ** 53; beyond that Python's integers are used.
+        top = float(xs[:, 0].max(initial=0.0)) * float(ys[:, 0].max(initial=0.0))
+        kind = np.float32 if top < 2.0 ** 23 else np.float64 if top < 2.0 ** 52 else object
+        real = np.float32 if kind is np.float32 else np.float64
+        xf, yf, xr = x.astype(kind), self._values(kind), xs.astype(real)
+        slack = 1 + 8 * float(np.finfo(real).eps) * top
+
+        covered = ys * xs.max(axis=0)[None, :] < float(floors.min())  # from this group on nothing can reach any threshold alone
+        length = np.where(covered.any(axis=1), covered.argmax(axis=1), groups)
+        size = FIRST_TILE
+        for upto in range(groups, 0, -1):
+            listed, at = np.flatnonzero(length == upto), 0
+            while at < len(listed):
+                tile = listed[at:at + size]
+                at, size = at + len(tile), TILE
+                yield from self._tile(tile, upto, xf, yf, xr, floors, (floors - slack).astype(real)[:, None], allowed)
+
+    def _tile(self, tile: np.ndarray, upto: int, xf: np.ndarray, yf: np.ndarray, xr: np.ndarray, floors: np.ndarray, bar: np.ndarray,
+              allowed) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of rows that are all indexed through ``upto`` groups."""
+        groups, y = len(self.starts), yf[tile]
+
+        def part(begin: int, end: int) -> np.ndarray:
+            cols = slice(begin * GROUP, end * GROUP)
+            return xf[:, cols] @ y[:, cols].T
+
+        def reachable(partial: np.ndarray, n: int) -> np.ndarray:
+            known = partial.astype(bar.dtype, copy=False)
+            return (known if n == groups else known + xr[:, n, None] * self.left[tile, n].astype(bar.dtype)) >= bar
+
+        half = min(upto, groups // 2) if groups > 2 else upto
+        partial = part(0, half)
+        if half < upto:
+            live = reachable(partial, half).any(axis=0)
+            if not live.any():
+                return
+            if not live.all():
+                tile, y, partial = tile[live], y[live], partial[:, live]
+            partial += part(half, upto)
+        hit = reachable(partial, upto)
+        if upto < groups and 16 * np.count_nonzero(hit) > hit.size:  # too many to score them one by one
+            partial += part(upto, groups)
+            upto = groups
+            hit = reachable(partial, groups)
+        a, b = np.divmod(np.flatnonzero(hit & allowed(tile)), len(tile))
+        if not len(a):
+            return
+        whole = object if xf.dtype == object else np.int64
+        if upto == groups:
+            score = partial[a, b].astype(whole)
+        else:
+            score = np.empty(len(a), whole)
+            for at in range(0, len(a), PAIRS):
+                some = slice(at, at + PAIRS)
+                score[some] = (xf[a[some]] * y[b[some]]).sum(axis=1)
+        good = score >= floors[a]
+        yield a[good], tile[b[good]], score[good]
+
+
 def candidates(x: np.ndarray, y: np.ndarray, floors: np.ndarray, allowed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs (row of ``x``, row of ``y``, integer score) with a score of at least the ``floors`` of ``x``'s row.
+    """All pairs of ``Index.pairs`` at once."""
+    found = [*Index(y).pairs(x, floors, allowed)]
+    return tuple(np.concatenate([np.empty(0, np.int64), *column]) for column in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+
+class Leading:
+    """The first ``k`` rows of each window of some anchors so far: higher scores first, then smaller keys.
 
-    ``allowed(ys)`` is a mask of pairs for a choice of rows of ``y``.
+    Windows are in the order of their anchors, each of which has ``counts`` of them, one at least.  ``floors`` are the least scores that
+    an anchor's windows still need; they rise when windows are full.
     """
-    dims = np.argsort(-(y.astype(np.float64) ** 2).sum(axis=0), kind="stable")
-    x, y = x[:, dims], y[:, dims]
-    starts = np.arange(0, x.shape[1], GROUP)
-    xs, ys = _suffix_norms(x, starts), _suffix_norms(y, starts)
-    # Sums of products stay exact in doubles below 2 ** 53; beyond that Python's integers are used.
-    exact = float(xs[:, 0].max(initial=0.0)) * float(ys[:, 0].max(initial=0.0)) < 2.0 ** 52
-    xf, yf = (x.astype(np.float64), y.astype(np.float64)) if exact else (x.astype(object), y.astype(object))
-
-    lowest = float(floors.min())
-    covered = ys * xs.max(axis=0)[None, :] < lowest  # from this group on nothing can reach any threshold alone
-    length = np.where(covered.any(axis=1), covered.argmax(axis=1), len(starts))
-    order = np.argsort(-length, kind="stable")
-    order = order[length[order] > 0]
-    length = length[order]
-    partial = np.zeros((len(x), len(order)), np.float64 if exact else object)
-
-    def reachable(upto: int) -> np.ndarray:
-        seen = np.minimum(length, upto)
-        bound = partial.astype(np.float64) + xs[:, seen] * ys[order, seen][None, :]
-        return bound * (1 + np.sign(bound) * 1e-9) + 1e-6 >= floors[:, None]
-
-    for g, start in enumerate(starts):
-        n = int(np.searchsorted(-length, -g, side="left"))  # posting list: rows indexed beyond this group
-        if n == 0:
-            break
-        cols = slice(start, start + GROUP)
-        partial[:, :n] += xf[:, cols] @ yf[order[:n], cols].T
-        if g == len(starts) // 2 and len(starts) > 2:
-            live = reachable(g + 1).any(axis=0)
-            order, length, partial = order[live], length[live], partial[:, live]
-    hit = reachable(len(starts)) & allowed(order)
-    a, b = np.nonzero(hit)
-    whole = length[b] == len(starts)
-    score = np.empty(len(a), np.int64 if exact else object)
-    score[whole] = partial[a[whole], b[whole]]
-    rest = np.flatnonzero(~whole)
-    for at in range(0, len(rest), PAIRS):
-        some = rest[at:at + PAIRS]
-        score[some] = (xf[a[some]] * yf[order[b[some]]]).sum(axis=1)
-    good = score >= floors[a]
-    return a[good], order[b[good]], score[good]
+
+    def __init__(self, counts: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int):
+        self.counts, self.first, self.hi, self.k = counts, np.cumsum(counts) - counts, hi, k
+        self.least, self.last = lo.copy(), np.full(len(lo), np.iinfo(np.int64).max)  # score and key of a full window's last row
+        self.floors, self.ceilings = np.minimum.reduceat(lo, self.first), np.maximum.reduceat(hi, self.first)
+        self.window = self.key = self.score = np.empty(0, np.int64)
+
+    def add(self, a: np.ndarray, key: np.ndarray, score: np.ndarray) -> None:
+        """Rows with the anchors ``a``."""
+        inside = score <= self.ceilings[a]
+        a, key, score = a[inside], key[inside], score[inside].astype(np.int64)
+        n = self.counts[a]
+        pair = np.repeat(np.arange(len(a)), n)
+        window = np.repeat(self.first[a] - (np.cumsum(n) - n), n) + np.arange(len(pair))
+        key, score = key[pair], score[pair]
+        fits = (score <= self.hi[window]) & ((score > self.least[window]) | (score == self.least[window]) & (key <= self.last[window]))
+        if not fits.any():
+            return
+        window, key, score = (np.concatenate(x) for x in ((self.window, window[fits]), (self.key, key[fits]), (self.score, score[fits])))
+        order = np.lexsort((key, -score, window))
+        place = np.arange(len(order)) - np.searchsorted(window[order], window[order], side="left")
+        order, place = order[place < self.k], place[place < self.k]
+        self.window, self.key, self.score = window[order], key[order], score[order]
+        full = np.flatnonzero(place == self.k - 1)
+        self.least[self.window[full]], self.last[self.window[full]] = self.score[full], self.key[full]
+        self.floors[:] = np.minimum.reduceat(self.least, self.first)
 
 
 def _block_search(keys: tuple, rows: pa.Table, queries: pa.Table, k: int, same: bool) -> pa.Table:
     """At most the first ``k`` rows of a block for each window of a block of queries."""
-    out: dict[str, list] = {"rid": [], "p": [], "key": [], "score": []}
+    out: list[tuple] = [(np.empty(0, np.int64),) * 4]
     if rows.num_rows and queries.num_rows:
         width = max([1, *(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for t in (rows, queries) for c in t.column("v").chunks)])
-        y, key, rid = _matrix(rows.column("v"), width), rows.column("key").to_numpy(), rows.column("rid").to_numpy()
-        label = np.array(rows.column("label").to_pylist(), object)
+        labels = pa.concat_arrays([c for t in (rows, queries) for c in t.column("label").chunks]).dictionary_encode().indices.to_numpy()
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")  # of equal scores the first rows are met first
+        index = Index(_matrix(rows.column("v"), width)[order])
+        key, rid, label = key[order], rows.column("rid").to_numpy()[order], labels[:len(key)][order]
+        mine, own = labels[len(key):], queries.column("rid").to_numpy()
+        bands = pa.concat_arrays(queries.column("bands").chunks)
+        counts = np.diff(bands.offsets.to_numpy()).astype(np.int64)
+        p, lo, hi = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in bands.flatten().flatten())
+        begin = np.concatenate([[0], np.cumsum(counts)])
         for at in range(0, queries.num_rows, CHUNK):
-            part = queries.slice(at, CHUNK)
-            mine, own = np.array(part.column("label").to_pylist(), object), part.column("rid").to_numpy()
-            bands = part.column("bands").to_pylist()
-            floors = np.array([min(w["lo"] for w in b) for b in bands], np.int64)
+            some, held = slice(at, at + CHUNK), slice(begin[at], begin[min(at + CHUNK, len(counts))])
+            leading = Leading(counts[some], lo[held], hi[held], k)
 
             def allowed(ys: np.ndarray) -> np.ndarray:
-                alike = mine[:, None] == label[ys][None, :]
-                return alike & (own[:, None] != rid[ys][None, :]) if same else ~alike
-
-            a, b, score = candidates(_matrix(part.column("v"), width), y, floors, allowed)
-            order = np.lexsort((key[b], -score, a)) if score.dtype != object else np.array(
-                sorted(range(len(a)), key=lambda i: (a[i], -score[i], key[b[i]])), np.int64)
-            a, b, score = a[order], b[order], score[order]
-            begin = np.searchsorted(a, np.arange(len(bands) + 1))
-            for q, windows in enumerate(bands):
-                lo, hi = begin[q], begin[q + 1]
-                falling = -score[lo:hi]
-                for w in windows:
-                    first = lo + int(np.searchsorted(falling, -w["hi"], side="left"))
-                    last = min(first + k, lo + int(np.searchsorted(falling, -w["lo"], side="right")))
-                    n = max(0, last - first)
-                    out["rid"] += [int(own[q])] * n
-                    out["p"] += [w["p"]] * n
-                    out["key"] += key[b[first:first + n]].tolist()
-                    out["score"] += score[first:first + n].tolist()
-    return pa.table({"rid": pa.array(out["rid"], pa.int64()), "p": pa.array(out["p"], pa.int32()),
-                     "key": pa.array(out["key"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
+                alike = mine[some, None] == label[ys]
+                return alike & (own[some, None] != rid[ys]) if same else ~alike
+
+            for a, b, score in index.pairs(_matrix(queries.column("v").slice(at, CHUNK), width), leading.floors, allowed):
+                leading.add(a, key[b], score)
+            owner = np.repeat(own[some], counts[some])
+            out.append((owner[leading.window], p[held][leading.window], leading.key, leading.score))
+    rid, p, key, score = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"rid": pa.array(rid, pa.int64()), "p": pa.array(p.astype(np.int32), pa.int32()),
+                     "key": pa.array(key, pa.int64()), "score": pa.array(score, pa.int64())})
 
 
 def search(rows: DataFrame, queries: DataFrame, windows: DataFrame, k: int, steps: Sequence[float], same: bool,
@@ -152,25 +225,33 @@ def search(rows: DataFrame, queries: DataFrame, windows: DataFrame, k: int, step
     both ends included.  ``same`` takes other rows of the query's label, else rows of other labels.
     """
     spark = rows.sparkSession
-    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    per_label = rows.groupBy("label").count().agg(F.max("count"), F.sum("count")).first()
-    if not per_label[1]:
-        return spark.createDataFrame([], "rid long, p int, key long, score long, rank int")
-    size = lambda n: min(most, max(min(most, LEAST_BLOCK), math.ceil(n / tasks)))
-    held = per_label[0] if same else per_label[1]
-    n_rows, n_queries = math.ceil(held / size(held)), max(1, math.ceil(queries.count() / most))
-
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    longest = rows.agg(F.max(norm)).first()[0]
-    reach = (F.ceil(norm * F.lit(longest) * (1 + 1e-9)) + 1).cast("long")
-    span = written(windows.join(queries.select("rid", reach.alias("b")), "rid")
+    limits = [F.max(F.size("v")).alias("width"), F.max(F.array_max("v")).alias("high"), F.min(F.array_min("v")).alias("low")]
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), *limits).first()
+    known = (rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("norm"), *limits)
+             .agg(F.max("n").alias("held"), F.sum("n").alias("n"), F.max("norm").alias("norm"), F.max("width").alias("width"),
+                  F.max("high").alias("high"), F.min("low").alias("low")).first())
+    if not known.n or not asked.n:
+        return spark.createDataFrame([], "rid long, p int, key long, score long, rank int")
+    held = known.held if same else known.n
+    most = min(most, max(1, MOST_CELLS // max(1, known.width, asked.width)))
+    n_queries = math.ceil(asked.n / most)
+    tasks = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")),
+                max(4 * spark.sparkContext.defaultParallelism, math.ceil(held * asked.n / TASK_PAIRS)))
+    n_rows = math.ceil(held / min(most, max(min(most, LEAST_BLOCK), math.ceil(held * n_queries / tasks))))
+
+    reach = (F.ceil(norm * F.lit(known.norm) * (1 + 1e-9)) + 1).cast("long")
+    span = written(windows.join(queries.select("rid", reach.alias("b")).hint("merge"), "rid")
                    .select("rid", "p", F.greatest("lo", -F.col("b")).alias("lo"), F.least("hi", "b").alias("hi"))
                    .where("lo <= hi"), "spans")
 
+    # Vectors travel in the narrowest type that holds all components.
+    far = max(abs(x or 0) for x in (known.high, known.low, asked.high, asked.low))
+    narrow = F.col("v").cast(f"array<{'smallint' if far < 1 << 15 else 'int' if far < 1 << 31 else 'bigint'}>").alias("v")
     place = lambda n, salt: F.pmod(F.xxhash64("rid", F.lit(salt)), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     group = ["label", "i", "j"] if same else ["i", "j"]
-    blocks = rows.select("*", place(n_rows, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("j"))
-    dealt = queries.select("*", place(n_queries, 2).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("i"))
+    blocks = rows.select("rid", "key", "label", narrow, place(n_rows, 1).alias("i"), each(n_queries).alias("j"))
 
     def scored(keys, left: pa.Table, right: pa.Table) -> pa.Table:
         return _block_search(keys, left, right, k, same)
@@ -188,13 +269,14 @@ def search(rows: DataFrame, queries: DataFrame, windows: DataFrame, k: int, step
                 break
             above = f
             continue
-        asked = dealt.join(bands, "rid")
-        new = (blocks.groupBy(*group).cogroup(asked.groupBy(*group))
+        dealt = (queries.join(bands.hint("merge"), "rid")
+                 .select("rid", "label", "bands", narrow, place(n_queries, 2).alias("j"), each(n_rows).alias("i")))
+        new = (blocks.groupBy(*group).cogroup(dealt.groupBy(*group))
                .applyInArrow(scored, "rid long, p int, key long, score long"))
         both = new if found is None else found.drop("rank").unionByName(new)
         found = written(both.withColumn("rank", F.row_number().over(first)).where(f"rank <= {k}"), "found")
         full = found.groupBy("rid", "p").count().where(f"count = {k}").select("rid", "p")
-        open_ = written(open_.join(full, ["rid", "p"], "left_anti"), "open")
+        open_ = written(open_.join(full.hint("merge"), ["rid", "p"], "left_anti"), "open")
         above = f
     if found is None:
         return spark.createDataFrame([], "rid long, p int, key long, score long, rank int")
@@ -227,5 +309,5 @@ def mine(vectors: DataFrame, anchor: Column, *, key: str = "vec_id", vector: str
     share = lambda per_cent, more: F.expr(f"{per_cent} * (positive_score div 100) + ({per_cent} * (positive_score % 100) + {more}) div 100")
     windows = near.where(score >= 0).select("rid", "p", share(low, 99).alias("lo"), share(high, 0).alias("hi"))
     found = search(rows, queries, windows, negatives, WINDOW_STEPS, False, block)
-    return (found.join(near, ["rid", "p"]).join(queries.select("rid", F.col("key").alias("anchor_id")), "rid")
+    return (found.join(near.hint("merge"), ["rid", "p"]).join(queries.select("rid", F.col("key").alias("anchor_id")).hint("merge"), "rid")
             .select("anchor_id", "positive_id", "rank", F.col("key").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")))

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,50 @@ def test_index_bounds_lose_no_pair(seed):
     assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) and (scores[a, b] == s).all()
 
 
+def test_negatives_broadcast_nothing_that_grows_with_the_anchors(spark, monkeypatch):
+    # Files of like vectors are small, and Spark does not see that anchors are repeated for each block of rows.
+    rows = [(k, [1 + k % 3] * 32, k % 4) for k in range(400)]
+    plans, real = [], hard_negatives.written
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(hard_negatives, "written", noted)
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>, label int")
+    found = hard_negatives.mine(df, F.col("vec_id") % 10 == 0, block=50)
+    got = sorted(tuple(r) for r in found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score").collect())
+    assert got == plain_negatives(rows, 10, 5, 10)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert any("Join" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+@pytest.mark.parametrize("scale", [1, 10 ** 4, 10 ** 8])  # floats, doubles and Python's integers
+@pytest.mark.parametrize("same", [True, False])
+def test_block_search_against_all_pairs(monkeypatch, scale, same):
+    monkeypatch.setattr(hard_negatives, "TILE", 40)
+    monkeypatch.setattr(hard_negatives, "FIRST_TILE", 7)
+    monkeypatch.setattr(hard_negatives, "CHUNK", 6)
+    rng = random.Random(scale + same)
+    y = [(i, rng.randint(0, 60), rng.choice("ab"), [scale * rng.randint(-3, 4) for _ in range(rng.choice([24, 30]))]) for i in range(300)]
+    score = lambda v, w: sum(a * b for a, b in zip(v, w))
+    asked, want = [], []
+    for rid, _, label, v in y[::14]:
+        bands = [(p, lo * scale ** 2, (lo + rng.randint(0, 60)) * scale ** 2) for p, lo in enumerate(rng.sample(range(-40, 40), rng.randint(1, 4)))]
+        asked.append((rid, label, v, [{"p": p, "lo": lo, "hi": hi} for p, lo, hi in bands]))
+        for p, lo, hi in bands:
+            fit = sorted((-score(v, w), key) for i, key, other, w in y if (other == label) == same and i != rid and lo <= score(v, w) <= hi)
+            want += [(rid, p, key, -s) for s, key in fit[:5]]
+    kind = pa.list_(pa.int32() if scale > 1 else pa.int16())
+    band = pa.list_(pa.struct([("p", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())]))
+    rid, key, label, v = zip(*y)
+    rows = pa.table({"rid": rid, "key": key, "label": label, "v": pa.array(v, kind)})
+    rid, label, v, bands = zip(*asked)
+    queries = pa.table({"rid": rid, "label": label, "v": pa.array(v, kind), "bands": pa.array(bands, band)})
+    found = hard_negatives._block_search((), rows, queries, 5, same)
+    assert want and sorted(zip(*found.to_pydict().values())) == sorted(want)
+
+
 def test_queries_equal_their_sql(spark):
     d = "/root/testdata/sf0.001"
     con = database(d)
